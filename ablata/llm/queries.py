@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixture, quality, simhash, token_counts, token_store
+from . import chat, decontaminate, language, main_text, mixture, private_data, quality, simhash, token_counts, token_store
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,21 +30,47 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.detect(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe_rows(spark))
     return chat.digests(chat.format_turns(chat.rows_to_turns(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_decontamination, op4_mixing, op6_quality_rules, op8_simhash, op10_chat_formatting)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_token_store,
+        op3_decontamination,
+        op4_mixing,
+        op5_main_text,
+        op6_quality_rules,
+        op7_language,
+        op8_simhash,
+        op9_private_data,
+        op10_chat_formatting,
+    )
+}
 
 _ESCAPED_LENGTH = r"(length({0}) + length({0}) - length(replace({0}, '\', '')) + length({0}) - length(replace({0}, '<', '')) + length({0}) - length(replace({0}, '>', '')))"
 
