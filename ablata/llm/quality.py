@@ -72,11 +72,11 @@ def _constant(values: list[float]) -> Column:
 def base_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.withColumn("_w", F.filter(F.split(text, WORD_GAP), lambda w: w != ""))
+    split = docs.withColumn("_w", F.array_remove(F.split(text, WORD_GAP), ""))
     # Windows by 64-bit hash first. Equal windows have equal hashes, so a text whose hashes are distinct has no repeat.
-    window = lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(WINDOW)))
+    window = lambda i: F.xxhash64(*(F.get("_x", i + k) for k in range(WINDOW)))
     positions = F.sequence(F.lit(0), F.size("_w") - WINDOW)
-    hashed = split.withColumn("_h", F.when(F.size("_w") > WINDOW, F.transform(positions, window)).otherwise(F.array().cast("array<bigint>")))
+    hashed = split.withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_h", F.when(F.size("_w") > WINDOW, F.transform(positions, window)).otherwise(F.array().cast("array<bigint>")))
     # Only the others compare the windows themselves.
     spelled = F.transform(positions, lambda i: F.struct(F.array_join(F.slice("_w", i + 1, WINDOW), " ").alias("s"), i.alias("i")))
     seen = hashed.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(spelled)))
@@ -92,16 +92,19 @@ def base_counts(docs: DataFrame) -> DataFrame:
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-        .drop("_w", "_h", "_s", "_p", "_l")
+        .drop("_w", "_x", "_h", "_s", "_p", "_l")
     )
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base columns, ``score`` and ``kept``."""
     model = _constant(ratios(docs, labels))
-    grams = docs.withColumn("_t", token_hashes(F.col("text"))).withColumn("_g", F.filter(_grams(F.col("_t")), lambda g: g.isNotNull()))
-    total = F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + F.element_at(model, g + 1))
-    scored = grams.withColumn("score", F.when(F.size("_g") > 0, total / F.size("_g")).otherwise(F.lit(0.0))).drop("_t", "_g")
+    ratio = lambda h: F.element_at(model, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1)
+    # One pass over the tokens: each one's unigram, and the bigram that it ends.
+    both = F.transform("_t", lambda h, i: ratio(h) + F.when(i > 0, ratio(F.xxhash64(F.get("_t", i - 1), h))).otherwise(F.lit(0.0)))
+    total = F.aggregate(both, F.lit(0.0), lambda acc, v: acc + v)
+    hashed = docs.withColumn("_t", token_hashes(F.col("text")))
+    scored = hashed.withColumn("score", F.when(F.size("_t") > 0, total / (2 * F.size("_t") - 1)).otherwise(F.lit(0.0))).drop("_t")
     return base_counts(scored).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
