@@ -1 +1 @@
-
+"""Operators on subjects, items, subsets and their incidence."""

@@ -1 +1 @@
-
+"""Queries over the star-schema tables, and their SQL twins."""

@@ -1,4 +1,621 @@
-QUERIES = {}
-ORACLES = {}
-def flagship(spark, d):
-    return spark.range(1)
+"""One query for each operator, over whole tables, with SQL twins where SQL can say it.
+
+Twins are written from the definitions, not from the DataFrame code. Floating values are rounded to 6 places on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keyed
+from ..operators import clustering, cohort, correlation, incidence, linear, metrics, ranking, reshape, sampling, scoring
+from ..sources import adapters
+from ..streaming import incremental
+from . import oracles
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
+SEED = 7
+
+
+def query(run: Query) -> Query:
+    """Registers a query by its name."""
+    QUERIES[run.__name__] = run
+    return run
+
+
+def _r(column: Column | str, places: int = 6) -> Column:
+    return F.round(F.col(column) if isinstance(column, str) else column, places)
+
+
+def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: _r(c, places) for c in columns})
+
+
+# Sources, selection, joins
+
+
+@query
+def cohort_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' and customers' nations with a positive balance, and at least 20 items."""
+    customers = adapters.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("subject"), F.col("c_acctbal").alias("severity"))
+    return cohort.min_count(cohort.positives(customers), 20).select("subject", "n_items")
+
+
+@query
+def negative_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = adapters.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_acctbal").alias("severity"))
+    return cohort.negatives(customers).select("subject")
+
+
+@query
+def list_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands' types written as a list literal and parsed again."""
+    from ..sources.readers import list_literal as parse
+
+    typed = adapters.read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("types"))
+    cell = F.concat(F.lit("['"), F.array_join("types", "', '"), F.lit("']"))
+    parsed = typed.select("p_brand", parse(cell).alias("parsed"))
+    return parsed.select("p_brand", F.size("parsed").alias("n"), F.array_join("parsed", "|").alias("joined"))
+
+
+@query
+def label_binarized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = (F.col("p_size") % 4).cast("int")
+    return adapters.read(spark, sf_dir, "part").select("p_partkey", cohort.binarized(level).alias("two"), cohort.binarized(level, 3).alias("three"))
+
+
+@query
+def first_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's first customer."""
+    keys = adapters.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject"), "n_name")
+    table = adapters.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("subject"), "c_custkey", "c_name")
+    return cohort.lookup(keys, table, "subject", "c_custkey")
+
+
+@query
+def zipped_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation's customers and their segments, as two arrays zipped again."""
+    customers = adapters.read(spark, sf_dir, "customer")
+    pairs = F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment")))
+    listed = customers.groupBy(F.col("c_nationkey").alias("subject")).agg(pairs.alias("p")).select("subject", F.col("p.c_custkey").alias("items"), F.col("p.c_mktsegment").alias("clusters"))
+    return cohort.zipped(listed, "items", "clusters", ("item", "cluster"))
+
+
+@query
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without a pending order yet."""
+    subjects = adapters.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"))
+    pending = adapters.read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    return cohort.not_done(subjects, pending.select(F.col("o_custkey").alias("subject")))
+
+
+@query
+def selected_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers with a positive balance, counted by nation."""
+    rows = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), "o_orderkey")
+    good = cohort.positives(adapters.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_acctbal").alias("severity")))
+    return cohort.selected(rows, good).groupBy("subject").agg(F.count("*").alias("n"))
+
+
+@query
+def pool_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = adapters.strata(spark, sf_dir).select("subject", "feature")
+    pool = adapters.outcomes(spark, sf_dir).filter("yhat = y").select(F.col("id").alias("feature")).join(items, "feature").select("subject", "feature")
+    return cohort.other_pool(items, pool, ["subject", "feature"])
+
+
+@query
+def merged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = adapters.read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("key")).agg(F.count("*").alias("value"))
+    right = adapters.read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.count("*").alias("value"))
+    return cohort.merged(left, right, "key")
+
+
+@query
+def item_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.strata(spark, sf_dir).select("feature", cohort.item_path("images", F.col("subject"), F.col("feature")).alias("path"))
+
+
+# Incidence
+
+
+@query
+def incidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidence.counts(adapters.incidence(spark, sf_dir))
+
+
+@query
+def incidence_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 0/1 matrix of all samples over the first five brands."""
+    brands = ["Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15"]
+    return incidence.wide(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), brands)
+
+
+@query
+def row_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidence.deduplicated(adapters.samples(spark, sf_dir), adapters.incidence(spark, sf_dir))
+
+
+@query
+def unique_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of an order within a nation as features, so that equal columns occur."""
+    return incidence.unique_features(_supplier_incidence(spark, sf_dir))
+
+
+def _supplier_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = adapters.read(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 45)
+    own = adapters.samples(spark, sf_dir)
+    return lines.join(own, F.col("l_orderkey") == F.col("sample")).select("subject", "sample", F.col("l_partkey").alias("feature")).distinct()
+
+
+@query
+def single_class_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose orders have both labels."""
+    orders = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), (F.col("o_orderstatus") == "F").cast("int").alias("yhat"))
+    return cohort.two_classes(orders)
+
+
+@query
+def few_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inc = adapters.read(spark, sf_dir, "lineitem").join(adapters.read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("subject"), F.col("p_brand").alias("feature"))
+    return incidence.few_features(inc, 4)
+
+
+# Reshape
+
+
+@query
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reshape.communities(adapters.embeddings(spark, sf_dir))
+    return found.select("subject", "cluster", F.array_join("items", ",").alias("items"))
+
+
+@query
+def community_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = reshape.communities(adapters.embeddings(spark, sf_dir)).groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("cluster", "items"))).alias("c"))
+    return reshape.community_labels(grouped.select("subject", F.col("c.items").alias("communities")))
+
+
+@query
+def subject_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.chunked(adapters.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject")), 10)
+
+
+@query
+def item_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.indexed(adapters.strata(spark, sf_dir).select("subject", "feature"), "feature", ["subject"])
+
+
+@query
+def embeddings_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    wide = adapters.read(spark, sf_dir, "embeddings").select("vec_id", e[0].alias("PCA1"), e[1].alias("PCA2"), e[2].alias("TSNE1"), e[3].alias("TSNE2"))
+    return _rounded(reshape.embeddings_long(wide, "vec_id"), "x", "y", places=4)
+
+
+@query
+def flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested report of each label's members, flattened."""
+    rows = adapters.read(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.count("*").alias("n"))
+    report = rows.select("label", F.struct("ids", "n").alias("members"))
+    return reshape.flattened(report, "label", ["members"]).select("label", "metric", F.coalesce("position", F.lit(-1)).alias("position"), "value")
+
+
+@query
+def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered pairs of nations in a region."""
+    nations = adapters.read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("subject"), F.col("n_nationkey").alias("item"))
+    return correlation.edges(nations)
+
+
+@query
+def grouped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = adapters.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("subject"), F.format_string("results/%d/ridge_coefs.csv", "s_suppkey").alias("path"))
+    grouped = ranking.grouped_paths(paths)
+    return grouped.select("subject", F.array_join("paths", ",").alias("paths"), ranking.stem_kind(F.col("paths")[0]).alias("kind"))
+
+
+# Aggregates and metrics
+
+
+@query
+def cluster_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.proportions(adapters.strata(spark, sf_dir)), "proportion")
+
+
+@query
+def min_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.min_sample_size(adapters.strata(spark, sf_dir))
+
+
+@query
+def minority_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), (F.col("o_orderstatus") == "F").cast("int").alias("yhat"))
+    return metrics.folds(orders)
+
+
+@query
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(adapters.samples(spark, sf_dir), "subject")
+
+
+@query
+def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.accuracy(adapters.samples(spark, sf_dir), "subject"), "accuracy")
+
+
+@query
+def matthews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.matthews(adapters.samples(spark, sf_dir), "subject"), "mcc").select("subject", "mcc")
+
+
+@query
+def true_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.true_positives(metrics.correctness(adapters.samples(spark, sf_dir))).select("subject", "sample", "crt")
+
+
+@query
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = adapters.outcomes(spark, sf_dir).join(adapters.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
+    return _rounded(metrics.roc_auc(scored, "n_chars"), "auc")
+
+
+@query
+def spearman_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = adapters.read(spark, sf_dir, "part").select("p_brand", "p_size", "p_retailprice")
+    return _rounded(metrics.spearman(parts, "p_size", "p_retailprice", ("p_brand",)), "rho")
+
+
+@query
+def coef_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts, centred, as a bootstrap of each ship mode's coefficient."""
+    lines = adapters.read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("subject"), F.col("l_linestatus").alias("feature"), (F.col("l_discount") - 0.05).alias("coef"))
+    estimates = lines.groupBy("subject", "feature").agg(F.avg("coef").alias("estimate"))
+    return _rounded(metrics.bootstrap_summary(lines, estimates), "estimate", "se", "bootstrap_lower", "bootstrap_upper", "se_lower", "se_upper", places=5)
+
+
+@query
+def five_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.five_numbers(adapters.read(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag")
+
+
+@query
+def middle_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.middle(adapters.read(spark, sf_dir, "lineitem"), "l_quantity", "l_linestatus"), "mean", "median")
+
+
+@query
+def heat_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = adapters.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("subject"), F.col("c_custkey").alias("segment"), F.col("c_acctbal").alias("weight"))
+    return _rounded(metrics.heat_scale(weights), "weight", "vmax", places=2)
+
+
+# Correlations
+
+
+@query
+def marginal_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: influence of each brand on each nation's orders."""
+    found = correlation.influence(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
+    return _rounded(found, "corr", "se", "lower", "upper")
+
+
+@query
+def marginal_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole marginal job with p and verdicts."""
+    found = correlation.marginal_job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
+    return found.select("subject", "feature", "corr", "se", "lower", "upper", "p", "verdict")
+
+
+@query
+def marginal_samples_dof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = correlation.influence(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), dof="samples", unique=False)
+    return _rounded(found, "corr", "se").select("subject", "feature", "corr", "se")
+
+
+@query
+def spearman_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlation.spearman_influence(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
+
+
+@query
+def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlation.gram(adapters.incidence(spark, sf_dir))
+
+
+@query
+def feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(correlation.feature_correlations(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir)), "corr")
+
+
+@query
+def embedding_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(correlation.vector_correlations(adapters.embeddings(spark, sf_dir)), "corr", places=5)
+
+
+@query
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(correlation.silhouette(adapters.embeddings(spark, sf_dir)), "silhouette")
+
+
+@query
+def rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spearman between marginal r and ridge coefficients, over features of each subject."""
+    inc, samples = adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir)
+    r = correlation.influence(inc, samples).select("subject", "feature", "corr")
+    ridge = linear.coefficient_path(inc, samples, [1.0]).select("subject", "feature", "coef")
+    return metrics.spearman(r.join(ridge, ["subject", "feature"]), "corr", "coef", ("subject",))
+
+
+# Ranking
+
+
+def _influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = correlation.influence(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), unique=False)
+    verdict = ranking.interval_verdict(F.col("lower"), F.col("upper"), strict=True)
+    return found.withColumn("corr", _r("corr")).withColumn("verdict", verdict)
+
+
+@query
+def rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(_influence(spark, sf_dir), "corr").select("subject", "feature", "sign", "rank", "corr")
+
+
+@query
+def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top(_influence(spark, sf_dir), "corr", 3).select("subject", "feature", "sign", "rank")
+
+
+@query
+def significance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strong, weak = ranking.split_by(_influence(spark, sf_dir), "verdict")
+    return strong.unionByName(weak).groupBy("subject", "verdict").agg(F.count("*").alias("n"), F.count_if(F.col("corr") > 0).alias("n_positive"))
+
+
+@query
+def tone_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _influence(spark, sf_dir)
+    return rows.select("subject", "feature", ranking.tone(F.col("corr"), F.col("verdict")).alias("tone"))
+
+
+@query
+def bar_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.bars(_influence(spark, sf_dir), "corr", "se", "verdict").select("subject", "feature", "position", "tone")
+
+
+@query
+def path_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.manifest(_influence(spark, sf_dir), "corr", "images", "ranked")
+
+
+@query
+def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = adapters.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), F.round(F.col("p_retailprice"), 0).alias("v"))
+    return ranking.labelled(parts, "v").select("feature", "label")
+
+
+@query
+def best_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments as algorithms, scored by their mean balance in each nation."""
+    customers = adapters.read(spark, sf_dir, "customer")
+    scores = customers.groupBy(F.col("c_nationkey").alias("subject"), F.col("c_mktsegment").alias("algorithm")).agg(_r(F.avg("c_acctbal"), 2).alias("score"))
+    found = ranking.extremes(scores.withColumn("position", F.col("algorithm")))
+    return found.select("subject", "best_algorithm", "worst_algorithm")
+
+
+@query
+def best_cluster_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part sizes as k, scored by how many parts have them; the first of equals wins."""
+    counted = adapters.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("subject"), F.col("p_size").alias("k")).agg(F.count("*").cast("double").alias("score"))
+    return ranking.best_k(counted, 4, 30, ("subject",)).select("subject", "k", "score")
+
+
+# Sampling
+
+
+@query
+def sample_size_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_sizes(adapters.strata(spark, sf_dir), 20, SEED)
+
+
+@query
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty stratified subsets of each source: items and their id sum."""
+    drawn = sampling.stratified(adapters.strata(spark, sf_dir), 20, SEED)
+    return drawn.groupBy("subject", "sample").agg(F.count("*").alias("n"), F.sum("feature").alias("id_sum"))
+
+
+@query
+def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = sampling.uniform(adapters.strata(spark, sf_dir).select("subject", "feature"), 10, sampling.SizeRule(min_size=2, max_size=9), SEED)
+    return drawn.groupBy("subject", "sample").agg(F.count("*").alias("n"), F.sum("feature").alias("id_sum"))
+
+
+def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = adapters.strata(spark, sf_dir).select("subject", "feature")
+    return sampling.pools(items.join(adapters.outcomes(spark, sf_dir).withColumnRenamed("id", "feature"), "feature"))
+
+
+@query
+def class_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pools(spark, sf_dir)
+
+
+@query
+def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = sampling.balanced(_pools(spark, sf_dir), 10, 0.85, sampling.SizeRule(min_size=2, max_size=10), SEED)
+    return drawn.groupBy("subject", "sample", "pool").agg(F.count("*").alias("n"), F.sum("feature").alias("id_sum"))
+
+
+@query
+def running_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sampling.until_quota(adapters.samples(spark, sf_dir), 40)
+    return kept.groupBy("subject").agg(F.count("*").alias("n"), F.max("sample").alias("last"))
+
+
+@query
+def quota_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.deficits(sampling.until_quota(adapters.samples(spark, sf_dir), 40), 40)
+
+
+@query
+def top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage two for sources that need three positive and two negative subsets."""
+    needs = adapters.strata(spark, sf_dir).select("subject").distinct().withColumn("need_positive", F.lit(3)).withColumn("need_negative", F.lit(2))
+    drawn = sampling.top_up(_pools(spark, sf_dir), needs, rule=sampling.SizeRule(max_size=8), most=3)
+    return drawn.groupBy("subject", "side", "sample").agg(F.count("*").alias("n"), F.count_if(F.col("pool") == "positive").alias("n_positive"))
+
+
+@query
+def share_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = adapters.samples(spark, sf_dir).select("subject", "sample", F.col("yhat").alias("positives"), F.lit(1).alias("size"))
+    return sampling.until_share(orders, 0.4, 0.01).groupBy("subject").agg(F.count("*").alias("n"), F.max("sample").alias("last"))
+
+
+@query
+def subset_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = adapters.read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("subject"), F.col("n_nationkey").alias("feature"))
+    return sampling.all_subsets(nations).select("subject", "mask", "size", F.array_join("features", ",").alias("features"))
+
+
+@query
+def subset_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = adapters.read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("subject"), F.col("n_nationkey").alias("feature"))
+    return sampling.all_subsets(nations, (2, 3)).groupBy("subject", "size").agg(F.count("*").alias("n"), F.sum("mask").alias("mask_sum"))
+
+
+@query
+def bootstrap_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.bootstrap_rows(100, 20, SEED, spark)
+
+
+@query
+def minority_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws over a hundred rows of which three are positive."""
+    labels = spark.range(100).select(F.col("id").alias("row"), (F.col("id") < 3).cast("int").alias("y"))
+    draws = sampling.bootstrap_rows(100, 20, SEED, spark)
+    return sampling.minority_top_up(draws, labels, 5, SEED).withColumn("rare", F.col("row") < 3).groupBy("replicate").agg(F.count("*").alias("n"), F.count_if("rare").alias("n_rare"))
+
+
+@query
+def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.split(adapters.outcomes(spark, sf_dir).select("id", "y"), 0.2)
+
+
+@query
+def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = adapters.strata(spark, sf_dir).select("subject", "feature")
+    right = _pools(spark, sf_dir).filter("pool = 'positive'").select("subject", "feature")
+    return sampling.monte_carlo(items, 5, 6, right, SEED).groupBy("subject", "sample").agg(F.count("*").alias("n"), F.sum("feature").alias("id_sum"))
+
+
+@query
+def sample_to_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample, gather, score with a column, and spread out again."""
+    drawn = sampling.uniform(adapters.strata(spark, sf_dir).select("subject", "feature"), 10, sampling.SizeRule(max_size=9), SEED)
+    subsets = drawn.groupBy("subject", "sample").agg(F.array_sort(F.collect_list("feature")).alias("features"))
+    scored = scoring.score(subsets, (F.size("features") > 4).cast("int"))
+    inc = incidence.from_subsets(scored).join(scored.select("subject", "sample", "yhat"), ["subject", "sample"])
+    return incidence.counts(inc)
+
+
+@query
+def scored_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single items scored by a Python function."""
+    items = scoring.single_items(adapters.strata(spark, sf_dir).select("subject", "feature"))
+    return scoring.score(items, _odd_majority).select("subject", "feature", "yhat")
+
+
+def _odd_majority(features: list) -> int:
+    return int(2 * sum(f % 2 for f in features) > len(features))
+
+
+@query
+def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = adapters.read(spark, sf_dir, "customer").select("c_custkey", scoring.probabilities(F.col("c_acctbal") / 5000).alias("p"))
+    return customers.select("c_custkey", _r(F.col("p")[0]).alias("p0"), _r(F.col("p")[1]).alias("p1"))
+
+
+# Models: no SQL twins; tests hold them against closed forms and optimality conditions
+
+
+@query
+def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "ridge", {"alphas": [0.01, 0.1, 0.5, 1.0]})
+
+
+@query
+def ridge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.conditional_job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "ridge", 250, {"alphas": [0.1, 1.0]})
+
+
+@query
+def ridge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.coefficient_path(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), [0.01, 0.1, 1.0])
+
+
+@query
+def elastic_net_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "elastic_net", {"cs": [0.1, 1.0], "mixes": [0.0, 0.5, 1.0], "rounds": 100})
+
+
+@query
+def path_net_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "path_net", {"mixes": [0.5, 1.0], "path": 6, "rounds": 100})
+
+
+@query
+def model_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inc, samples = adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir)
+    fitted = linear.fit(inc, samples, "ridge", {"alphas": [1.0]}).filter("error is null")
+    return metrics.roc_auc(linear.margins(inc, samples, fitted).withColumn("y", F.col("yhat")), "margin", "y", ("subject",))
+
+
+@query
+def regression_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.diagnostics(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
+
+
+def _small_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors dealt into subjects of about 25 items."""
+    vectors = adapters.embeddings(spark, sf_dir)
+    return vectors.withColumn("subject", F.floor(F.col("item") / 25).cast("int"))
+
+
+@query
+def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.sweep(_small_subjects(spark, sf_dir), 8)
+
+
+@query
+def cluster_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.leaderboard(clustering.sweep(_small_subjects(spark, sf_dir), 8))
+
+
+@query
+def reduced_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.reduced(_small_subjects(spark, sf_dir))
+
+
+# Extension, not a capability of the reference
+
+
+@query
+def ext_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four counts of the marginal influence, merged from batches of new samples."""
+    return incremental.merged_counts(adapters.incidence(spark, sf_dir), parts=3)
+
+
+@query
+def keyed_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.read(spark, sf_dir, "nation").select("n_nationkey", keyed.whole(SEED, F.col("n_nationkey")).alias("draw"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which features most change the predicted label of each subject, marginally."""
+    return marginal_corr(spark, sf_dir)

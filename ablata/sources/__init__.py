@@ -1 +1 @@
-
+"""Readers, writers and the table adapters."""
