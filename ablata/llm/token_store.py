@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, small_batches
-from .word_bpe import Memo, splitter
+from .word_bpe import splitter
 
 MAGIC = b"DAC1"
 BLOCK_BITS = 512
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 _SEGMENT = "part int, seg int, part_start long, n_ids long, doc_ids array<long>, doc_lens array<long>, payload binary"
-_memos: dict[str, Memo] = {}
+#: A worker's memo learns so many pre-tokens, first come; the others are encoded once for each batch.
+MEMO_WORDS = 1_000_000
+_memos: dict[str, dict[bytes, bytes]] = {}
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -94,18 +97,29 @@ class Dac:
         return above
 
 
-def encode_text(text: str | None, path: str) -> np.ndarray:
-    """Ids of one text, each distinct pre-token encoded once by the library."""
-    if not text:
-        return np.zeros(0, "<u4")
-    own = splitter(path)
-    pieces = own.split(text)
-    if pieces is None:
-        return np.array(own.encode(text), "<u4")
-    memo = _memos.get(path)
-    if memo is None:
-        memo = _memos[path] = Memo(lambda piece: np.array(own.encode(piece.decode("latin-1")), "<u4").tobytes())
-    return np.frombuffer(b"".join(map(memo.__getitem__, pieces)), "<u4")
+def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
+    """Ids of each text, as little-endian 32-bit bytes. Each distinct pre-token that the memo lacks is encoded once by the library."""
+    own, memo = splitter(path), _memos.setdefault(path, {})
+    room = MEMO_WORDS - len(memo)
+    split = [own.split(text) if text else [] for text in texts]
+    pieces = list(chain.from_iterable(filter(None, split)))
+    found = list(map(memo.get, pieces))
+    lacking = [i for i, ids in enumerate(found) if ids is None]
+    new, ids_of = list({pieces[i] for i in lacking}), {}
+    for at in range(0, len(new), 256):
+        part = new[at : at + 256]
+        ids_of.update(zip(part, own.encode_pieces(part), strict=True))
+    for i in lacking:
+        found[i] = ids_of[pieces[i]]
+    memo.update(islice(ids_of.items(), max(0, room)))
+    out, at = [], 0
+    for text, own_pieces in zip(texts, split, strict=True):
+        if own_pieces is None:
+            out.append(np.array(own.encode(text), "<u4").tobytes())
+        else:
+            out.append(b"".join(found[at : at + len(own_pieces)]))
+            at += len(own_pieces)
+    return out
 
 
 def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -114,20 +128,19 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
     ids, doc_ids, lens, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
-        payload = dac_encode(np.concatenate(ids))
+        payload = dac_encode(np.frombuffer(b"".join(ids), "<u4"))
         columns = [[part], [seg], [start], [held], [doc_ids], [lens], [payload]]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         names = ["part", "seg", "part_start", "n_ids", "doc_ids", "doc_lens", "payload"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    end = np.array([end_id], "<u4")
+    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.concatenate([encode_text(text, vocabulary), end])
-            ids.append(own)
+        for doc_id, own in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), vocabulary), strict=True):
+            ids += (own, end)
             doc_ids.append(doc_id)
-            lens.append(len(own))
-            held += len(own)
+            lens.append(len(own) // 4 + 1)
+            held += lens[-1]
             if held >= SEGMENT_IDS:
                 yield flush()
                 seg, start = seg + 1, start + held
@@ -138,7 +151,7 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
 
 def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encodes every text and writes a store to ``path``; returns ``path``. Texts are shuffled once, into ranges of doc_id."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 128)
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(lambda batches: _segments(batches, vocabulary, end_id), _SEGMENT).write.option("compression", "zstd").parquet(path)
     return path
