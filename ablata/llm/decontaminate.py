@@ -22,55 +22,78 @@ from pyspark.sql import functions as F
 
 WINDOW, MIN_LITERALS, MIN_COVERAGE, MIN_CONSISTENT = 5, 2, 0.5, 0.5
 BLOCK_WINDOWS = 1 << 20
-_NAME, _NUMBER, _UNIT = "\u0001", "\u0002", "\u0003"
-_SLOT = f"[{_NAME}{_NUMBER}{_UNIT}]"
+#: Bits of the filter for each benchmark window of a block; a document window passes it by chance once in that many times.
+BITS_A_WINDOW = 64
+_NAME = "\u0001"
 #: Units that are a slot when they follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "oz", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "degree", "degrees", "mph", "kmh", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "j", "n", "k", "pa", "mol")
 
 
 def template_tokens(text: Column) -> Column:
-    """Template tokens in order: words in lower case, slots with a mark of their kind before their value."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), f"{_SLOT}", " ")
+    """Tokens in order, in lower case: numbers, and words, where names have a mark before them."""
     # A name is a capitalised word inside a sentence: after a letter, digit or comma and one space.
-    named = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}+", f"{_NAME}$0")
-    numbered = F.regexp_replace(named, r"[0-9]+(?:[.,][0-9]+)*", f" {_NUMBER}$0 ")
-    united = F.regexp_replace(numbered, f"(?<={_NUMBER}[0-9.,]{{1,12}} {{1,2}})(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])", f"{_UNIT}$0")
-    parts = F.split(united, rf"[^\p{{L}}\p{{N}}.,{_NAME}{_NUMBER}{_UNIT}]+|(?<![0-9])[.,]+|[.,]+(?![0-9])")
-    return F.transform(F.filter(parts, lambda p: p != ""), F.lower)
+    named = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_NAME), F.lit(" ")), r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}+", f"{_NAME}$0")
+    return F.regexp_extract_all(F.lower(named), F.lit(rf"[0-9]+(?:[.,][0-9]+)*|{_NAME}?[\p{{L}}\p{{N}}]+"), F.lit(0))
 
 
-def _is_slot(token: Column) -> Column:
-    return token.substr(1, 1).isin(_NAME, _NUMBER, _UNIT)
+def _kind(tokens: str, token: Column, i: Column) -> Column:
+    """A slot's kind, or null for a word."""
+    number = lambda t: (t >= "0") & (t < ":")
+    unit = (i > 0) & number(F.get(tokens, i - 1)) & token.isin(*UNITS)
+    return F.when(token.startswith(_NAME), "name").when(number(token), "number").when(unit, "unit")
 
 
-def windows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, h, slots): the template windows of each row; slots are the values in the window, null where a word stands."""
-    tokens = rows.select(F.col(id_col).alias("id"), template_tokens(F.col(text_col)).alias("t"))
-    shaped = tokens.select(
-        "id",
-        F.transform("t", lambda t: F.when(_is_slot(t), F.xxhash64(t.substr(1, 1))).otherwise(F.xxhash64(t))).alias("k"),
-        F.transform("t", lambda t: F.when(_is_slot(t), t)).alias("v"),
-    ).filter("size(k) > 0")
-    sloted = shaped.withColumn("any", F.exists("v", lambda v: v.isNotNull())).withColumn("width", F.least(F.size("k"), F.lit(WINDOW)))
-    inside = lambda i: F.slice("v", i + 1, F.col("width"))
-    literals = lambda slots: F.size(F.filter(slots, lambda v: v.isNull()))
+def _hashed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, v, width, wh): slot values by token (null for words; the array is null if there are no slots) and the window hashes."""
+    tokens = rows.select(F.col(id_col).alias("id"), template_tokens(F.col(text_col)).alias("t"), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9]").alias("digits"))
+    sloted = tokens.filter(F.size("t") >= MIN_LITERALS).withColumn("any", F.col("digits") | F.exists("t", lambda t: t.startswith(_NAME)))
+    words = F.transform("t", lambda t: F.xxhash64(t))
+    kinds = F.transform("t", lambda t, i: F.when(_kind("t", t, i).isNotNull(), F.xxhash64(F.lit(_NAME), _kind("t", t, i))).otherwise(F.xxhash64(t)))
+    values = F.transform("t", lambda t, i: F.when(_kind("t", t, i).isNotNull(), t))
+    keyed = sloted.select("id", F.when(F.col("any"), kinds).otherwise(words).alias("k"), F.when(F.col("any"), values).alias("v"), F.least(F.size("t"), F.lit(WINDOW)).alias("width"))
     starts = F.sequence(F.lit(0), F.size("k") - F.col("width"))
-    window = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("k", i + 1, F.col("width"))).alias("h"), F.when(F.col("any"), inside(i)).alias("slots")))
-    listed = sloted.filter(f"width >= {MIN_LITERALS}").select("id", F.explode(window).alias("w")).select("id", "w.at", "w.h", "w.slots")
-    return listed.filter(F.col("slots").isNull() | (literals(F.col("slots")) >= MIN_LITERALS))
+    return keyed.select("id", "v", "width", F.transform(starts, lambda i: F.xxhash64(F.slice("k", i + 1, F.col("width")))).alias("wh"))
+
+
+def _listed(hashed: DataFrame, wanted) -> DataFrame:
+    """(id, at, h, slots): the windows whose hash is ``wanted``; slots are the values in the window, null where a word stands."""
+    slots = lambda i: F.when(F.col("v").isNotNull(), F.slice("v", i + 1, F.col("width")))
+    found = F.transform("wh", lambda h, i: F.when(wanted(h), F.struct(i.alias("at"), h.alias("h"), slots(i).alias("slots"))))
+    rows = hashed.select("id", F.explode(F.filter(found, lambda w: w.isNotNull())).alias("w")).select("id", "w.*")
+    words = F.size(F.filter("slots", lambda v: v.isNull()))
+    return rows.filter(F.col("slots").isNull() | (words >= MIN_LITERALS))
+
+
+def windows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All template windows of each row."""
+    return _listed(_hashed(rows, id_col, text_col), lambda h: F.lit(True))
+
+
+def _bit_filter(side: DataFrame, n: int):
+    """A test that every hash of ``side`` passes, from a bitmap of ``BITS_A_WINDOW`` bits for each of its n windows."""
+    size = 1 << max(6, (n * BITS_A_WINDOW // 64).bit_length())
+    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(size)).cast("int")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    held = [0] * size
+    for row in side.groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(bit(F.col("h"))).alias("bits")).collect():
+        held[row["word"]] = row["bits"]
+    bitmap = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")  # folded into one constant
+    return lambda h: F.element_at(bitmap, word(h) + 1).bitwiseAND(bit(h)) != 0
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item: doc_id, item_id, n_matched, n_windows (of the item), n_slots, consistency, same_slots."""
     items = windows(benchmark, "item_id", "text").select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
     totals = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
-    own = windows(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), "h", "slots")
-    blocks = max(1, -(-items.count() // BLOCK_WINDOWS))
+    n = items.count()
+    blocks, own = max(1, -(-n // BLOCK_WINDOWS)), _hashed(docs, "doc_id", "text")
     pair = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"].isNotNull())
     hits = []
     for block in range(blocks):
         side = items.filter(F.pmod(F.col("h"), F.lit(blocks)) == block)
-        hits.append(own.join(F.broadcast(side), "h").select("doc_id", "item_id", "h", pair.alias("pairs")))
+        # Most windows are in no item: a bitmap, as constant as the block is bounded, drops them before they become rows.
+        passed = _listed(own, _bit_filter(side, min(n, BLOCK_WINDOWS))).select(F.col("id").alias("doc_id"), "h", "slots")
+        hits.append(passed.join(F.broadcast(side), "h").select("doc_id", "item_id", "h", pair.alias("pairs")))
     found = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "item_id").agg(F.size(F.collect_set("h")).alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     ratio = F.size(F.array_distinct(F.col("pairs.item"))) / F.size("pairs")
     rated = (
