@@ -326,6 +326,17 @@ def nmf(x: np.ndarray, dims: int = 2, rounds: int = 200, seed: int = 0) -> np.nd
     return w
 
 
+def topics(vectors: DataFrame, k: int = 2, seed: int = 0) -> DataFrame:
+    """(subject, item, weights): latent Dirichlet allocation of vectors made non-negative, one model for all subjects."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import functions as F
+
+    held = vectors.select("subject", "item", array_to_vector(F.transform("vector", lambda v: F.abs(v))).alias("features"))
+    model = LDA(k=k, seed=seed, maxIter=10).fit(held)
+    return model.transform(held).select("subject", "item", vector_to_array("topicDistribution").alias("weights"))
+
+
 def _from_kernel(k: np.ndarray, dims: int) -> np.ndarray:
     centre = np.eye(len(k)) - 1 / len(k)
     values, vectors = np.linalg.eigh(centre @ k @ centre)

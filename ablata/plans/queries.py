@@ -602,6 +602,11 @@ def reduced_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.reduced(_small_subjects(spark, sf_dir))
 
 
+@query
+def topic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.topics(adapters.embeddings(spark, sf_dir))
+
+
 # Extension, not a capability of the reference
 
 
