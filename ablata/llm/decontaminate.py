@@ -46,12 +46,12 @@ def _kind(tokens: str, token: Column, i: Column) -> Column:
 def _hashed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, v, width, wh): slot values by token (null for words; the array is null if there are no slots) and the window hashes."""
     tokens = rows.select(F.col(id_col).alias("id"), template_tokens(F.col(text_col)).alias("t"), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9]").alias("digits"))
-    sloted = tokens.filter(F.size("t") >= MIN_LITERALS).withColumn("any", F.col("digits") | F.exists("t", lambda t: t.startswith(_NAME)))
+    sloted = tokens.withColumn("any", F.col("digits") | F.exists("t", lambda t: t.startswith(_NAME)))
     words = F.transform("t", lambda t: F.xxhash64(t))
     kinds = F.transform("t", lambda t, i: F.when(_kind("t", t, i).isNotNull(), F.xxhash64(F.lit(_NAME), _kind("t", t, i))).otherwise(F.xxhash64(t)))
     values = F.transform("t", lambda t, i: F.when(_kind("t", t, i).isNotNull(), t))
     keyed = sloted.select("id", F.when(F.col("any"), kinds).otherwise(words).alias("k"), F.when(F.col("any"), values).alias("v"), F.least(F.size("t"), F.lit(WINDOW)).alias("width"))
-    starts = F.sequence(F.lit(0), F.size("k") - F.col("width"))
+    starts = F.when(F.col("width") >= MIN_LITERALS, F.sequence(F.lit(0), F.size("k") - F.col("width")))
     return keyed.select("id", "v", "width", F.transform(starts, lambda i: F.xxhash64(F.slice("k", i + 1, F.col("width")))).alias("wh"))
 
 

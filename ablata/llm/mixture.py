@@ -127,11 +127,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def take_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    planned = plan_mix(document_sizes(docs)).filter("copies > 0").select(F.col("key").alias("_wanted"), "copies")
+    planned = plan_mix(document_sizes(docs)).filter("copies > 0").select(F.col("key").alias("_wanted"), F.col("copies").alias("_copies"))
     # Equal rows have equal keys and are interchangeable: running numbers share the copies out among them.
-    wanted = planned.withColumn("_m", F.row_number().over(Window.partitionBy("_wanted").orderBy(F.col("copies").desc())))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
+    wanted = planned.withColumn("_m", F.row_number().over(Window.partitionBy("_wanted").orderBy(F.col("_copies").desc())))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("_key"))
+    numbered = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1))))
     # Two inequalities, so that the key alone deals out the rows, as it has for the running numbers.
     joined = numbered.join(wanted, F.expr("_key = _wanted AND _n <= _m AND _n >= _m"))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

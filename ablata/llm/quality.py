@@ -28,7 +28,7 @@ TARGET_ROWS = 20_000
 THRESHOLD = -0.25
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = r"[#*$%&|<>]"
-_TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
+_TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 
 
 def token_hashes(text: Column) -> Column:
@@ -98,16 +98,26 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base columns, ``score`` and ``kept``."""
-    model = _constant(ratios(docs, labels))
+    return _judged(docs, _constant(ratios(docs, labels)), threshold)
+
+
+def _judged(docs: DataFrame, model: Column, threshold: float) -> DataFrame:
     ratio = lambda h: F.element_at(model, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1)
     # One pass over the tokens: each one's unigram, and the bigram that it ends.
     both = F.transform("_t", lambda h, i: ratio(h) + F.when(i > 0, ratio(F.xxhash64(F.get("_t", i - 1), h))).otherwise(F.lit(0.0)))
     total = F.aggregate(both, F.lit(0.0), lambda acc, v: acc + v)
     hashed = docs.withColumn("_t", token_hashes(F.col("text")))
     scored = hashed.withColumn("score", F.when(F.size("_t") > 0, total / (2 * F.size("_t") - 1)).otherwise(F.lit(0.0))).drop("_t")
-    return base_counts(scored).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    return judge(docs, labels).filter("kept").select(*docs.columns)
+    # Always true, but not foldable: without it the optimiser moves filters on the verdict below the projections and inlines them into
+    # each other's lambdas, so that whole arrays are rebuilt for every element.
+    opaque = F.monotonically_increasing_id() >= 0
+    return base_counts(scored).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & opaque)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns as they were."""
+    # Numbers for names, so that no column of theirs is taken for a result.
+    names = {c: "text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
+    numbered = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    kept = _judged(numbered, _constant(ratios(docs, labels)), threshold).filter("kept")
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
