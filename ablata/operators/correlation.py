@@ -22,9 +22,11 @@ def influence(inc: DataFrame, samples: DataFrame, dof: str = "features", z: floa
     if dof not in ("features", "samples"):
         raise ValueError("dof must be features or samples")
     totals = samples.groupBy("subject").agg(F.count("*").alias("n"), F.sum("yhat").alias("sy"), F.count_distinct("yhat").alias("classes")).filter("classes >= 2")
-    counted = inc.groupBy("subject", "feature", "yhat").agg(F.count("*").alias("m")).groupBy("subject", "feature").agg(F.sum("m").alias("sx"), F.sum(F.col("m") * F.col("yhat")).alias("sxy"))
+    # Counts and signatures in one aggregation of the incidence; equal columns have equal counts.
+    counted = inc.groupBy("subject", "feature").agg(F.count("*").alias("sx"), F.sum("yhat").alias("sxy"), *incidence.set_signature("sample"))
     if unique:
-        counted = counted.join(incidence.unique_features(inc), ["subject", "feature"], "left_semi")
+        counted = counted.groupBy("subject", *incidence.SIGNATURE).agg(F.min("feature").alias("feature"), F.first("sx").alias("sx"), F.first("sxy").alias("sxy"))
+    counted = counted.select("subject", "feature", "sx", "sxy")
     rows = counted.join(totals.drop("classes"), "subject").withColumn("k", F.count("*").over(Window.partitionBy("subject")))
     r = stats.pearson_from_counts(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxy"))
     constant = (F.col("sx") == 0) | (F.col("sx") == F.col("n"))
