@@ -74,15 +74,17 @@ def gram(inc: DataFrame, value: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for batch in batches:
-            for subject, held in zip(batch["subject"], batch["held"], strict=True):
-                names, counts = sums.setdefault(subject, ({}, {}))
-                at = [names.setdefault(f, len(names)) for f in held]
-                for i, a in enumerate(at):
-                    for b in at[i:]:
-                        counts[a, b] = counts.get((a, b), 0) + 1
-        for subject, (names, counts) in sums.items():
+            for subject, part in batch.groupby("subject", sort=False):
+                names, total = sums.get(subject, ({}, np.zeros((0, 0))))
+                lengths = part["held"].map(len).to_numpy()
+                at = [names.setdefault(f, len(names)) for held in part["held"] for f in held]
+                x = np.zeros((len(part), len(names)))
+                x[np.repeat(np.arange(len(part)), lengths), at] = 1
+                grown = len(names) - len(total)
+                sums[subject] = names, np.pad(total, ((0, grown), (0, grown))) + x.T @ x
+        for subject, (names, total) in sums.items():
             by_place = list(names)
-            pairs = [(*sorted((by_place[a], by_place[b])), n) for (a, b), n in counts.items()]
+            pairs = [(*sorted((by_place[i], by_place[j])), int(total[i, j])) for i, j in zip(*np.nonzero(np.triu(total)), strict=True)]
             yield pd.DataFrame({"subject": [subject] * len(pairs), "a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "n": [p[2] for p in pairs]})
 
     kinds = {f.name: f.dataType.simpleString() for f in inc.schema.fields}
