@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import this package, wherever the driver was started. A cluster ships it by --py-files."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    return spark
+
 
 def build(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session; on a cluster, only the SQL settings below matter."""
-    return (
+    return importable(
         SparkSession.builder.master(master)
         .appName("ablata")
         .config("spark.driver.memory", memory)
