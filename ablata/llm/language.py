@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 DIMS, LONGEST, FOLDS = 1 << 15, 3, 5
 PER_LANGUAGE, MOST_SAMPLED = 400, 8_000
+#: The table of languages is broadcast if it has so many rows at most; beyond that it is joined by shuffles.
+BROADCAST_LANGUAGES = 10_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-3, 1e-3, 4
 UNKNOWN = "und"
 _MULTIPLY = np.uint32(2654435761)
@@ -149,7 +151,13 @@ def fit(training: DataFrame) -> Model:
     idf = np.log((1 + seen[DIMS]) / (1 + seen[:DIMS])) + 1
     # Ids first, so that texts are read only for the sample.
     order = Window.partitionBy("lang").orderBy("rank", "doc_id")
-    first = named.select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANGUAGE)
+    # Hashes are uniform, so of a language's n rows about 4 * PER_LANGUAGE are below this share of the range: however frequent the
+    # language, the window orders few rows, and the least PER_LANGUAGE hashes are among them.
+    n = cut(named.groupBy("lang").agg(F.count("*").alias("n")))
+    n = F.broadcast(n) if n.count() <= BROADCAST_LANGUAGES else n
+    ranked = named.select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).join(n, "lang")
+    few = ranked.filter((F.col("rank") / F.lit(2.0**64) + 0.5) * F.col("n") <= 4 * PER_LANGUAGE + 40)
+    first = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANGUAGE)
     chosen = first.orderBy("k", "lang").limit(MOST_SAMPLED).select("doc_id", "rank")
     rows = named.join(F.broadcast(chosen), "doc_id").select("text", "lang", "rank").mapInPandas(_counted, "lang string, rank long, at array<int>, counts array<double>").collect()
     rows = sorted((r for r in rows if r["at"]), key=lambda r: (r["rank"], r["lang"]))
