@@ -107,6 +107,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not reported."""
+    """The rows of ``docs`` whose doc_id is not reported; rows without a doc_id stay."""
     caught = contaminated(docs, benchmark).select(F.col("doc_id").alias("_caught")).distinct()
     return docs.join(caught, F.col("doc_id") == F.col("_caught"), "left_anti")
