@@ -7,7 +7,11 @@ whatever the size of the benchmark. Document windows are not shuffled before the
 
 A document is reported with an item if it holds at least ``MIN_COVERAGE`` of the item's distinct windows and its slots are consistent:
 over the matched windows, an item's slot value goes with one document value, for at least half of the pairs seen. So a question
-with other numbers or names is caught, while phrases of the same shape with slots that don't go together are not.
+with other numbers or names is caught, while phrases of the same shape with slots that don't go together are not. Consistency and
+coverage are taken over all matched windows, and also over each alignment (a text and a distance between item and document position),
+so that an item that repeats its own template, or a document with several variants of one, is judged occurrence by occurrence. And
+enough windows with the item's own slot values are always reported. n_slots and consistency are of all matched windows or, where these
+are not consistent, of the most consistent alignment with enough windows, if there is one.
 
 Null and empty texts hold nothing and match nothing; items with fewer than ``MIN_LITERALS`` words are never matched. Rows with the same
 doc_id count as one document; a null doc_id is reported as null. Repeated items are reported each. Empty tables give no rows.
@@ -44,22 +48,22 @@ def _kind(tokens: str, token: Column, i: Column) -> Column:
 
 
 def _hashed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, v, width, wh): slot values by token (null for words; the array is null if there are no slots) and the window hashes."""
-    tokens = rows.select(F.col(id_col).alias("id"), template_tokens(F.col(text_col)).alias("t"), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9]").alias("digits"))
+    """(id, row, v, width, wh): a hash of the text, slot values by token (null for words; the array is null if there are no slots) and the window hashes."""
+    tokens = rows.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), template_tokens(F.col(text_col)).alias("t"), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9]").alias("digits"))
     sloted = tokens.withColumn("any", F.col("digits") | F.exists("t", lambda t: t.startswith(_NAME)))
     words = F.transform("t", lambda t: F.xxhash64(t))
     kinds = F.transform("t", lambda t, i: F.when(_kind("t", t, i).isNotNull(), F.xxhash64(F.lit(_NAME), _kind("t", t, i))).otherwise(F.xxhash64(t)))
     values = F.transform("t", lambda t, i: F.when(_kind("t", t, i).isNotNull(), t))
-    keyed = sloted.select("id", F.when(F.col("any"), kinds).otherwise(words).alias("k"), F.when(F.col("any"), values).alias("v"), F.least(F.size("t"), F.lit(WINDOW)).alias("width"))
+    keyed = sloted.select("id", "row", F.when(F.col("any"), kinds).otherwise(words).alias("k"), F.when(F.col("any"), values).alias("v"), F.least(F.size("t"), F.lit(WINDOW)).alias("width"))
     starts = F.when(F.col("width") >= MIN_LITERALS, F.sequence(F.lit(0), F.size("k") - F.col("width")))
-    return keyed.select("id", "v", "width", F.transform(starts, lambda i: F.xxhash64(F.slice("k", i + 1, F.col("width")))).alias("wh"))
+    return keyed.select("id", "row", "v", "width", F.transform(starts, lambda i: F.xxhash64(F.slice("k", i + 1, F.col("width")))).alias("wh"))
 
 
 def _listed(hashed: DataFrame, wanted) -> DataFrame:
-    """(id, at, h, slots): the windows whose hash is ``wanted``; slots are the values in the window, null where a word stands."""
+    """(id, row, at, h, slots): the windows whose hash is ``wanted``; slots are the values in the window, null where a word stands."""
     slots = lambda i: F.when(F.col("v").isNotNull(), F.slice("v", i + 1, F.col("width")))
     found = F.transform("wh", lambda h, i: F.when(wanted(h), F.struct(i.alias("at"), h.alias("h"), slots(i).alias("slots"))))
-    rows = hashed.select("id", F.explode(F.filter(found, lambda w: w.isNotNull())).alias("w")).select("id", "w.*")
+    rows = hashed.select("id", "row", F.explode(F.filter(found, lambda w: w.isNotNull())).alias("w")).select("id", "row", "w.*")
     words = F.size(F.filter("slots", lambda v: v.isNull()))
     return rows.filter(F.col("slots").isNull() | (words >= MIN_LITERALS))
 
@@ -92,17 +96,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in range(blocks):
         side = items.filter(F.pmod(F.col("h"), F.lit(blocks)) == block)
         # Most windows are in no item: a bitmap, as constant as the block is bounded, drops them before they become rows.
-        passed = _listed(own, _bit_filter(side, min(n, BLOCK_WINDOWS))).select(F.col("id").alias("doc_id"), "h", "slots")
-        hits.append(passed.join(F.broadcast(side), "h").select("doc_id", "item_id", "h", pair.alias("pairs")))
-    found = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "item_id").agg(F.size(F.collect_set("h")).alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    ratio = F.size(F.array_distinct(F.col("pairs.item"))) / F.size("pairs")
+        passed = _listed(own, _bit_filter(side, min(n, BLOCK_WINDOWS))).select(F.col("id").alias("doc_id"), "row", "at", "h", "slots")
+        hits.append(passed.join(F.broadcast(side), "h").select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "h", pair.alias("pairs")))
+    same = lambda pairs: F.coalesce(F.forall(pairs, lambda p: p["item"] == p["doc"]), F.lit(True))
+    ratio = lambda pairs: F.when(F.size(pairs) > 0, F.size(F.array_distinct(pairs["item"])) / F.size(pairs)).otherwise(F.lit(1.0))
+    pooled = lambda sets: F.array_distinct(F.flatten(F.collect_set(sets)))
+    enough = lambda held: F.size(held) >= MIN_COVERAGE * F.col("n_windows")
+    aligned = (
+        reduce(DataFrame.unionByName, hits)
+        .groupBy("doc_id", "row", "item_id", "shift")
+        .agg(F.collect_set("h").alias("held"), F.collect_set(F.when(same(F.col("pairs")), F.col("h"))).alias("own"), pooled("pairs").alias("pairs"))
+        .join(totals, "item_id")
+        .withColumn("best", F.when(enough("held"), F.struct(ratio(F.col("pairs")).alias("consistency"), F.size("pairs").alias("n_slots"))))
+    )
+    found = aligned.groupBy("doc_id", "item_id", "n_windows").agg(pooled("held").alias("held"), pooled("own").alias("own"), pooled("pairs").alias("pairs"), F.max("best").alias("best"))
     rated = (
-        found.join(totals, "item_id")
-        .withColumn("n_slots", F.coalesce(F.greatest(F.size("pairs"), F.lit(0)), F.lit(0)))
-        .withColumn("consistency", F.when(F.col("n_slots") > 0, ratio).otherwise(F.lit(1.0)))
-        .withColumn("same_slots", F.coalesce(F.forall("pairs", lambda p: p["item"] == p["doc"]), F.lit(True)))
+        found.withColumn("n_matched", F.size("held"))
+        .withColumn("all", F.struct(ratio(F.col("pairs")).alias("consistency"), F.size("pairs").alias("n_slots")))
+        .withColumn("rated", F.when(F.col("all.consistency") >= MIN_CONSISTENT, F.col("all")).otherwise(F.coalesce("best", "all")))
+        .withColumn("same_slots", same(F.col("pairs")))
+        .select("*", "rated.*")
     )
-    caught = rated.filter((F.col("n_matched") >= MIN_COVERAGE * F.col("n_windows")) & (F.col("consistency") >= MIN_CONSISTENT))
+    caught = rated.filter(enough("held") & ((F.col("consistency") >= MIN_CONSISTENT) | enough("own")))
     return caught.select("doc_id", "item_id", "n_matched", "n_windows", "n_slots", "consistency", "same_slots")
 
 
