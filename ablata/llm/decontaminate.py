@@ -13,6 +13,13 @@ so that an item that repeats its own template, or a document with several varian
 enough windows with the item's own slot values are always reported. n_slots and consistency are of all matched windows or, where these
 are not consistent, of the most consistent alignment with enough windows, if there is one.
 
+A capitalised word inside a sentence is a name. One that begins a text, sentence, line or quotation may be a name or any word: windows
+with such words are hashed in both readings, all as words and all as names, and match if any reading does. Counted are the windows of
+the first reading; equal words in such places are no slots. Digits and letters are separate tokens also where nothing stands between.
+
+An item of fewer than ``WINDOW`` tokens is found in a text of just as many tokens, and with ``short_inside`` anywhere in a text: documents
+then have windows of each such width that occurs among the items, too.
+
 Null and empty texts hold nothing and match nothing; items with fewer than ``MIN_LITERALS`` words are never matched. Rows with the same
 doc_id count as one document; a null doc_id is reported as null. Repeated items are reported each. Empty tables give no rows.
 """
@@ -29,15 +36,19 @@ BLOCK_WINDOWS = 1 << 20
 #: Bits of the filter for each benchmark window of a block; a document window passes it by chance once in that many times.
 BITS_A_WINDOW = 64
 _NAME = "\u0001"
+#: Before a capitalised word that begins a text, sentence, line or quotation.
+_START = "\u0002"
 #: Units that are a slot when they follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "oz", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "degree", "degrees", "mph", "kmh", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "j", "n", "k", "pa", "mol")
 
 
 def template_tokens(text: Column) -> Column:
-    """Tokens in order, in lower case: numbers, and words, where names have a mark before them."""
+    """Tokens in order, in lower case: numbers, and words, where names and words that may be names have a mark before them."""
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_NAME), F.lit(" ")), F.lit(_START), F.lit(" "))
     # A name is a capitalised word inside a sentence: after a letter, digit or comma and one space.
-    named = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_NAME), F.lit(" ")), r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}+", f"{_NAME}$0")
-    return F.regexp_extract_all(F.lower(named), F.lit(rf"[0-9]+(?:[.,][0-9]+)*|{_NAME}?[\p{{L}}\p{{N}}]+"), F.lit(0))
+    named = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}+", f"{_NAME}$0")
+    marked = F.regexp_replace(named, rf"\p{{Lu}}(?<![\p{{L}}{_NAME}]\p{{Lu}})\p{{Ll}}+", f"{_START}$0")
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[0-9]+(?:[.,][0-9]+)*|[{_NAME}{_START}]?[\p{{L}}\p{{N}}&&[^0-9]]+"), F.lit(0))
 
 
 def _kind(tokens: str, token: Column, i: Column) -> Column:
@@ -47,23 +58,53 @@ def _kind(tokens: str, token: Column, i: Column) -> Column:
     return F.when(token.startswith(_NAME), "name").when(number(token), "number").when(unit, "unit")
 
 
-def _hashed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, v, width, wh): a hash of the text, slot values by token (null for words; the array is null if there are no slots) and the window hashes."""
-    tokens = rows.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), template_tokens(F.col(text_col)).alias("t"), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9]").alias("digits"))
-    sloted = tokens.withColumn("any", F.col("digits") | F.exists("t", lambda t: t.startswith(_NAME)))
+def _hashed(rows: DataFrame, id_col: str, text_col: str, short: tuple[int, ...] = ()) -> DataFrame:
+    """(id, row, m, v, width, wh, mh, ...): a hash of the text, marked tokens, slot values by token (null for words; the array is null if there
+    are no slots), the window hashes, and (at, h) of the windows with words that may be names, as names. wh and mh are followed by those of each width of ``short``, for longer texts."""
+    tokens = rows.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), template_tokens(F.col(text_col)).alias("m"), F.coalesce(F.col(text_col), F.lit("")).rlike(r"[0-9]").alias("digits"))
+    maybe = lambda t: t.startswith(_START)
+    plain = tokens.withColumn("t", F.transform("m", lambda t: F.when(maybe(t), F.substring(t, 2, 1 << 30)).otherwise(t)))
+    sloted = plain.withColumn("any", F.col("digits") | F.exists("t", lambda t: t.startswith(_NAME)))
     words = F.transform("t", lambda t: F.xxhash64(t))
     kinds = F.transform("t", lambda t, i: F.when(_kind("t", t, i).isNotNull(), F.xxhash64(F.lit(_NAME), _kind("t", t, i))).otherwise(F.xxhash64(t)))
     values = F.transform("t", lambda t, i: F.when(_kind("t", t, i).isNotNull(), t))
-    keyed = sloted.select("id", "row", F.when(F.col("any"), kinds).otherwise(words).alias("k"), F.when(F.col("any"), values).alias("v"), F.least(F.size("t"), F.lit(WINDOW)).alias("width"))
-    starts = F.when(F.col("width") >= MIN_LITERALS, F.sequence(F.lit(0), F.size("k") - F.col("width")))
-    return keyed.select("id", "row", "v", "width", F.transform(starts, lambda i: F.xxhash64(F.slice("k", i + 1, F.col("width")))).alias("wh"))
-
-
-def _listed(hashed: DataFrame, wanted) -> DataFrame:
-    """(id, row, at, h, slots): the windows whose hash is ``wanted``; slots are the values in the window, null where a word stands."""
-    slots = lambda i: F.when(F.col("v").isNotNull(), F.slice("v", i + 1, F.col("width")))
-    found = F.transform("wh", lambda h, i: F.when(wanted(h), F.struct(i.alias("at"), h.alias("h"), slots(i).alias("slots"))))
-    rows = hashed.select("id", "row", F.explode(F.filter(found, lambda w: w.isNotNull())).alias("w")).select("id", "row", "w.*")
+    keyed = sloted.select("id", "row", "m", F.when(F.col("any"), kinds).otherwise(words).alias("k"), F.when(F.col("any"), values).alias("v"), F.least(F.size("t"), F.lit(WINDOW)).alias("width"))
+    renamed = keyed.select(
+        "id", "row", "m", "k", "v", "width",
+        F.filter(F.transform("m", lambda t, i: F.when(maybe(t), i)), lambda i: i.isNotNull()).alias("places"),
+        F.transform("m", lambda t, i: F.when(maybe(t), F.xxhash64(F.lit(_NAME), F.lit("name"))).otherwise(F.get("k", i))).alias("mk"),
+    )
+
+    def both(name: str, width: Column, fits: Column) -> list[Column]:
+        last = F.size("k") - width
+        starts = F.when(fits, F.sequence(F.lit(0), last))
+        end = F.size("mk") - width  # a second use, or the optimiser moves mk into the lambda below
+        around = F.flatten(F.transform("places", lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, end))))
+        first = F.transform(starts, lambda i: F.xxhash64(F.slice("k", i + 1, width)))
+        other = F.transform(F.when(fits, F.array_distinct(around)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("mk", i + 1, width)).alias("h")))
+        return [first.alias(f"wh{name}"), other.alias(f"mh{name}")]
+
+    found = both("", F.col("width"), F.col("width") >= MIN_LITERALS)
+    for n in short:
+        found += both(str(n), F.lit(n), F.col("width") > n)
+    return renamed.select("id", "row", "m", "v", "width", *found)
+
+
+def _listed(hashed: DataFrame, wanted, short: tuple[int, ...] = ()) -> DataFrame:
+    """(id, row, at, width, h, base, slots): the windows whose hash is ``wanted`` in either reading; slots are the values in the window,
+    null where a word stands, and base is the hash of the first reading."""
+
+    def both(name: str, width: Column) -> list[Column]:
+        window = lambda at, h, base, slots: F.struct(at.alias("at"), width.alias("width"), h.alias("h"), base.alias("base"), slots.alias("slots"))
+        marked = lambda at: F.transform(F.slice("m", at + 1, width), lambda t, i: F.when(t.startswith(_START), t).otherwise(F.get("v", at + i)))
+        first = F.transform(f"wh{name}", lambda h, i: F.when(wanted(h), window(i, h, h, F.slice("v", i + 1, width))))
+        other = F.transform(f"mh{name}", lambda w: F.when(wanted(w["h"]), window(w["at"], w["h"], F.get(f"wh{name}", w["at"]), marked(w["at"]))))
+        return [F.filter(x, lambda w: w.isNotNull()) for x in (first, other)]
+
+    held = both("", F.col("width"))
+    for n in short:
+        held += [F.coalesce(x, F.array()) for x in both(str(n), F.lit(n))]
+    rows = hashed.select("id", "row", F.explode(F.concat(*held)).alias("w")).select("id", "row", "w.*")
     words = F.size(F.filter("slots", lambda v: v.isNull()))
     return rows.filter(F.col("slots").isNull() | (words >= MIN_LITERALS))
 
@@ -85,19 +126,22 @@ def _bit_filter(side: DataFrame, n: int):
     return lambda h: F.element_at(bitmap, word(h) + 1).bitwiseAND(bit(h)) != 0
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
     """One row per document and item: doc_id, item_id, n_matched, n_windows (of the item), n_slots, consistency, same_slots."""
-    items = windows(benchmark, "item_id", "text").select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
-    totals = items.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
-    n = items.count()
-    blocks, own = max(1, -(-n // BLOCK_WINDOWS)), _hashed(docs, "doc_id", "text")
-    pair = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"].isNotNull())
+    items = windows(benchmark, "item_id", "text").select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "width", "h", "base", F.col("slots").alias("item_slots"))
+    totals = items.groupBy("item_id").agg(F.count_distinct("base").alias("n_windows"))
+    by_width = {r["width"]: r["count"] for r in items.groupBy("width").count().collect()}
+    n, short = sum(by_width.values()), tuple(sorted(w for w in by_width if w < WINDOW)) if short_inside else ()
+    blocks, own = max(1, -(-n // BLOCK_WINDOWS)), _hashed(docs, "doc_id", "text", short)
+    # Where both have the same word that may be a name, it is as good as a word.
+    pair = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"].isNotNull() & ~(p["item"].startswith(_START) & (p["item"] == p["doc"])))
+    pair = F.transform(pair, lambda p: F.struct(F.translate(p["item"], _START, _NAME).alias("item"), F.translate(p["doc"], _START, _NAME).alias("doc")))
     hits = []
     for block in range(blocks):
         side = items.filter(F.pmod(F.col("h"), F.lit(blocks)) == block)
         # Most windows are in no item: a bitmap, as constant as the block is bounded, drops them before they become rows.
-        passed = _listed(own, _bit_filter(side, min(n, BLOCK_WINDOWS))).select(F.col("id").alias("doc_id"), "row", "at", "h", "slots")
-        hits.append(passed.join(F.broadcast(side), "h").select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "h", pair.alias("pairs")))
+        passed = _listed(own, _bit_filter(side, min(n, BLOCK_WINDOWS)), short).select(F.col("id").alias("doc_id"), "row", "at", "width", "h", "slots")
+        hits.append(passed.join(F.broadcast(side), ["width", "h"]).select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.col("base").alias("h"), pair.alias("pairs")))
     same = lambda pairs: F.coalesce(F.forall(pairs, lambda p: p["item"] == p["doc"]), F.lit(True))
     ratio = lambda pairs: F.when(F.size(pairs) > 0, F.size(F.array_distinct(pairs["item"])) / F.size(pairs)).otherwise(F.lit(1.0))
     pooled = lambda sets: F.array_distinct(F.flatten(F.collect_set(sets)))
@@ -121,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return caught.select("doc_id", "item_id", "n_matched", "n_windows", "n_slots", "consistency", "same_slots")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not reported; rows without a doc_id stay."""
-    caught = contaminated(docs, benchmark).select(F.col("doc_id").alias("_caught")).distinct()
+    caught = contaminated(docs, benchmark, short_inside).select(F.col("doc_id").alias("_caught")).distinct()
     return docs.join(caught, F.col("doc_id") == F.col("_caught"), "left_anti")

@@ -26,3 +26,21 @@ def test_document_with_several_variants(spark):
 def test_slots_that_do_not_go_together(spark):
     item = "pay 3 now and then 3 at noon and then 3 at dusk and then 3 at night"
     assert caught(spark, ["pay 1 now and then 2 at noon and then 4 at dusk and then 5 at night", item], [item]) == {(1, 0)}
+
+
+def test_names_that_begin_a_sentence(spark):
+    item = "Sam has 3 apples. Sam eats 1. How many are left?"
+    docs = [item.replace("Sam", "Tim"), f'He asked: "{item.replace("Sam", "Tim")}"', "so here Tim has 9 apples. Tim eats 2. How many are left?", "Tim has 3 pears. Tim sold 1. How come some are left?", item]
+    assert caught(spark, docs, [item]) == {(0, 0), (1, 0), (2, 0), (4, 0)}
+
+
+def test_digits_behind_letters(spark):
+    item = "one costs USD40 and x2 of them cost USD15 less at the fair"
+    docs = [item.replace("USD40", "USD41").replace("x2", "x5").replace("USD15", "USD16"), item.replace("USD", "EUR ").replace("x2", "all")]
+    assert caught(spark, docs, [item]) == {(0, 0)}
+
+
+def test_equal_first_words_are_no_slots(spark):
+    docs, items = spark.createDataFrame([(1, QUESTION.capitalize())], "doc_id long, text string"), spark.createDataFrame([(1, QUESTION.capitalize())], "item_id long, text string")
+    row = d.contaminated(docs, items).collect()[0]
+    assert row["n_matched"] == row["n_windows"] and row["n_slots"] == 0 and row["same_slots"]
