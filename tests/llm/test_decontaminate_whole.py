@@ -44,3 +44,20 @@ def test_equal_first_words_are_no_slots(spark):
     docs, items = spark.createDataFrame([(1, QUESTION.capitalize())], "doc_id long, text string"), spark.createDataFrame([(1, QUESTION.capitalize())], "item_id long, text string")
     row = d.contaminated(docs, items).collect()[0]
     assert row["n_matched"] == row["n_windows"] and row["n_slots"] == 0 and row["same_slots"]
+
+
+def test_short_items_inside_longer_texts(spark):
+    docs = ["today we ask who wrote hamlet in class", "who wrote hamlet", "who wrote it", "She asks. Who wrote 3 plays", "a tiny item"]
+    items = ["who wrote hamlet", "tiny item", "who wrote 5 plays"]
+    assert caught(spark, docs, items, short_inside=True) == {(0, 0), (1, 0), (3, 2), (4, 1)}
+
+
+def test_query_and_pipeline_find_short_items(spark, tmp_path):
+    import corpus_pipeline
+    from ablata.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(1, "today we ask who wrote hamlet in class"), (2, "nothing of the kind")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "who wrote hamlet")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r["doc_id"], r["item_id"]) for r in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()] == [(1, 7)]
+    assert [r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
