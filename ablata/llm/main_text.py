@@ -6,6 +6,10 @@ blank lines. Text lengths, without link text, are summed over windows of ``WINDO
 point, where they fall to zero again a dive point. The text between the two is kept if a window in between sums up to ``SURGE``
 characters, or to as much as the page's largest window if that is less.
 
+Inside ``article`` and ``main``, link text counts as any other. A link has an href, and ends where the block around it ends. An element
+with such a class or id is not dropped if it is a heading or holds an ``article``, a ``main`` or an ``h1``, or most of the page's text
+while the rest of the page has none of these.
+
 A dropped element inside ``article`` or ``main`` leaves no blank lines, so it doesn't cut the article in two. Unclosed elements end
 where a block of the same level, a landmark or the page ends. Null, empty and textless pages give the empty string; whole pages are
 read, whatever their length; repeated rows are read row by row; an empty table gives no rows.
@@ -37,6 +41,30 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that another of the same name ends.
+_SIBLINGS = frozenset("p li dt dd tr".split())
+_CONTENT = re.compile(r"<(?:article|main|h1)(?![A-Za-z0-9:-])", re.I)
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
+_UNSEEN = re.compile(rf"<({'|'.join(sorted(RAW))})(?![A-Za-z0-9:-]).*?(?:</\1\s*>|\Z)", re.I | re.S)
+
+
+def _seen(part: str) -> int:
+    """Characters of text, without markup and space."""
+    return len("".join(_MARKUP.sub(" ", _UNSEEN.sub(" ", part)).split()))
+
+
+def _holds_content(page: str, name: str, start: int, at: int) -> bool:
+    """Whether the element that begins at ``start`` with content from ``at`` holds what the page is about; no if it is never closed."""
+    depth = 1
+    for m in _MARKUP.finditer(page, at):
+        if (m[2] or "").lower() == name and not m[3].endswith("/"):
+            depth += -1 if m[1] else 1
+            if depth == 0:
+                inner, rest = page[at : m.start()], page[:start] + page[m.end() :]
+                return bool(_CONTENT.search(inner)) or (not _CONTENT.search(rest) and _seen(inner) > _seen(rest))
+    return False
+
 
 def _hinted(attributes: str) -> bool:
     if not attributes:
@@ -51,6 +79,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     parts: list[str] = []
     linked = in_link = in_content = at = 0
     skipped, depth = "", 0
+    opened: list[str] = []
 
     def end_line() -> None:
         nonlocal linked
@@ -65,7 +94,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         nonlocal linked
         if text and not skipped:
             parts.append(text)
-            if in_link:
+            if in_link and not in_content:
                 linked += len(" ".join(html.unescape(text).split()))
 
     def blank() -> None:
@@ -96,18 +125,27 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                     if depth == 0:
                         skipped = ""
                 continue
-        if not closing and name not in VOID and (name in DROPPED or (name not in LANDMARKS and _hinted(m[3]))):
+        if not closing and name not in VOID and (name in DROPPED or (name not in LANDMARKS and name not in _HEADINGS and _hinted(m[3]) and not _holds_content(page, name, m.start(), at))):
             end_line()
             blank()
             skipped, depth = name, 1
             continue
         if name in BLOCKS:
             end_line()
+            if closing:
+                if name in opened:
+                    del opened[len(opened) - 1 - opened[::-1].index(name) :]
+            elif opened and (opened[-1] == "p" or opened[-1] == name and name in _SIBLINGS):
+                opened.pop()
+            if in_link > len(opened) + 1:
+                in_link = 0  # it was never closed
+            if not closing and name not in VOID:
+                opened.append(name)
             if name in ("article", "main"):
                 in_content = max(0, in_content + (-1 if closing else 1))
                 blank()
         elif name == "a":
-            in_link = 0 if closing else 1
+            in_link = 0 if closing or not _HREF.search(m[3]) else len(opened) + 1
         elif name in ("br", "td", "th"):
             add(" ")
     end_line()
