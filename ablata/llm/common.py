@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +25,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: one batch may hold only very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def runs(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts in successive runs of up to ``chars`` characters, or one longer text.
+
+    Spark bounds a batch by its bytes (spark.sql.execution.arrow.maxBytesPerBatch); this bounds what is made of one at a time."""
+    run: list[str | None] = []
+    held = 0
+    for text in texts:
+        if run and held + len(text or "") > chars:
+            yield run
+            run, held = [], 0
+        run.append(text)
+        held += len(text or "") + 64
+    if run:
+        yield run
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or a folder of our own where that is unset (tests)."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``. Where that is unset, a folder of our own in a local session; a cluster without it is refused."""
     context = spark.sparkContext
-    set_by_cluster = context.getConf().get("spark.checkpoint.dir")
+    set_by_cluster = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(set_by_cluster)
         return set_by_cluster.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="ablata-"))
     return os.path.dirname(context.getCheckpointDir().rstrip("/"))
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut
 
 DIMS, LONGEST, FOLDS = 1 << 15, 3, 5
 PER_LANGUAGE, MOST_SAMPLED = 400, 8_000
@@ -137,8 +137,10 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        pairs = [ngram_counts(text) for text in batch["text"]]
-        yield pd.DataFrame({"lang": batch["lang"], "rank": batch["rank"], "at": [a.tolist() for a, _ in pairs], "counts": [c.tolist() for _, c in pairs]})
+        for at in range(0, len(batch), 256):
+            part = batch[at : at + 256]
+            pairs = [ngram_counts(text) for text in part["text"]]
+            yield pd.DataFrame({"lang": part["lang"], "rank": part["rank"], "k": part["k"], "at": [a.tolist() for a, _ in pairs], "counts": [c.tolist() for _, c in pairs]})
 
 
 def fit(training: DataFrame) -> Model:
@@ -149,18 +151,18 @@ def fit(training: DataFrame) -> Model:
     for row in frequencies:
         seen[row["column"]] = row["n"]
     idf = np.log((1 + seen[DIMS]) / (1 + seen[:DIMS])) + 1
-    # Ids first, so that texts are read only for the sample.
-    order = Window.partitionBy("lang").orderBy("rank", "doc_id")
+    order = Window.partitionBy("lang").orderBy("rank", "doc_id", "text")
     # Hashes are uniform, so of a language's n rows about 4 * PER_LANGUAGE are below this share of the range: however frequent the
     # language, the window orders few rows, and the least PER_LANGUAGE hashes are among them.
     n = cut(named.groupBy("lang").agg(F.count("*").alias("n")))
     n = F.broadcast(n) if n.count() <= BROADCAST_LANGUAGES else n
-    ranked = named.select("doc_id", "lang", F.xxhash64("doc_id").alias("rank")).join(n, "lang")
+    ranked = named.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("rank")).join(n, "lang")
     few = ranked.filter((F.col("rank") / F.lit(2.0**64) + 0.5) * F.col("n") <= 4 * PER_LANGUAGE + 40)
     first = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANGUAGE)
-    chosen = first.orderBy("k", "lang").limit(MOST_SAMPLED).select("doc_id", "rank")
-    rows = named.join(F.broadcast(chosen), "doc_id").select("text", "lang", "rank").mapInPandas(_counted, "lang string, rank long, at array<int>, counts array<double>").collect()
-    rows = sorted((r for r in rows if r["at"]), key=lambda r: (r["rank"], r["lang"]))
+    # Features of the sample, at most DIMS a text, go to the driver; texts stay. Rows of a repeated doc_id are candidates of their own.
+    made = first.select("text", "lang", "rank", "k").mapInPandas(_counted, "lang string, rank long, k int, at array<int>, counts array<double>")
+    rows = made.orderBy("k", "lang").limit(MOST_SAMPLED).collect()
+    rows = sorted((r for r in rows if r["at"]), key=lambda r: (r["rank"], r["lang"], r["k"]))
     languages = sorted({r["lang"] for r in rows})
     model = Model(languages, np.zeros((DIMS, len(languages))), np.zeros(len(languages)), idf)
     pairs = [(at := np.array(r["at"]), model.features(at, np.array(r["counts"]))) for r in rows]
@@ -178,15 +180,15 @@ def fit(training: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def own(texts: pd.Series) -> pd.DataFrame:
         found = [shared.value.predict(text) for text in texts]
         return pd.DataFrame({"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
-    predicted = docs.withColumn("_p", F.pandas_udf(own, "lang_pred string, score double")(F.col("text")))
-    return predicted.withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score")).drop("_p")
+    # The struct takes the place of any lang_pred there was, then its fields do; no other name is used.
+    others = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*others, F.pandas_udf(own, "lang_pred string, score double")(F.col("text")).alias("lang_pred")).select(*others, "lang_pred.*")
 
 
 def held_out():
@@ -196,6 +198,5 @@ def held_out():
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents that aren't held out, predicted for all."""
-    small_batches(docs.sparkSession)
     model = fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")

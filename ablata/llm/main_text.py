@@ -24,8 +24,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 WINDOW, SURGE = 3, 86
 #: Elements that are dropped with all they hold.
 DROPPED = frozenset("head title nav header footer aside form button select option textarea input label fieldset iframe object embed svg canvas template noscript menu dialog audio video map".split())
@@ -173,5 +171,4 @@ def _main_texts(pages: pd.Series) -> pd.Series:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars``."""
-    small_batches(pages.sparkSession)
     return pages.withColumn("text", F.pandas_udf(_main_texts, "string")(F.col(html_col))).withColumn("n_chars", F.length("text").cast("long"))

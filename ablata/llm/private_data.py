@@ -33,8 +33,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, SAMPLE_CHARS, SEED = 2_000, 20_000, 7
 SURE, ROUNDS, DAMPING = 0.9, 100, 0.3
@@ -383,7 +381,7 @@ def fit(docs: DataFrame) -> Weights | None:
     # Only the texts of a share of all hashes, about a quarter more than wanted, reach the sort.
     share = min(1.0, 1.25 * SAMPLE / max(n, 1))
     few = likely if share == 1 else likely.filter(F.pmod("hash", F.lit(1 << 32)) < int(share * (1 << 32)))
-    texts = [r["text"] for r in few.orderBy("hash", "text").limit(SAMPLE).collect()]
+    texts = [r["text"] for r in few.distinct().orderBy("hash", "text").limit(SAMPLE).collect()]
     fields = [training_view(text, random.Random(f"{SEED}|{i}")) for i, text in enumerate(texts)]
     fields = [f for f in fields if f.spans]
     return train(fields) if any(k >= 0 for f in fields for k in f.observed) else None
@@ -392,7 +390,6 @@ def fit(docs: DataFrame) -> Weights | None:
 def detect(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(fit(docs.select("doc_id", "text")))
 
     def scanned(texts: pd.Series) -> pd.DataFrame:

@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .word_bpe import Memo, splitter, whole_tokens
 
 _memos: dict[str, Memo] = {}
@@ -39,7 +38,6 @@ def count_text(text: str | None, path: str, whole: frozenset[bytes]) -> int:
 def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", limit: int = 2048) -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``."""
     spark = docs.sparkSession
-    small_batches(spark)
     whole = spark.sparkContext.broadcast(whole_tokens(vocabulary))
 
     @F.pandas_udf("long")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import new_path, runs
 from .word_bpe import splitter
 
 MAGIC = b"DAC1"
@@ -136,7 +136,8 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
 
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for doc_id, own in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), vocabulary), strict=True):
+        encoded = chain.from_iterable(encode_texts(run, vocabulary) for run in runs(batch.column(1).to_pylist()))
+        for doc_id, own in zip(batch.column(0).to_pylist(), encoded, strict=True):
             ids += (own, end)
             doc_ids.append(doc_id)
             lens.append(len(own) // 4 + 1)
@@ -151,7 +152,6 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
 
 def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encodes every text and writes a store to ``path``; returns ``path``. Texts are shuffled once, into ranges of doc_id."""
-    small_batches(docs.sparkSession, 128)
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(lambda batches: _segments(batches, vocabulary, end_id), _SEGMENT).write.option("compression", "zstd").parquet(path)
     return path
@@ -159,7 +159,6 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, id
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """One row per document, from the files: doc_id, start (in the whole store), n_tokens, ids_crc32."""
-    small_batches(spark, 4)
     segments = spark.read.schema(_SEGMENT).parquet(path)
     decoded = segments.select("part", "part_start", "doc_ids", "doc_lens", "payload").mapInArrow(_documents, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # One row for each part: as many as the writing stage had tasks, whatever the number of documents.
@@ -172,7 +171,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "doc_id", "at", "n_tokens", "ids_crc32"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
-        for part, start, doc_ids, lens, payload in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for row in range(batch.num_rows):
+            part, start, doc_ids, lens, payload = (batch.column(k)[row].as_py() for k in range(5))
             raw, ends = memoryview(Dac(payload).decode()).cast("B"), np.cumsum(lens)
             starts = ends - lens
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]
