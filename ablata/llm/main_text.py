@@ -6,19 +6,28 @@ blank lines. Text lengths, without link text, are summed over windows of ``WINDO
 point, where they fall to zero again a dive point. The text between the two is kept if a window in between sums up to ``SURGE``
 characters, or to as much as the page's largest window if that is less.
 
-Inside ``article`` and ``main``, link text counts as any other. A link has an href, and ends where the block around it ends. An element
-with such a class or id is not dropped if it is a heading or holds an ``article``, a ``main`` or an ``h1``, or most of the page's text
-while the rest of the page has none of these.
+``article`` elements (``main``, if the page has none) are content: link text counts there as any other, and a dropped element leaves no
+blank lines, so content is one stretch from its first line to its last. It is always kept, and if it holds at least half of what is
+kept, the text outside it goes.
 
-A dropped element inside ``article`` or ``main`` leaves no blank lines, so it doesn't cut the article in two. Unclosed elements end
-where a block of the same level, a landmark or the page ends. Null, empty and textless pages give the empty string; whole pages are
-read, whatever their length; repeated rows are read row by row; an empty table gives no rows.
+What names drop. A heading is never dropped for its names, nor is an element that holds content, an ``h1``, or most of the page's text
+while the rest has neither. Inside content only containers are, if one name says nothing but what is surely no article (``SURE``), or
+if a name has any of ``HINTS`` and at least half of the text is links; so a paragraph of class "alert" or "share-price" stays.
+Elsewhere a container is dropped for any of ``HINTS``, and other elements if a name has no other word or half of the text is links.
+A header inside content stays if it holds a heading, a form if it holds content.
+
+Unclosed elements end where a block of the same level, a landmark or the page ends. An unclosed element that would be dropped for its names ends
+where the next block begins, one that would be for its kind at the next paragraph, heading or landmark, a title at the next markup. Null, empty and textless pages
+give the empty string; whole pages are read once, in proportion to their length; repeated rows are read row by row; an empty table gives
+no rows. Columns called text and n_chars are replaced, others stay.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,139 +39,254 @@ DROPPED = frozenset("head title nav header footer aside form button select optio
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 #: Elements that begin and end lines.
-BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table thead tbody tfoot caption blockquote pre article section main body html figure figcaption details summary address hr center".split())
+BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table thead tbody tfoot caption blockquote pre article section main body html figure figcaption details summary address hr center nav header footer aside form fieldset".split())
 LANDMARKS = frozenset("article main body html".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Blocks that another of the same name ends.
+SIBLINGS = frozenset("p li dt dd tr option".split())
+CONTAINERS = frozenset("div section ul ol dl span article center".split())
+#: Words in class or id of what is surely no part of an article.
+SURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments commentlist disqus respond cookie cookies consent notice notices popup modal overlay nav navbar navigation breadcrumb breadcrumbs masthead newsletter subscribe subscription signup login pagination pager".split())
 #: Words in class or id that mark an element to drop.
-HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side aside comment comments commentlist disqus respond reply cookie cookies consent notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs header masthead footer colophon copyright share sharing social related recommended newsletter subscribe subscription signup login widget pagination pager toolbar tags".split())
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HINTS = SURE | frozenset("side aside reply alert menu header footer colophon copyright share sharing social related recommended widget toolbar tags".split())
+#: Words that say nothing beside these.
+FILLERS = frozenset("box wrapper wrap container list section area block slot unit item items inner outer top bottom left right site page bar".split())
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S)
+_NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Blocks that another of the same name ends.
-_SIBLINGS = frozenset("p li dt dd tr".split())
-_CONTENT = re.compile(r"<(?:article|main|h1)(?![A-Za-z0-9:-])", re.I)
 _HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
-_UNSEEN = re.compile(rf"<({'|'.join(sorted(RAW))})(?![A-Za-z0-9:-]).*?(?:</\1\s*>|\Z)", re.I | re.S)
 
 
-def _seen(part: str) -> int:
-    """Characters of text, without markup and space."""
-    return len("".join(_MARKUP.sub(" ", _UNSEEN.sub(" ", part)).split()))
+@dataclass
+class Element:
+    """An element: its first and last item of the page, and whether it has an end tag of its own."""
 
+    name: str
+    attributes: str
+    start: int
+    end: int = -1
+    closed: bool = False
 
-def _holds_content(page: str, name: str, start: int, at: int) -> bool:
-    """Whether the element that begins at ``start`` with content from ``at`` holds what the page is about; no if it is never closed."""
-    depth = 1
-    for m in _MARKUP.finditer(page, at):
-        if (m[2] or "").lower() == name and not m[3].endswith("/"):
-            depth += -1 if m[1] else 1
-            if depth == 0:
-                inner, rest = page[at : m.start()], page[:start] + page[m.end() :]
-                return bool(_CONTENT.search(inner)) or (not _CONTENT.search(rest) and _seen(inner) > _seen(rest))
-    return False
 
+@dataclass
+class Page:
+    """A page's items in order: texts, and elements that open (True) and end (False). ``links`` tells which texts are in a link."""
 
-def _hinted(attributes: str) -> bool:
-    if not attributes:
-        return False
-    named = " ".join(filter(None, (x for m in _NAMED.findall(attributes) for x in m)))
-    return any(w.lower() in HINTS for w in _WORDS.findall(named))
+    items: list[str | tuple[Element, bool]] = field(default_factory=list)
+    links: list[bool] = field(default_factory=list)
 
+    def add(self, item: str | tuple[Element, bool], linked: bool = False) -> None:
+        self.items.append(item)
+        self.links.append(linked)
 
-def page_lines(page: str) -> list[tuple[str, int]]:
-    """The page's lines in order: text and its length without link text; dropped elements are ``WINDOW`` lines without text."""
-    lines: list[tuple[str, int]] = []
-    parts: list[str] = []
-    linked = in_link = in_content = at = 0
-    skipped, depth = "", 0
-    opened: list[str] = []
 
-    def end_line() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                lines.append((text, max(0, len(text) - linked)))
-            parts.clear()
-        linked = 0
+def parse(page: str) -> Page:
+    """The page as items, each element with its end."""
+    out, opened, at = Page(), [], 0
+    in_link, unclosed = 0, set()  # blocks open around the link, and one
+    names: dict[str, int] = {}  # how many of a name are open
 
-    def add(text: str) -> None:
-        nonlocal linked
-        if text and not skipped:
-            parts.append(text)
-            if in_link and not in_content:
-                linked += len(" ".join(html.unescape(text).split()))
-
-    def blank() -> None:
-        if not in_content:
-            lines.extend([("", 0)] * WINDOW)
+    def end(upto: int, closed: bool = False) -> None:
+        while len(opened) > upto:
+            x = opened.pop()
+            names[x.name] -= 1
+            x.end, x.closed = len(out.items), closed and len(opened) == upto
+            out.add((x, False))
 
     while at < len(page):
         m = _MARKUP.search(page, at)
         if m is None:
-            add(page[at:])
+            out.add(page[at:], bool(in_link))
             break
-        add(page[at : m.start()])
+        if m.start() > at:
+            out.add(page[at : m.start()], bool(in_link))
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
-        closing = bool(m[1])
-        if name in RAW and not closing:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if m[1]:
+            if names.get(name):
+                # An end tag goes no further up than a landmark, unless it is one's own.
+                k = len(opened) - 1
+                while opened[k].name != name and (opened[k].name not in LANDMARKS or name in LANDMARKS):
+                    k -= 1
+                if opened[k].name == name:
+                    end(k, True)
+            if name == "a" or in_link > len(opened) + 1:
+                in_link = 0
             continue
-        if skipped:
-            if name in LANDMARKS or (skipped == "p" and name in BLOCKS and not closing):
-                skipped = ""  # it was never closed
-            else:
-                if name == skipped and not m[3].endswith("/"):
-                    depth += -1 if closing else 1
-                    if depth == 0:
-                        skipped = ""
-                continue
-        if not closing and name not in VOID and (name in DROPPED or (name not in LANDMARKS and name not in _HEADINGS and _hinted(m[3]) and not _holds_content(page, name, m.start(), at))):
-            end_line()
-            blank()
-            skipped, depth = name, 1
+        if name in RAW:
+            if name not in unclosed:
+                if m[3].endswith("/") and name not in ("script", "style", "title"):
+                    continue
+                if close := re.compile(rf"</{name}(?![A-Za-z0-9:-])[^>]*>?", re.I).search(page, at):
+                    at = close.end()
+                    continue
+                unclosed.add(name)
+            if name == "title":
+                found = page.find("<", at)
+                at = found if found >= 0 else len(page)
+            elif name in ("script", "style", "xmp"):
+                at = len(page)
             continue
         if name in BLOCKS:
-            end_line()
-            if closing:
-                if name in opened:
-                    del opened[len(opened) - 1 - opened[::-1].index(name) :]
-            elif opened and (opened[-1] == "p" or opened[-1] == name and name in _SIBLINGS):
-                opened.pop()
+            while opened and (opened[-1].name == "p" or (opened[-1].name == name and name in SIBLINGS)):
+                end(len(opened) - 1)
+            if name in LANDMARKS and names.get("head"):
+                end(next(k for k, x in enumerate(opened) if x.name == "head"))
             if in_link > len(opened) + 1:
                 in_link = 0  # it was never closed
-            if not closing and name not in VOID:
-                opened.append(name)
-            if name in ("article", "main"):
-                in_content = max(0, in_content + (-1 if closing else 1))
+        if name == "a":
+            in_link = len(opened) + 1 if _HREF.search(m[3]) else 0
+        if name in VOID or m[3].endswith("/") and name not in BLOCKS and name not in DROPPED:
+            x = Element(name, m[3], len(out.items), len(out.items), True)
+            out.add((x, True))
+        elif name in BLOCKS or name in DROPPED or _NAMED.search(m[3]):
+            # Other elements have no bearing on the lines.
+            x = Element(name, m[3], len(out.items))
+            opened.append(x)
+            names[name] = names.get(name, 0) + 1
+            out.add((x, True))
+        elif name in ("td", "th"):
+            out.add(" ")
+    end(0)
+    return out
+
+
+def _hint(attributes: str) -> int:
+    """What class, id and role say: 3 a name of sure and filling words only, 2 of hints and filling words only, 1 any hint, 0 none."""
+    found = 0
+    for m in _NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            if any(w in HINTS for w in words):
+                pure = all(w in HINTS or w in FILLERS for w in words)
+                found = max(found, 3 if pure and any(w in SURE for w in words) else 2 if pure else 1)
+    return found
+
+
+def page_lines(page: str) -> list[tuple[str, int, bool]]:
+    """The page's lines in order: text, its length without link text, and whether it is content; dropped elements are ``WINDOW`` lines without text."""
+    parsed = parse(page)
+    items = parsed.items
+    opens = lambda names: [0, *accumulate(not isinstance(x, str) and x[1] and x[0].name in names for x in items)]
+    chars = [len("".join(x.split())) if isinstance(x, str) else 0 for x in items]
+    seen, linked = [0, *accumulate(chars)], [0, *accumulate(n * k for n, k in zip(chars, parsed.links, strict=True))]
+    articles, mains, tops, headings = opens({"article"}), opens({"main"}), opens({"h1"}), opens(HEADINGS)
+    landmark = "article" if articles[-1] else "main"
+    landmarks = articles if articles[-1] else mains
+
+    def inside(sums: list[int], x: Element) -> int:
+        return sums[x.end] - sums[x.start + 1]
+
+    def dropped(x: Element, in_content: int) -> bool:
+        if x.name in DROPPED:
+            if x.name == "form":
+                return not inside(landmarks, x) and not inside(tops, x)
+            return not (x.name == "header" and in_content and inside(headings, x))
+        if x.name in HEADINGS or x.name in ("main", "body", "html"):
+            return False
+        hint = _hint(x.attributes) if x.attributes else 0
+        if not hint:
+            return False
+        if x.closed:
+            held, all_held = inside(seen, x), seen[-1]
+            if inside(landmarks, x) or inside(mains, x) or inside(tops, x):
+                return False
+            rest = landmarks[-1] + tops[-1] - (x.name == landmark)
+            if not rest and 2 * held > all_held:
+                return False
+        links = 2 * inside(linked, x) >= max(inside(seen, x), 1)
+        if x.name == "article":
+            return hint == 3 and landmarks[-1] > 1
+        if in_content:
+            return x.name in CONTAINERS and (hint == 3 or links)
+        return x.name in CONTAINERS or hint >= 2 or links
+
+    def last(x: Element) -> int:
+        """The last item of a dropped element."""
+        if x.closed or x.end == x.start:
+            return x.end
+        for k in range(x.start + 1, x.end):
+            if not isinstance(items[k], str):
+                name = items[k][0].name
+                if (name in LANDMARKS or name in HEADINGS or name in ("p", x.name)) if x.name in DROPPED else name in BLOCKS:
+                    return k - 1
+        return x.end
+
+    lines: list[tuple[str, int, bool]] = []
+    parts: list[str] = []
+    in_link_chars = in_content = 0
+
+    def end_line() -> None:
+        nonlocal in_link_chars
+        if parts:
+            text = " ".join(html.unescape("".join(parts)).split())
+            if text:
+                lines.append((text, max(0, len(text) - in_link_chars), in_content > 0))
+            parts.clear()
+        in_link_chars = 0
+
+    def blank() -> None:
+        if not in_content:
+            lines.extend([("", 0, False)] * WINDOW)
+
+    at = 0
+    while at < len(items):
+        item = items[at]
+        if isinstance(item, str):
+            parts.append(item)
+            if parsed.links[at] and not in_content:
+                in_link_chars += len(" ".join(html.unescape(item).split()))
+            at += 1
+            continue
+        x, opening = item
+        if opening and x.name not in VOID and dropped(x, in_content):
+            if x.name in BLOCKS or x.name in CONTAINERS or x.name in DROPPED:
+                end_line()
                 blank()
-        elif name == "a":
-            in_link = 0 if closing or not _HREF.search(m[3]) else len(opened) + 1
-        elif name in ("br", "td", "th"):
-            add(" ")
+            at = last(x) + 1
+            continue
+        if x.name in BLOCKS:
+            end_line()
+            if x.name == landmark:
+                if opening:
+                    blank()
+                in_content = max(0, in_content + (1 if opening else -1))
+                if not opening:
+                    blank()
+        elif x.name == "br":
+            parts.append(" ")
+        at += 1
     end_line()
     return lines
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the article joined by blank lines; the empty string if there are none."""
-    lines = page_lines(page or "")
-    sums = [sum(n for _, n in lines[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lines))]
-    enough, kept, run, most = min(SURGE, max(sums, default=0)), [], [], 0
-    for (text, _), total in zip([*lines, ("", 0)], [*sums, 0], strict=True):
+def between_points(sizes: list[int]) -> list[bool]:
+    """Which lines stand between a surge and a dive point with enough text in between."""
+    before = [0, *accumulate(sizes)]
+    sums = [before[i + 1] - before[max(0, i - WINDOW + 1)] for i in range(len(sizes))]
+    enough, kept, run, most = max(1, min(SURGE, max(sums, default=0))), [False] * len(sizes), [], 0
+    for i, total in enumerate([*sums, 0]):
         if total == 0:  # a dive, or still before the surge
-            kept += run if most >= max(enough, 1) else []
+            if most >= enough:
+                for k in run:
+                    kept[k] = True
             run, most = [], 0
         else:
-            run.append(text)
+            run.append(i)
             most = max(most, total)
-    return "\n\n".join(text for text in kept if text)
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the article joined by blank lines; the empty string if there are none."""
+    lines = page_lines(page or "")
+    kept = [text and (content or between) for (text, _, content), between in zip(lines, between_points([n for _, n, _ in lines]), strict=True)]
+    within = sum(len(text) for (text, _, content), k in zip(lines, kept, strict=True) if k and content)
+    outside = sum(len(text) for (text, _, content), k in zip(lines, kept, strict=True) if k and not content)
+    return "\n\n".join(text for (text, _, content), k in zip(lines, kept, strict=True) if k and (content or within < outside or not within))
 
 
 def _main_texts(pages: pd.Series) -> pd.Series:
