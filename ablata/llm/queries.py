@@ -22,7 +22,8 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), short_inside=True)
+    found = decontaminate.found_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), short_inside=True)
+    return found.drop("class")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
