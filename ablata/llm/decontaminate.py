@@ -71,7 +71,7 @@ def exact_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{N}&&[^0-9]]+|[^\s\p{L}\p{N}]"), F.lit(0))
 
 
-def _hashed(rows: DataFrame, id_col: str, text_col: str, short: tuple[int, ...] = (), exact: tuple[int, ...] = (), item_side: bool = False) -> DataFrame:
+def _hashed(rows: DataFrame, id_col: str, text_col: str, short: tuple[int, ...] = (), exact: tuple[int, ...] = (), holes: bool = True, item_side: bool = False) -> DataFrame:
     """(id, row, m, v, k, width, wh, mh, ...): a hash of the text, marked tokens, slot values by token (null for words; the array is null if there
     are no slots), hashes of the template tokens, the window hashes, and (at, h, hole) of the windows with words that may be names, as names: those that
     begin a sentence where hole is -1, else the one at hole, on the item side the window's only name. wh and mh are followed by those of each width of ``short``, for longer texts,
@@ -115,7 +115,7 @@ def _hashed(rows: DataFrame, id_col: str, text_col: str, short: tuple[int, ...]
             other = F.concat(other, some) if item_side else F.when(F.col("plain"), some).otherwise(other)
         return [first.alias(f"wh{label}"), other.alias(f"mh{label}")]
 
-    found = both("", F.col("width"), F.col("width") >= MIN_LITERALS, True)
+    found = both("", F.col("width"), F.col("width") >= MIN_LITERALS, holes)
     for n in short:
         found += both(str(n), F.lit(n), F.col("width") > n, False)
     for n in exact:
@@ -125,26 +125,26 @@ def _hashed(rows: DataFrame, id_col: str, text_col: str, short: tuple[int, ...]
     return renamed.select("id", "row", "m", "v", "k", "width", *(["e"] if exact else []), *found)
 
 
-_WINDOW = "array<struct<at:int,width:int,h:bigint,base:bigint,slots:array<string>>>"
+_WINDOW = "array<struct<at:int,width:int,h:bigint,base:bigint,hole:int,slots:array<string>>>"
 
 
 def _listed(hashed: DataFrame, wanted, short: tuple[int, ...] = (), exact: tuple[int, ...] = ()) -> DataFrame:
-    """(id, row, at, width, h, base, slots): the windows whose hash is ``wanted`` in any reading; slots are the values in the window,
+    """(id, row, at, width, h, base, hole, slots): the windows whose hash is ``wanted`` in any reading; slots are the values in the window,
     null where a word stands, and base is the hash of the first reading. Exact windows have no slots."""
-    window = lambda at, width, h, base, slots: F.struct(at.alias("at"), width.alias("width"), h.alias("h"), base.alias("base"), slots.alias("slots"))
+    window = lambda at, width, h, base, hole, slots: F.struct(at.alias("at"), width.alias("width"), h.alias("h"), base.alias("base"), hole.alias("hole"), slots.alias("slots"))
 
     def both(label: str, width: Column) -> list[Column]:
         mark = lambda t, j, hole: F.when(t.startswith(_START), t).when((j == hole) & ~t.startswith(_NAME), F.concat(F.lit(_START), t))
         marked = lambda w: F.transform(F.slice("m", w["at"] + 1, width), lambda t, j: mark(t, j, w["hole"]).otherwise(F.get("v", w["at"] + j)))
-        first = F.transform(f"wh{label}", lambda h, i: F.when(wanted(h), window(i, width, h, h, F.slice("v", i + 1, width))))
-        other = F.transform(f"mh{label}", lambda w: F.when(wanted(w["h"]), window(w["at"], width, w["h"], F.get(f"wh{label}", w["at"]), marked(w))))
+        first = F.transform(f"wh{label}", lambda h, i: F.when(wanted(h), window(i, width, h, h, F.lit(-1), F.slice("v", i + 1, width))))
+        other = F.transform(f"mh{label}", lambda w: F.when(wanted(w["h"]), window(w["at"], width, w["h"], F.get(f"wh{label}", w["at"]), w["hole"], marked(w))))
         return [first, other]
 
     held = both("", F.col("width"))
     for n in short:
         held += both(str(n), F.lit(n))
     for n in exact:
-        held.append(F.transform(f"eh{n}", lambda h, i: F.when(wanted(h), window(i, F.lit(n), h, h, F.lit(None).cast("array<string>")))))  # noqa: B023
+        held.append(F.transform(f"eh{n}", lambda h, i: F.when(wanted(h), window(i, F.lit(n), h, h, F.lit(-1), F.lit(None).cast("array<string>")))))  # noqa: B023
     held = [F.coalesce(F.filter(x, lambda w: w.isNotNull()), F.array()).cast(_WINDOW) for x in held]
     rows = hashed.select("id", "row", F.explode(F.concat(*held)).alias("w")).select("id", "row", "w.*")
     words = F.size(F.filter("slots", lambda v: v.isNull()))
@@ -176,26 +176,30 @@ def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def _bit_filter(side: DataFrame, n: int):
-    """A test that every hash of ``side`` passes, from a bitmap of ``BITS_A_WINDOW`` bits for each of its n windows as far as it may have them."""
+    """A test that every hash of ``side`` passes, from a bitmap of ``BITS_A_WINDOW`` bits for each of its n windows as far as it may have them.
+
+    Each hash has two bits in it, so that few others pass."""
     size = min(MOST_WORDS, 1 << max(6, (n * BITS_A_WINDOW // 64).bit_length()))
-    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(size)).cast("int")
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    word = lambda h, k: F.pmod(F.shiftright(h, 6 + 24 * k), F.lit(size)).cast("int")
+    bit = lambda h, k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 58 * k), F.lit(64)).cast("int"))
+    own = F.explode(F.array(*(F.struct(word(F.col("h"), k).alias("word"), bit(F.col("h"), k).alias("bits")) for k in (0, 1))))
     held = [0] * size
-    for row in side.groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(bit(F.col("h"))).alias("bits")).collect():  # MOST_WORDS rows at most
+    for row in side.select(own.alias("x")).groupBy("x.word").agg(F.bit_or("x.bits").alias("bits")).collect():  # MOST_WORDS rows at most
         held[row["word"]] = row["bits"]
     bitmap = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")  # folded into one constant
-    return lambda h: F.element_at(bitmap, word(h) + 1).bitwiseAND(bit(h)) != 0
+    has = lambda h, k: F.element_at(bitmap, word(h, k) + 1).bitwiseAND(bit(h, k)) != 0
+    return lambda h: has(h, 0) & has(h, 1)
 
 
 def _class_windows(items: DataFrame) -> DataFrame:
-    """One row per window of each class: class, item_id, n_items, item_at, width, h, base, item_slots, n_windows, needed, lead (is among the rarest that must be looked up)."""
+    """One row per window of each class: class, item_id, n_items, item_at, width, h, base, hole, item_slots, n_windows, needed, lead (is among the rarest that must be looked up)."""
     least = F.min(F.struct(F.col("item_id").isNull().alias("no_id"), F.col("item_id"), F.col("text"))).alias("rep")
     classes = items.groupBy("class", "exact").agg(least, F.count("*").alias("n_items")).select("class", "exact", "rep.item_id", "rep.text", "n_items")
     template = _listed(_hashed(classes.filter("not exact"), "class", "text", item_side=True), lambda h: F.lit(True))
     spelled = classes.filter("exact").select(F.col("class").alias("id"), F.lit(0).cast("long").alias("row"), exact_tokens(F.col("text")).alias("e"))
     spelled = spelled.withColumn("width", F.least(F.size("e"), F.lit(WINDOW)))
     h = lambda i: F.xxhash64(F.lit("exact"), F.slice("e", i + 1, F.col("width")))
-    each = F.transform(F.sequence(F.lit(0), F.size("e") - F.col("width")), lambda i: F.struct(i.alias("at"), F.col("width").alias("width"), h(i).alias("h"), h(i).alias("base"), F.lit(None).cast("array<string>").alias("slots")))
+    each = F.transform(F.sequence(F.lit(0), F.size("e") - F.col("width")), lambda i: F.struct(i.alias("at"), F.col("width").alias("width"), h(i).alias("h"), h(i).alias("base"), F.lit(-1).alias("hole"), F.lit(None).cast("array<string>").alias("slots")))
     listed = template.unionByName(spelled.select("id", "row", F.explode(each).alias("w")).select("id", "row", "w.*"))
     bases = listed.select(F.col("id").alias("class"), "base").distinct()
     frequency = bases.groupBy("base").agg(F.count("*").alias("classes"))
@@ -203,7 +207,7 @@ def _class_windows(items: DataFrame) -> DataFrame:
     totals = ranked.groupBy("class").agg(F.count("*").alias("n_windows"))
     named = classes.drop("text").join(totals, "class").withColumn("needed", F.when(F.col("exact"), F.col("n_windows")).otherwise(F.ceil(MIN_COVERAGE * F.col("n_windows")).cast("long")))
     lead = ranked.select("class", "base", "rank").join(named, "class").withColumn("lead", F.col("rank") <= F.col("n_windows") - F.col("needed") + 1)
-    wide = listed.select(F.col("id").alias("class"), F.col("at").alias("item_at"), "width", "h", "base", F.col("slots").alias("item_slots"))
+    wide = listed.select(F.col("id").alias("class"), F.col("at").alias("item_at"), "width", "h", "base", "hole", F.col("slots").alias("item_slots"))
     return wide.join(lead.drop("rank"), ["class", "base"])
 
 
@@ -220,13 +224,14 @@ def found_classes(docs: DataFrame, benchmark: DataFrame, short_inside: bool = Fa
     same_slots (in all matched windows the values are those of some item of the class), n_items (of the class), class."""
     items = cut(_classed(benchmark, "item_id", "text"))
     side = cut(_class_windows(items))
-    by_width = {(r["exact"], r["width"]): r["count"] for r in side.groupBy("exact", "width").count().collect()}
+    kinds = side.groupBy("exact", "width").agg(F.count("*").alias("n"), F.max("hole").alias("hole")).collect()
+    by_width, holes = {(r["exact"], r["width"]): r["n"] for r in kinds}, any(r["hole"] >= 0 for r in kinds)
     n = sum(by_width.values())
     short = tuple(sorted(w for e, w in by_width if not e and w < WINDOW)) if short_inside else ()
     exact = tuple(sorted(w for e, w in by_width if e))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.hex("row")))
     # Most windows are in no item: a bitmap drops them before they become rows. What is left is written once and used twice.
-    passed = _listed(_hashed(docs, "doc_id", "text", short, exact), _bit_filter(side, n), short, exact).withColumnRenamed("id", "doc_id")
+    passed = _listed(_hashed(docs, "doc_id", "text", short, exact, holes), _bit_filter(side, n), short, exact).withColumnRenamed("id", "doc_id")
     passed = cut(passed.select(key.alias("doc"), "doc_id", "row", "at", "width", "h", "slots"))
     candidates = _met(passed.select("doc", "width", "h"), side.filter("lead").select("width", "h", "class"), ["width", "h"], n).select("doc", "class").distinct()
     # Where both have the same word that may be a name, it is as good as a word.
