@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +65,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that a lost executor costs no recomputation and the rows stay the same."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*(c.isNull() for c in hashable), *hashable)
+
+
+def guarded(docs: DataFrame, work: Callable[[DataFrame], DataFrame], results: list[str], needed: tuple[str, ...] = ("text",)) -> DataFrame:
+    """``docs`` with the ``results`` that ``work`` adds. It sees the ``needed`` columns, and the others under numbers, so no name of theirs is taken for one of its own."""
+    names = {c: c if c in needed else f"_{i}" for i, c in enumerate(docs.columns)}
+    done = work(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())))
+    return done.select(*(F.col(n).alias(c) for c, n in names.items() if c not in results), *results)

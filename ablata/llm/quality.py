@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP
+from .common import WORD_GAP, guarded
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -69,8 +69,15 @@ def _constant(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """``docs`` with the columns of ``BASE``."""
+    return guarded(docs, _counted, BASE)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.withColumn("_w", F.array_remove(F.split(text, WORD_GAP), ""))
     # Windows by 64-bit hash first. Equal windows have equal hashes, so a text whose hashes are distinct has no repeat.
@@ -98,7 +105,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base columns, ``score`` and ``kept``."""
-    return _judged(docs, _constant(ratios(docs, labels)), threshold)
+    model = _constant(ratios(docs, labels))
+    return guarded(docs, lambda numbered: _judged(numbered, model, threshold), ["score", *BASE, "kept"])
 
 
 def _judged(docs: DataFrame, model: Column, threshold: float) -> DataFrame:
@@ -111,13 +119,13 @@ def _judged(docs: DataFrame, model: Column, threshold: float) -> DataFrame:
     # Always true, but not foldable: without it the optimiser moves filters on the verdict below the projections and inlines them into
     # each other's lambdas, so that whole arrays are rebuilt for every element.
     opaque = F.monotonically_increasing_id() >= 0
-    return base_counts(scored).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & opaque)
+    return _counted(scored).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & opaque)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns as they were."""
-    # Numbers for names, so that no column of theirs is taken for a result.
-    names = {c: "text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
+    model = _constant(ratios(docs, labels))
+    # Numbers for names, as results must not take the place of columns either.
+    names = {c: c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
     numbered = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    kept = _judged(numbered, _constant(ratios(docs, labels)), threshold).filter("kept")
-    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
+    return _judged(numbered, model, threshold).filter("kept").select(*(F.col(n).alias(c) for c, n in names.items()))

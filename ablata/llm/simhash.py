@@ -8,8 +8,10 @@ Exact copies are folded into one fingerprint first. A table entry with more than
 fingerprints, and those that look it up, are linked through shared points of their full 64-bit balls of radius 1, which meet exactly
 when two fingerprints differ in at most 2 bits. That finds the same links through 65 rows each, however large the entry.
 
-Null, empty and wordless texts have fingerprint zero. Rows with equal doc_id each keep a row; a null doc_id is never the smallest in
-its component unless it is alone. An empty table gives no rows.
+Null, empty and wordless texts have fingerprint zero. Every row has a result row, rows of an equal doc_id too; a null doc_id is never the
+smallest in its component unless no other is in it. ``keep_one_row`` keeps a single row of a component, whatever the ids: that with the least
+doc_id (null last), of several the one with the least hash, of equal rows one. ``keep_one`` goes by doc_id: rows of one doc_id are one document,
+which stays or goes whole, and rows without a doc_id stay. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_hash
 from .components import components, fresh_key
 
 SHINGLE, SEED = 3, 42
@@ -89,19 +91,40 @@ def links(fps: DataFrame) -> DataFrame:
     return paired.union(meeting)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id (the smallest doc_id reachable)."""
-    marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.pandas_udf(_fingerprints, "long")(F.col(text_col)).alias("fp")))
+def _roots(marked: DataFrame) -> DataFrame:
+    """(doc_id, fp) to (fp, root, component_id): one row per fingerprint."""
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp")))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(joined.join(least, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return cut(joined.join(least, "root").select("fp", "root", "component_id"))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id (the smallest doc_id reachable)."""
+    marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.pandas_udf(_fingerprints, "long")(F.col(text_col)).alias("fp")))
+    return marked.join(_roots(marked).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose doc_id stands for its component; rows without a doc_id stay."""
     heads = simhash_components(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    return docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component."""
+    doc_id, row = F.col(id_col).cast("long"), row_hash(docs)
+    marked = cut(docs.select(doc_id.alias("doc_id"), row.alias("row"), F.pandas_udf(_fingerprints, "long")(F.col(text_col)).alias("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    by_class = marked.groupBy("fp").agg(first.alias("first"))
+    heads = by_class.join(_roots(marked).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    # How many rows there are of each head: all but one of equal rows go.
+    heads = cut(heads.join(marked.groupBy("row").agg(F.count("*").alias("equal")), "row").select(F.col("row").alias("_head"), "equal"))
+    single, repeated = heads.filter("equal = 1").select("_head"), heads.filter("equal > 1").select("_head")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), row.alias("_row"))
+    kept = keyed.join(single, F.col("_row") == F.col("_head"), "left_semi").select("_doc")
+    if not repeated.isEmpty():
+        several = keyed.join(repeated, F.col("_row") == F.col("_head"), "left_semi")
+        kept = kept.unionByName(several.groupBy("_row").agg(F.first("_doc").alias("_doc")).select("_doc"))
+    return kept.select("_doc.*")

@@ -96,3 +96,46 @@ def test_edges(spark):
     got = mixture.take_copies(named)
     assert got.columns == named.columns and got.count() == sum(r["copies"] for r in rows)
     assert {(r["copies"], r["size"], r["_key"]) for r in got.collect()} == {(7, 8, 9)}
+
+
+def test_copies_go_to_their_own_source(spark):
+    """Equal ids and texts in two sources, and rows that differ in another column only."""
+    draw = random.Random(8)
+    rows = [(i % 40, "w " * (1 + i % 40), s, i % 3) for i in range(400) for s in ("a", "b", None)] + [(1000 + i, "v " * draw.randrange(9), "c", 0) for i in range(300)]
+    rows += [(7, None, "a", 0), (7, "a", None, 0), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    planned, got = defaultdict(int), defaultdict(int)
+    for r in mixture.mix(docs).collect():
+        planned[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    first = mixture.take_copies(docs).collect()
+    for r in first:
+        got[r["doc_id"], r["source"], len((r["text"] or "").split())] += 1
+    assert got == {k: n for k, n in planned.items() if n}
+    again = mixture.take_copies(docs.repartition(7)).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    per_row = defaultdict(int)
+    for r in first:
+        per_row[tuple(r)] += 1
+    held = defaultdict(int)
+    for r in rows:
+        held[r] += 1
+    assert all(n <= 2 * held[r] for r, n in per_row.items())
+
+
+def test_many_equal_rows_are_rounded_in_parts(spark):
+    docs = spark.range(3000).selectExpr("5L as doc_id", "'a b c' as text", "'x' as source").unionByName(spark.range(100).selectExpr("id as doc_id", "'d e' as text", "'y' as source"))
+    rows = mixture.mix(docs).collect()
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(rows) == 3100 and all(abs(taken[s] - target[s]) <= 3 for s in target)
+    assert mixture.take_copies(docs).count() == sum(r["copies"] for r in rows)
+
+
+def test_targets_of_many_sources(spark):
+    draw = random.Random(6)
+    sizes = {f"s{draw.randrange(10**6)}": draw.choice([0, 1, 3, 50, 4000]) for _ in range(700)} | {None: 17}
+    frame = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(6)
+    want, got = brute_targets(sizes), {r["source"]: r["target"] for r in mixture.source_targets(frame).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)

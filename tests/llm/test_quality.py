@@ -76,3 +76,9 @@ def test_no_labels_and_empty(spark):
     got = quality.keep_good(named, labels)
     assert got.columns == named.columns
     assert sorted((r["doc_id"], r["kept"], r["score"], r["_w"]) for r in got.collect()) == [(d, d, "mine", 1) for d in (1, 4, 6, 8, 8)]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, DOCS[0][1], 2, 3, 4, 5)], "doc_id long, text string, _w int, _h int, _t int, n_words int")
+    for row in (quality.base_counts(docs).first(), quality.judge(docs, spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")).first()):
+        assert (row["_w"], row["_h"], row["_t"], row["n_words"]) == (2, 3, 4, base(DOCS[0][1])[0])

@@ -89,3 +89,15 @@ def test_rows_without_id_and_copies(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "None"]
     assert simhash.simhash_components(docs.filter("doc_id > 9")).count() == 0
+
+
+def test_one_row_of_each_component(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, "a b c", "t"), (None, "a b c", "s"), (None, "a b c", "s"), (5, long, "x"), (5, long, "y"), (None, "q r s", "u"), (None, "q r s", "u"), (9, None, "n"), (8, "", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = simhash.keep_one_row(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+    assert got == [("1", "a b c"), ("5", long), ("8", ""), ("None", "q r s")]
+    assert sorted(map(str, simhash.keep_one_row(docs.repartition(7)).collect())) == sorted(map(str, kept.collect()))
+    assert simhash.keep_one_row(docs.filter("doc_id > 99")).count() == 0
