@@ -5,6 +5,7 @@ A subject's items are images, tens to hundreds; each subject is one group. Rando
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -215,26 +216,40 @@ def louvain(w: np.ndarray) -> np.ndarray:
 
 
 def candidates(x: np.ndarray, seed: int, adjacency: np.ndarray | None = None, most: int | None = None):
-    """(algorithm, linkage, k, labels) of the whole sweep; k runs from ``MIN_CLUSTERS + 1`` to n - 3."""
+    """(algorithm, linkage, k, labels, seconds) of the whole sweep; k runs from ``MIN_CLUSTERS + 1`` to n - 3. The seconds that all k of
+    a hierarchy take together are at its first."""
     top = max(len(x) - 3, MIN_CLUSTERS) if most is None else most
     ks, d = range(MIN_CLUSTERS + 1, top + 1), pairwise(x)
     w = np.corrcoef(x) if adjacency is None else adjacency
+
+    def hierarchy(name: str, linkage: str, of: np.ndarray, far: np.ndarray | None):
+        began = time.perf_counter()
+        levels = agglomerative(of, linkage.split("-")[0], far)
+        took = time.perf_counter() - began
+        for k in ks:
+            if k <= len(levels):
+                yield name, linkage, k, levels[k - 1], took
+                took = 0.0
+
+    def timed(name: str, kind: str | None, k: int | None, run: Callable[[], np.ndarray]):
+        began = time.perf_counter()
+        labels = run()
+        return name, kind, len(np.unique(labels)) if k is None else k, labels, time.perf_counter() - began
+
     for linkage in LINKAGES:
-        levels = agglomerative(x, linkage)
-        yield from (("agglomerative", linkage, k, levels[k - 1]) for k in ks if k <= len(levels))
+        yield from hierarchy("agglomerative", linkage, x, None)
     for metric in ("euclidean", "cosine"):
         far = pairwise(w, metric)
         for linkage in ("single", "average", "complete"):
-            levels = agglomerative(w, linkage, far)
-            yield from (("hierarchical", f"{linkage}-{metric}", k, levels[k - 1]) for k in ks if k <= len(levels))
+            yield from hierarchy("hierarchical", f"{linkage}-{metric}", w, far)
     for k in ks:
-        yield "kmeans", None, k, kmeans(x, k, seed)
-        yield "tree-embedding", None, k, tree_clusters(d, k)
-        yield "tree-adjacency", None, k, tree_clusters(1 - w, k)
+        yield timed("kmeans", None, k, lambda: kmeans(x, k, seed))  # noqa: B023
+        yield timed("tree-embedding", None, k, lambda: tree_clusters(d, k))  # noqa: B023
+        yield timed("tree-adjacency", None, k, lambda: tree_clusters(1 - w, k))  # noqa: B023
         for kind in ("nearest_neighbors", "rbf"):
-            yield "spectral", kind, k, spectral(x, k, kind)
-    for name, labels in (("affinity", affinity(-(d**2))), ("louvain", louvain(w))):
-        yield name, None, len(np.unique(labels)), labels
+            yield timed("spectral", kind, k, lambda: spectral(x, k, kind))  # noqa: B023
+    yield timed("affinity", None, None, lambda: affinity(-(d**2)))
+    yield timed("louvain", None, None, lambda: louvain(w))
 
 
 def threshold_components(x: np.ndarray, metric: str, n: int = 1000):
@@ -247,6 +262,11 @@ def threshold_components(x: np.ndarray, metric: str, n: int = 1000):
 
 def sweep(vectors: DataFrame, most: int | None = None) -> DataFrame:
     """(subject, algorithm, linkage, k, score, position, labels): silhouettes of a sweep; a score out of range is null."""
+    return timed_sweep(vectors, most).drop("seconds")
+
+
+def timed_sweep(vectors: DataFrame, most: int | None = None) -> DataFrame:
+    """``sweep`` with the seconds that each result took."""
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -254,13 +274,35 @@ def sweep(vectors: DataFrame, most: int | None = None) -> DataFrame:
         x, subject, out = np.stack(rows["vector"].to_numpy()), rows["subject"].iloc[0], []
         d = pairwise(x)
         top = max(len(x) - 3, MIN_CLUSTERS) if most is None else most
-        for position, (name, linkage, k, labels) in enumerate(candidates(x, hash_key(subject), None, most) if len(x) > MIN_CLUSTERS else []):
+        for position, (name, linkage, k, labels, seconds) in enumerate(candidates(x, hash_key(subject), None, most) if len(x) > MIN_CLUSTERS else []):
             value = silhouette(d, labels) if MIN_CLUSTERS <= k <= top else float("nan")
-            out.append((subject, name, linkage, int(k), None if np.isnan(value) else value, position, relabel(labels).tolist()))
-        return pd.DataFrame(out, columns=["subject", "algorithm", "linkage", "k", "score", "position", "labels"])
+            out.append((subject, name, linkage, int(k), None if np.isnan(value) else value, position, relabel(labels).tolist(), seconds))
+        return pd.DataFrame(out, columns=["subject", "algorithm", "linkage", "k", "score", "position", "labels", "seconds"])
+
+    schema = f"subject {kinds['subject']}, algorithm string, linkage string, k int, score double, position int, labels array<int>, seconds double"
+    # A sweep is long and its input small: a stated number of partitions is not coalesced.
+    spark = vectors.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return vectors.select("subject", "item", "vector").repartition(n, "subject").groupBy("subject").applyInPandas(run, schema)
 
-    schema = f"subject {kinds['subject']}, algorithm string, linkage string, k int, score double, position int, labels array<int>"
-    return vectors.select("subject", "item", "vector").groupBy("subject").applyInPandas(run, schema)
+
+def runtimes(timed: DataFrame) -> DataFrame:
+    """(subject, algorithm, seconds): what each algorithm of a ``timed_sweep`` took."""
+    from pyspark.sql import functions as F
+
+    return timed.groupBy("subject", "algorithm").agg(F.sum("seconds").alias("seconds"))
+
+
+def components_by_threshold(vectors: DataFrame, metric: str = "euclidean", n: int = 1000) -> DataFrame:
+    """(subject, threshold, k, labels) of ``threshold_components`` for each subject."""
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("item", kind="stable")
+        found = threshold_components(np.stack(rows["vector"].to_numpy()), metric, n)
+        return pd.DataFrame([(rows["subject"].iloc[0], t, int(labels.max()) + 1, relabel(labels).tolist()) for t, labels in found], columns=["subject", "threshold", "k", "labels"])
+
+    return vectors.select("subject", "item", "vector").groupBy("subject").applyInPandas(run, f"subject {kinds['subject']}, threshold double, k int, labels array<int>")
 
 
 def leaderboard(swept: DataFrame) -> DataFrame:
@@ -286,6 +328,24 @@ def classical_mds(d: np.ndarray, dims: int = 2) -> np.ndarray:
     return _from_kernel(-0.5 * d**2, dims)
 
 
+def iterative_mds(d: np.ndarray, dims: int = 2, starts: int = 4, rounds: int = 300, tol: float = 1e-6, seed: int = 0) -> np.ndarray:
+    """Scaling by majorising the raw stress (SMACOF); the best of several random starts."""
+    best, least, n = np.zeros((len(d), dims)), np.inf, len(d)
+    for start in range(starts):
+        y, before = np.random.default_rng([seed, start]).random((n, dims)), np.inf
+        for _ in range(rounds):
+            now = np.maximum(pairwise(y), 1e-12)
+            ratio = np.where(np.eye(n, dtype=bool), 0.0, d / now)
+            y = (np.diag(ratio.sum(1)) - ratio) @ y / n
+            stress = float(((pairwise(y) - d) ** 2).sum() / 2)
+            if before - stress < tol * max(stress, 1e-300):
+                break
+            before = stress
+        if stress < least:
+            best, least = y, stress
+    return _signed(best - best.mean(0))
+
+
 def isomap(x: np.ndarray, dims: int = 2, neighbours: int = 5) -> np.ndarray:
     """Classical scaling of shortest paths in the nearest-neighbour graph."""
     d = pairwise(x)
@@ -315,6 +375,124 @@ def lle(x: np.ndarray, dims: int = 2, neighbours: int = 5) -> np.ndarray:
     return _signed(np.linalg.eigh(m)[1][:, 1 : dims + 1])
 
 
+def modified_lle(x: np.ndarray, dims: int = 2, neighbours: int = 5) -> np.ndarray:
+    """Locally linear embedding with several weight vectors for each point: its neighbourhood's directions of least variance."""
+    n, d, k = len(x), pairwise(x), min(neighbours, len(x) - 1)
+    near, values, vectors, plain = [], [], [], []
+    for i in range(n):
+        at = np.argsort(d[i], kind="stable")[1 : k + 1]
+        z = x[at] - x[i]
+        g = z @ z.T
+        v, u = np.linalg.eigh(g)
+        w = np.linalg.solve(g + np.eye(k) * 1e-3 * max(np.trace(g), 1e-12), np.ones(k))
+        near.append(at), values.append(np.maximum(v, 0)), vectors.append(u), plain.append(w / w.sum())
+    # How much of the variance the weights may leave out: the median over points of what lies beyond the wanted dimensions.
+    spare = lambda v, s: v[:s].sum() / max(v[s:].sum(), 1e-300)
+    allowed = np.median([spare(v, max(k - dims, 1)) for v in values])
+    m = np.zeros((n, n))
+    for i in range(n):
+        s = max([c for c in range(1, max(k - dims, 1) + 1) if spare(values[i], c) < allowed], default=1)
+        low = vectors[i][:, :s]
+        sums = low.sum(0)
+        alpha = np.linalg.norm(sums) / np.sqrt(s)
+        h = alpha - sums
+        length = np.linalg.norm(h)
+        h = h / length if length > 1e-10 else np.zeros(s)
+        w = (1 - alpha) * plain[i][:, None] + low - 2 * np.outer(low @ h, h)
+        full = np.zeros((n, s))
+        full[near[i]] = w
+        full[i] -= w.sum(0)
+        m += full @ full.T
+    return _signed(np.linalg.eigh(m)[1][:, 1 : dims + 1])
+
+
+def tsne(x: np.ndarray, dims: int = 2, perplexity: float = 30.0, rounds: int = 500, seed: int = 0) -> np.ndarray:
+    """t-distributed neighbour embedding, exact, from the principal components."""
+    n, squares = len(x), pairwise(x) ** 2
+    perplexity = min(perplexity, max((n - 1) / 3, 1.0))
+    p = np.zeros((n, n))
+    for i in range(n):  # each point's width by bisection on the entropy
+        low, high, beta, others = 0.0, np.inf, 1.0, np.arange(n) != i
+        shifted = squares[i, others] - squares[i, others].min()
+        for _ in range(60):
+            e = np.exp(-shifted * beta)
+            q = e / e.sum()
+            entropy = -(q * np.log(np.maximum(q, 1e-300))).sum()
+            if abs(entropy - np.log(perplexity)) < 1e-6:
+                break
+            low, high = (beta, high) if entropy > np.log(perplexity) else (low, beta)
+            beta = beta * 2 if np.isinf(high) else (low + high) / 2
+        p[i, others] = q
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    y = pca(x, dims)
+    y = y / max(y[:, 0].std(), 1e-12) * 1e-4 + np.random.default_rng(seed).normal(0, 1e-6, (n, y.shape[1]))
+    speed, gains, rate = np.zeros_like(y), np.ones_like(y), max(n / 48, 50.0)
+    for step in range(rounds):
+        kernel = 1 / (1 + pairwise(y) ** 2)
+        np.fill_diagonal(kernel, 0)
+        q = np.maximum(kernel / kernel.sum(), 1e-12)
+        force = ((12.0 if step < 250 else 1.0) * p - q) * kernel
+        slope = 4 * (np.diag(force.sum(1)) - force) @ y
+        gains = np.maximum(np.where(np.sign(slope) != np.sign(speed), gains + 0.2, gains * 0.8), 0.01)
+        speed = (0.5 if step < 250 else 0.8) * speed - rate * gains * slope
+        y = y + speed
+    return _signed(y - y.mean(0))
+
+
+def _codes(x: np.ndarray, atoms: np.ndarray, penalty: float, start: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Sparse codes: min |x - codes atoms|^2 / 2 + penalty |codes|_1, by proximal steps."""
+    gram, step = atoms @ atoms.T, 1 / max(np.linalg.norm(atoms, 2) ** 2, 1e-12)
+    codes = start
+    for _ in range(rounds):
+        raw = codes - step * (codes @ gram - x @ atoms.T)
+        codes = np.sign(raw) * np.maximum(np.abs(raw) - step * penalty, 0)
+    return codes
+
+
+def dictionary(x: np.ndarray, dims: int = 2, penalty: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, atoms) of centred rows: sparse codes over atoms of length one at most, in turn, from the principal components."""
+    x = x - x.mean(0)
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    codes, atoms = u[:, :dims] * s[:dims], v[:dims]
+    for _ in range(rounds):
+        codes = _codes(x, atoms, penalty, codes)
+        for j in range(len(atoms)):
+            rest = x - codes @ atoms + np.outer(codes[:, j], atoms[j])
+            atom = codes[:, j] @ rest
+            if np.any(codes[:, j]):
+                atoms[j] = atom / max(np.linalg.norm(atom), 1e-12)
+    return codes, atoms
+
+
+def dictionary_codes(x: np.ndarray, dims: int = 2) -> np.ndarray:
+    """Sparse codes of the rows over a learned dictionary."""
+    return _signed(dictionary(x, dims)[0])
+
+
+def sparse_pca(x: np.ndarray, dims: int = 2, penalty: float = 1.0, ridge: float = 0.01) -> np.ndarray:
+    """Scores on sparse components: the dictionary of the transposed rows, whose codes are the components; scores by ridge regression."""
+    centred = x - x.mean(0)
+    components = dictionary(centred.T, dims, penalty)[0].T
+    return _signed(np.linalg.solve(components @ components.T + ridge * np.eye(dims), components @ centred.T).T)
+
+
+def factor_analysis(x: np.ndarray, dims: int = 2, rounds: int = 500, tol: float = 1e-6) -> np.ndarray:
+    """Factor scores of the maximum-likelihood factor model with one noise variance a column (expectation maximisation)."""
+    centred, n = x - x.mean(0), len(x)
+    noise, before = np.maximum(centred.var(0), 1e-12), -np.inf
+    for _ in range(rounds):
+        scaled = centred / np.sqrt(noise)
+        _, s, v = np.linalg.svd(scaled / np.sqrt(n), full_matrices=False)
+        kept = np.maximum(s[:dims] ** 2 - 1, 0)
+        loadings = np.sqrt(kept)[:, None] * v[:dims] * np.sqrt(noise)
+        fit = -(np.log(np.maximum(s[:dims] ** 2, 1e-12)).sum() + (s[dims:] ** 2).sum() + np.log(noise).sum())
+        if fit - before < tol:
+            break
+        before, noise = fit, np.maximum(centred.var(0) - (loadings**2).sum(0), 1e-12)
+    weighted = loadings / noise
+    return _signed(np.linalg.solve(np.eye(len(loadings)) + weighted @ loadings.T, weighted @ centred.T).T)
+
+
 def nmf(x: np.ndarray, dims: int = 2, rounds: int = 200, seed: int = 0) -> np.ndarray:
     """Non-negative factors of the rows, shifted to be non-negative."""
     v = x - min(0.0, float(x.min()))
@@ -351,10 +529,16 @@ def _signed(y: np.ndarray) -> np.ndarray:
 METHODS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "PCA": pca,
     "KPCA": kernel_pca,
-    "MDS": lambda x: classical_mds(pairwise(x)),
+    "MDS": lambda x: iterative_mds(pairwise(x)),
+    "CMDS": lambda x: classical_mds(pairwise(x)),
     "ISOMAP": isomap,
     "LLE": lle,
+    "MLLE": modified_lle,
     "NMF": nmf,
+    "TSNE": tsne,
+    "SPARSEPCA": sparse_pca,
+    "FA": factor_analysis,
+    "DICT": dictionary_codes,
 }
 
 
@@ -370,4 +554,6 @@ def reduced(vectors: DataFrame, methods: tuple[str, ...] = tuple(METHODS)) -> Da
             out.append(pd.DataFrame({"subject": rows["subject"], "item": rows["item"], "method": name, "x": low[:, 0], "y": low[:, 1] if low.shape[1] > 1 else 0.0}))
         return pd.concat(out)
 
-    return vectors.select("subject", "item", "vector").groupBy("subject").applyInPandas(run, f"subject {kinds['subject']}, item {kinds['item']}, method string, x double, y double")
+    spark = vectors.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return vectors.select("subject", "item", "vector").repartition(n, "subject").groupBy("subject").applyInPandas(run, f"subject {kinds['subject']}, item {kinds['item']}, method string, x double, y double")

@@ -60,45 +60,64 @@ def marginal_job(inc: DataFrame, samples: DataFrame, subjects: DataFrame | None
 
 
 def spearman_influence(inc: DataFrame, samples: DataFrame) -> DataFrame:
-    """For 0/1 variables average ranks are affine in the values, so rho is r."""
-    return influence(inc, samples, dof="samples").select("subject", "feature", F.col("corr").alias("rho"))
+    """(subject, feature, rho, p). For 0/1 variables average ranks are affine in the values, so rho is r, with its p."""
+    return with_p(influence(inc, samples, dof="samples")).select("subject", "feature", F.col("corr").alias("rho"), "p")
+
+
+#: Parts of a subject's samples in ``gram``.
+PARTS = 16
 
 
 def gram(inc: DataFrame, value: str | None = None) -> DataFrame:
     """(subject, a, b, together) for a <= b: samples that hold both features.
 
-    A task adds up its samples in one matrix for each subject and emits that, so what is shuffled is (features squared) for each task and
-    subject, not the pairs of each sample. A sample's features number at most its subject's features."""
-    rows = inc.groupBy("subject", "sample").agg(F.array_sort(F.collect_set("feature")).alias("held"))
+    A subject's samples are dealt out in ``PARTS`` parts by hash. A task goes through its parts one after the other, adds each up in one
+    matrix and emits it, so it holds one matrix at a time, and at most ``PARTS`` times features squared are shuffled for a subject, not
+    the pairs of each sample. A sample's features number at most its subject's features."""
+    dealt = inc.select("subject", "sample", "feature", F.pmod(F.xxhash64("sample"), F.lit(PARTS)).alias("part")).repartition("subject", "part")
+    rows = dealt.groupBy("subject", "part", "sample").agg(F.array_sort(F.collect_set("feature")).alias("held")).sortWithinPartitions("subject", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
+        now, names, total = None, {}, np.zeros((0, 0))
+
+        def emitted() -> pd.DataFrame:
+            by_place = list(names)
+            pairs = [(*sorted((by_place[i], by_place[j])), int(total[i, j])) for i, j in zip(*np.nonzero(np.triu(total)), strict=True)]
+            return pd.DataFrame({"subject": [now[0]] * len(pairs), "a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "n": [p[2] for p in pairs]})
+
         for batch in batches:
-            for subject, part in batch.groupby("subject", sort=False):
-                names, total = sums.get(subject, ({}, np.zeros((0, 0))))
+            for key, part in batch.groupby(["subject", "part"], sort=False, dropna=False):
+                if key != now:
+                    if names:
+                        yield emitted()
+                    now, names, total = key, {}, np.zeros((0, 0))
                 lengths = part["held"].map(len).to_numpy()
                 at = [names.setdefault(f, len(names)) for held in part["held"] for f in held]
                 x = np.zeros((len(part), len(names)))
                 x[np.repeat(np.arange(len(part)), lengths), at] = 1
                 grown = len(names) - len(total)
-                sums[subject] = names, np.pad(total, ((0, grown), (0, grown))) + x.T @ x
-        for subject, (names, total) in sums.items():
-            by_place = list(names)
-            pairs = [(*sorted((by_place[i], by_place[j])), int(total[i, j])) for i, j in zip(*np.nonzero(np.triu(total)), strict=True)]
-            yield pd.DataFrame({"subject": [subject] * len(pairs), "a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "n": [p[2] for p in pairs]})
+                total = np.pad(total, ((0, grown), (0, grown))) + x.T @ x
+        if names:
+            yield emitted()
 
     kinds = {f.name: f.dataType.simpleString() for f in inc.schema.fields}
-    partial = rows.select("subject", "held").mapInPandas(run, f"subject {kinds['subject']}, a {kinds['feature']}, b {kinds['feature']}, n long")
+    partial = rows.select("subject", "part", "held").mapInPandas(run, f"subject {kinds['subject']}, a {kinds['feature']}, b {kinds['feature']}, n long")
     return partial.groupBy("subject", "a", "b").agg(F.sum("n").alias("together"))
 
 
 def feature_correlations(inc: DataFrame, samples: DataFrame) -> DataFrame:
-    """(subject, a, b, corr) for a < b that occur together; 0 where one is constant."""
-    both = gram(inc)
-    alone = both.filter("a = b").select("subject", F.col("a").alias("f"), F.col("together").alias("s"))
+    """(subject, a, b, corr) for all pairs a < b of a subject's features, those that never meet too; 0 where one is constant.
+
+    The result is the upper half of the subject's correlation matrix, features squared by definition."""
+    both = gram(inc).filter("a < b")
+    alone = inc.groupBy("subject", "feature").agg(F.count_distinct("sample").alias("s"))
     n = samples.groupBy("subject").agg(F.count("*").alias("n"))
-    rows = both.filter("a < b").join(alone.select("subject", F.col("f").alias("a"), F.col("s").alias("sa")), ["subject", "a"]).join(alone.select("subject", F.col("f").alias("b"), F.col("s").alias("sb")), ["subject", "b"]).join(n, "subject")
-    return rows.select("subject", "a", "b", stats.pearson_from_counts(F.col("n"), F.col("sa"), F.col("sb"), F.col("together")).alias("corr"))
+    first, second = alone.toDF("subject", "a", "sa"), alone.toDF("subject", "b", "sb")
+    listed = alone.groupBy("subject").agg(F.array_sort(F.collect_list("feature")).alias("all"))
+    pairs = first.join(listed, "subject").select("subject", "a", "sa", F.explode(F.filter("all", lambda f: f > F.col("a"))).alias("b"))
+    rows = pairs.join(second, ["subject", "b"]).join(both, ["subject", "a", "b"], "left").join(n, "subject")
+    r = stats.pearson_from_counts(F.col("n"), F.col("sa"), F.col("sb"), F.coalesce("together", F.lit(0)))
+    return rows.select("subject", "a", "b", r.alias("corr"))
 
 
 #: Vectors in a block; a query block is compared with the subject's blocks one after the other.
@@ -106,16 +125,22 @@ BLOCK = 256
 
 
 def blocks(vectors: DataFrame) -> DataFrame:
-    """(subject, block, items, clusters, vectors): a subject's vectors in blocks of about ``BLOCK`` by hash of the item."""
-    n = vectors.groupBy("subject").agg(F.count("*").alias("n"))
-    spread = vectors.join(n, "subject").withColumn("block", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / BLOCK)))
-    return spread.groupBy("subject", "block").agg(F.collect_list("item").alias("items"), F.collect_list("cluster").alias("clusters"), F.collect_list("vector").alias("vectors"))
+    """(subject, block, n_blocks, items, clusters, vectors): a subject's vectors in blocks of about ``BLOCK`` by hash of the item."""
+    n = vectors.groupBy("subject").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    spread = vectors.join(n, "subject").withColumn("block", F.pmod(F.xxhash64("item"), F.col("n_blocks")))
+    return spread.groupBy("subject", "n_blocks", "block").agg(F.collect_list("item").alias("items"), F.collect_list("cluster").alias("clusters"), F.collect_list("vector").alias("vectors"))
+
+
+def block_pairs(vectors: DataFrame) -> DataFrame:
+    """Each unordered pair of a subject's blocks once, dealt out by (subject, i, j), i <= j, so that a large subject is on all tasks."""
+    own = blocks(vectors)
+    left = own.select("subject", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1)).alias("j"), F.col("items").alias("ia"), F.col("clusters").alias("ca"), F.col("vectors").alias("va"))
+    right = own.select("subject", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("items").alias("ib"), F.col("clusters").alias("cb"), F.col("vectors").alias("vb"))
+    return left.join(right, ["subject", "i", "j"])
 
 
 def vector_correlations(vectors: DataFrame) -> DataFrame:
     """(subject, a, b, corr) of all pairs a < b of a subject's vectors: the result itself is quadratic. Computed block by block."""
-    own = blocks(vectors).select("subject", F.col("items").alias("ia"), F.col("vectors").alias("va"))
-    other = blocks(vectors).select("subject", F.col("items").alias("ib"), F.col("vectors").alias("vb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -123,11 +148,13 @@ def vector_correlations(vectors: DataFrame) -> DataFrame:
                 x, y = (_standard(np.stack(v)) for v in (row.va, row.vb))
                 r = x @ y.T
                 a, b = np.meshgrid(np.asarray(row.ia), np.asarray(row.ib), indexing="ij")
-                keep = a < b
-                yield pd.DataFrame({"subject": row.subject, "a": a[keep], "b": b[keep], "corr": r[keep]})
+                keep = a < b if row.i == row.j else a != b
+                a, b = a[keep], b[keep]
+                yield pd.DataFrame({"subject": row.subject, "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "corr": r[keep]})
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    return own.join(other, "subject").mapInPandas(run, f"subject {kinds['subject']}, a {kinds['item']}, b {kinds['item']}, corr double")
+    pairs = block_pairs(vectors).select("subject", "i", "j", "ia", "va", "ib", "vb")
+    return pairs.mapInPandas(run, f"subject {kinds['subject']}, a {kinds['item']}, b {kinds['item']}, corr double")
 
 
 def _standard(x: np.ndarray) -> np.ndarray:
@@ -137,24 +164,25 @@ def _standard(x: np.ndarray) -> np.ndarray:
 
 def distance_sums(vectors: DataFrame) -> DataFrame:
     """(subject, item, own, cluster, total, n): summed Euclidean distance from each item to each cluster of its subject."""
-    own = vectors.select("subject", "item", F.col("cluster").alias("own"), "vector")
-    sides = blocks(vectors).select("subject", "clusters", "vectors")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                queries, others = np.stack(row.qv), np.stack(row.vectors)
-                squares = (queries**2).sum(1)[:, None] + (others**2).sum(1)[None, :] - 2 * queries @ others.T
+                x, y = np.stack(row.va), np.stack(row.vb)
+                squares = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T
                 apart = np.sqrt(np.maximum(squares, 0))
-                apart[np.all(queries[:, None, :] == others[None, :, :], axis=2)] = 0.0
-                names = np.asarray(row.clusters)
-                for c in np.unique(names):
-                    inside = names == c
-                    yield pd.DataFrame({"subject": row.subject, "item": np.asarray(row.qi), "own": np.asarray(row.qc), "cluster": c, "total": apart[:, inside].sum(1), "n": int(inside.sum())})
+                close = np.argwhere(squares < 1e-6 * np.maximum((x**2).sum(1)[:, None], 1e-300))
+                for i, j in close:  # where the difference of squares has no digits left
+                    apart[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum())
+                sides = [(row.ia, row.ca, row.cb, apart)] + ([(row.ib, row.cb, row.ca, apart.T)] if row.i != row.j else [])
+                for items, own, other, d in sides:
+                    names = np.asarray(other)
+                    for c in np.unique(names):
+                        inside = names == c
+                        yield pd.DataFrame({"subject": row.subject, "item": np.asarray(items), "own": np.asarray(own), "cluster": c, "total": d[:, inside].sum(1), "n": int(inside.sum())})
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    queries = blocks(own.withColumnRenamed("own", "cluster")).select("subject", F.col("items").alias("qi"), F.col("clusters").alias("qc"), F.col("vectors").alias("qv"))
-    partial = queries.join(sides, "subject").mapInPandas(run, f"subject {kinds['subject']}, item {kinds['item']}, own {kinds['cluster']}, cluster {kinds['cluster']}, total double, n long")
+    partial = block_pairs(vectors).mapInPandas(run, f"subject {kinds['subject']}, item {kinds['item']}, own {kinds['cluster']}, cluster {kinds['cluster']}, total double, n long")
     return partial.groupBy("subject", "item", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 

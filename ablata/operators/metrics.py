@@ -103,7 +103,28 @@ def bootstrap_summary(coefs: DataFrame, estimates: DataFrame, level: float = 0.9
     The SE interval is 1.96 SE whatever the level; 0 at an end counts as inside for it, and as outside for the percentiles."""
     ends = [(1 - level) / 2, (1 + level) / 2]
     spread = coefs.groupBy(*keys).agg(F.stddev_samp("coef").alias("se"), F.percentile("coef", F.array(*map(F.lit, ends))).alias("q"))
-    rows = estimates.join(spread, list(keys))
+    return _judged(estimates.join(spread, list(keys)), keys)
+
+
+def summary_of_arrays(blocks: DataFrame, estimates: DataFrame, level: float = 0.95, keys: tuple[str, ...] = ("subject", "feature")) -> DataFrame:
+    """``bootstrap_summary`` from (keys, coefs) with a key's coefficients in several arrays; their number is a parameter of the job."""
+    pooled = blocks.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("coefs"))).alias("c"), F.count("*").alias("_parts"))
+    n = F.size("c")
+
+    def percentile(p: float) -> Column:
+        at = (n - 1) * F.lit(p)
+        low = F.floor(at).cast("int")
+        first, second = F.get("c", low), F.get("c", F.least(low + 1, n - 1))
+        return first + (second - first) * (at - low)
+
+    mean = F.aggregate("c", F.lit(0.0), lambda acc, v: acc + v) / n
+    with_mean = pooled.withColumn("m", mean)
+    squares = F.aggregate(F.transform("c", lambda v: (v - F.col("m")) * (v - F.col("m"))), F.lit(0.0), lambda acc, v: acc + v)
+    spread = with_mean.select(*keys, F.when(n > 1, F.sqrt(squares / (n - 1))).alias("se"), F.array(percentile((1 - level) / 2), percentile((1 + level) / 2)).alias("q"))
+    return _judged(estimates.join(spread, list(keys)), keys)
+
+
+def _judged(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     low, high = F.col("estimate") - 1.96 * F.col("se"), F.col("estimate") + 1.96 * F.col("se")
     return rows.select(
         *keys,
@@ -131,6 +152,13 @@ def subset_count(n: int, sizes: range) -> int:
     return sum(math.comb(n, k) for k in sizes)
 
 
+def subset_counts(n: Column, least: int, most: int) -> Column:
+    """``subset_count`` of a column, for sizes from least to most; exact as long as it fits."""
+    choose = lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(1).cast("decimal(38,0)"), lambda acc, i: (acc * (n - i + 1) / i).cast("decimal(38,0)"))
+    sizes = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda k: k <= n)
+    return F.aggregate(F.transform(sizes, choose), F.lit(0).cast("decimal(38,0)"), lambda acc, v: (acc + v).cast("decimal(38,0)")).cast("long")
+
+
 def middle(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Mean and median."""
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"))

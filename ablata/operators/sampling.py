@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keyed
-from . import metrics
+from . import metrics, reshape
 
 
 @dataclass(frozen=True)
@@ -78,13 +78,20 @@ def pools(single_scores: DataFrame) -> DataFrame:
     return single_scores.select("subject", "feature", F.when(F.col("yhat") == F.col("y"), "positive").otherwise("negative").alias("pool"))
 
 
-def balanced(pooled: DataFrame, n_samples: int, share: float, rule: SizeRule = SizeRule(), seed: int = 0) -> DataFrame:
-    """(subject, sample, feature, pool): int(size * share) items of the positive pool and the rest of the negative, as far as they go."""
+def balanced(pooled: DataFrame, n_samples: int | DataFrame, share: float, rule: SizeRule = SizeRule(), seed: int = 0, plain: bool = False) -> DataFrame:
+    """(subject, sample, feature, pool): int(size * share) items of the positive pool and the rest of the negative, as far as they go.
+
+    ``n_samples`` is their number for all subjects, or a table (subject, n_samples). With ``plain``, a subject with one pool only gives
+    as many items of it as the size says."""
     sizes = pooled.groupBy("subject").agg(F.count("*").alias("n"), F.count_if(F.col("pool") == "positive").alias("np"))
     least, most = rule.bounds(F.col("n"))
-    grid = sizes.select("subject", "n", "np", least.alias("least"), most.alias("most"), F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
+    sizes = sizes.withColumn("n_samples", F.lit(n_samples)) if isinstance(n_samples, int) else sizes.join(n_samples, "subject")
+    numbers = F.explode(F.sequence(F.lit(0), F.col("n_samples").cast("int") - 1)).alias("sample")
+    grid = sizes.filter("n_samples > 0").select("subject", "n", "np", least.alias("least"), most.alias("most"), numbers)
     sized = grid.withColumn("size", keyed.between(F.col("least"), F.col("most"), seed, F.col("subject"), F.col("sample")))
     wanted = F.floor(F.col("size") * share).cast("long")
+    if plain:
+        wanted = F.when(F.col("np") == F.col("n"), F.col("size")).when(F.col("np") == 0, F.lit(0)).otherwise(wanted)
     quota = sized.select("subject", "sample", F.least(wanted, F.col("np")).alias("kp"), F.least(F.col("size") - wanted, F.col("n") - F.col("np")).alias("kn"))
     rows = pooled.join(quota, "subject").withColumn("k", F.when(F.col("pool") == "positive", F.col("kp")).otherwise(F.col("kn"))).drop("kp", "kn")
     return _first_k(rows, ("subject", "sample", "pool"), seed)
@@ -109,15 +116,14 @@ def deficits(kept: DataFrame, n: int, share: float = 0.5) -> DataFrame:
     return kept.groupBy("subject").agg(F.greatest(quota - right, F.lit(0)).alias("need_positive"), F.greatest((n - quota) - (F.count("*") - right), F.lit(0)).alias("need_negative"))
 
 
-def top_up(pooled: DataFrame, needs: DataFrame, strong: float = 0.85, rule: SizeRule = SizeRule(), seed: int = 1, most: int = 1000) -> DataFrame:
-    """(subject, sample, feature, pool, side): subsets rich in one pool, as many as the deficient side needs.
+def top_up(pooled: DataFrame, needs: DataFrame, strong: float = 0.85, rule: SizeRule = SizeRule(), seed: int = 1) -> DataFrame:
+    """(subject, sample, feature, pool, side): subsets rich in one pool, as many as the deficient side of each subject needs.
 
     A subject with one pool only gets plain subsets of it."""
     sides = []
     for side, share in (("positive", strong), ("negative", 1 - strong)):
-        drawn = balanced(pooled, most, share, rule, seed + (side == "negative"))
-        need = needs.select("subject", F.col(f"need_{side}").alias("need"))
-        sides.append(drawn.join(need, "subject").filter(F.col("sample") < F.col("need")).drop("need").withColumn("side", F.lit(side)))
+        need = needs.select("subject", F.col(f"need_{side}").alias("n_samples"))
+        sides.append(balanced(pooled, need, share, rule, seed + (side == "negative"), plain=True).withColumn("side", F.lit(side)))
     return sides[0].unionByName(sides[1])
 
 
@@ -150,14 +156,17 @@ def minority_top_up(draws: DataFrame, labels: DataFrame, n_splits: int, seed: in
     """Draws (replicate, draw, row) where a replicate's rarer class with fewer than n_splits draws gets the last n_splits ones.
 
     The replaced draws come from the rarer class's rows in ``labels`` (row, y); replicates with one class draw the absent one."""
-    labelled = draws.join(F.broadcast(labels), "row")
+    labelled = draws.join(labels, "row")
     counts = labelled.groupBy("replicate").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"), F.max("draw").alias("last"))
     short = counts.select("replicate", "last", F.when(F.col("n0") <= F.col("n1"), 0).otherwise(1).alias("rare"), (F.least("n0", "n1") < n_splits).alias("short"))
-    ids = labels.groupBy("y").agg(F.array_sort(F.collect_list("row")).alias("ids")).withColumnRenamed("y", "rare")
-    marked = labelled.join(short, "replicate").join(F.broadcast(ids), "rare", "left")
-    swap = F.col("short") & (F.col("draw") > F.col("last") - n_splits) & F.col("ids").isNotNull()
-    other = F.get("ids", (keyed.whole(seed, F.col("replicate"), F.col("draw"), "swap") % F.size("ids")).cast("int"))
-    return marked.select("replicate", "draw", F.when(swap, other).otherwise(F.col("row")).alias("row"))
+    placed = reshape.numbered(labels.select("row", "y"), "y", "row")
+    sizes = placed.groupBy("y").agg(F.count("*").alias("of")).withColumnRenamed("y", "rare")
+    marked = draws.join(short, "replicate").join(sizes, "rare", "left")
+    swap = F.col("short") & (F.col("draw") > F.col("last") - n_splits) & F.col("of").isNotNull()
+    place = F.when(swap, keyed.whole(seed, F.col("replicate"), F.col("draw"), "swap") % F.col("of"))
+    # Only the few draws that are replaced have a place to look up.
+    found = marked.withColumn("place", place).join(placed.select(F.col("y").alias("rare"), F.col("position").alias("place"), F.col("row").alias("other")), ["rare", "place"], "left")
+    return found.select("replicate", "draw", F.coalesce("other", "row").alias("row"))
 
 
 def split(rows: DataFrame, share: float, label: str | None = "y", key: str = "id", seed: int = 42) -> DataFrame:

@@ -1,7 +1,8 @@
 """Scoring of subsets by any black box.
 
-A scorer is a Column expression of the subset's features, or a function from a pandas Series of feature lists to a Series of labels.
-Functions run in Arrow batches; one that must load a model does so once in a worker, in ``load``.
+A scorer is a Column expression of the subset's features, a function from a pandas Series of feature lists to a Series of labels
+(``batched=True``), or a function from one feature list to a label. Functions run in Arrow batches; one that must load a model does so
+once in a worker, in ``load``, and gets it as a second argument.
 """
 
 from __future__ import annotations
@@ -24,14 +25,20 @@ def check(scorer: Callable, probe: list) -> None:
         raise TypeError(f"a scorer returns an int, not {type(value).__name__}")
 
 
-def score(subsets: DataFrame, scorer: Column | Callable[[list], int], load: Callable[[], object] | None = None) -> DataFrame:
-    """(…, features) with ``yhat``."""
+def score(subsets: DataFrame, scorer: Column | Callable, load: Callable[[], object] | None = None, batched: bool = False) -> DataFrame:
+    """(…, features) with ``yhat``. A batched scorer that returns another number of labels fails the job."""
     if isinstance(scorer, Column):
         return subsets.withColumn("yhat", scorer.cast("int"))
 
     def batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load() if load else None
         for part in parts:
+            if batched:
+                labels = pd.Series(scorer(part) if model is None else scorer(part, model))
+                if len(labels) != len(part):
+                    raise ValueError("a scorer returns one label for each subset")
+                yield labels.astype("int32").reset_index(drop=True)
+                continue
             yield pd.Series([int(scorer(list(x)) if model is None else scorer(list(x), model)) for x in part], dtype="int32")
 
     batches.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
@@ -49,8 +56,19 @@ def single_items(items: DataFrame) -> DataFrame:
     return items.withColumn("features", F.array("feature"))
 
 
-def prepared(images: DataFrame, size: int = 224) -> DataFrame:
-    """(…, content) with ``pixels``: three channels, ``size`` square, 0 to 1. Needs an image library in the workers."""
+#: Channel means and deviations of the image collection that the encoders were trained on.
+MEANS, DEVIATIONS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def normalised(pixels):
+    """Pixels (height, width, 3) of 0 to 1, by the channels' means and deviations."""
+    import numpy as np
+
+    return (pixels - np.array(MEANS)) / np.array(DEVIATIONS)
+
+
+def prepared(images: DataFrame, size: int = 224, normalise: bool = True) -> DataFrame:
+    """(…, content) with ``pixels``: three channels, ``size`` square, normalised or 0 to 1. Needs an image library in the workers."""
 
     def run(parts: pd.Series) -> pd.Series:
         import io
@@ -58,6 +76,7 @@ def prepared(images: DataFrame, size: int = 224) -> DataFrame:
         import numpy as np
         from PIL import Image
 
-        return pd.Series([(np.asarray(Image.open(io.BytesIO(x)).convert("RGB").resize((size, size))) / 255.0).ravel().tolist() for x in parts])
+        pixels = (np.asarray(Image.open(io.BytesIO(x)).convert("L").convert("RGB").resize((size, size))) / 255.0 for x in parts)
+        return pd.Series([(normalised(p) if normalise else p).ravel().tolist() for p in pixels])
 
     return images.withColumn("pixels", F.pandas_udf(run, "array<double>")(F.col("content")))

@@ -12,9 +12,7 @@ _INC = (
     SELECT DISTINCT subject, sample, p_brand AS feature, yhat, y
     FROM lineitem JOIN samples ON l_orderkey = sample JOIN part ON l_partkey = p_partkey)"""
 )
-_INFLUENCE = (
-    _INC
-    + """, totals AS (
+_INFLUENCE_OF = """, totals AS (
     SELECT subject, count(*) AS n, sum(yhat) AS sy FROM samples GROUP BY subject HAVING count(DISTINCT yhat) >= 2),
 columns_ AS (
     SELECT subject, feature, count(*) AS sx, sum(yhat) AS sxy, string_agg(CAST(sample AS VARCHAR), ',' ORDER BY sample) AS sig FROM inc GROUP BY subject, feature),
@@ -30,7 +28,20 @@ influence AS (
         CASE WHEN constant OR se IS NULL THEN -1.0 ELSE greatest(corr - se, -1.0) END AS lower,
         CASE WHEN constant OR se IS NULL THEN 1.0 ELSE least(corr + se, 1.0) END AS upper
     FROM s)"""
+_INFLUENCE = _INC + _INFLUENCE_OF
+# The same of samples without repeats.
+_ONCE = (
+    _INC.replace("samples", "every_sample").replace(", inc AS (", ", every_inc AS (")
+    + """, sets AS (SELECT s.subject, s.sample, s.yhat, s.y, coalesce(string_agg(feature, ',' ORDER BY feature), '') AS sig FROM every_sample s LEFT JOIN every_inc i ON i.subject = s.subject AND i.sample = s.sample GROUP BY ALL),
+samples AS (SELECT subject, min(sample) AS sample, yhat, y FROM sets GROUP BY subject, sig, yhat, y),
+inc AS (SELECT i.* FROM every_inc i SEMI JOIN samples s ON i.subject = s.subject AND i.sample = s.sample)"""
+    + _INFLUENCE_OF.format(which="same = 1", df="(k - 2)")
 )
+# Two-sided p of Student's t for r of n pairs, as the finite series in sine (r) and cosine of the angle whose tangent is t / sqrt(df).
+_P = """CASE WHEN sx IN (0, n) OR n < 3 THEN 1.0 WHEN abs(corr) >= 1 THEN 0.0
+    WHEN n % 2 = 0 THEN 1 - abs(corr) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(k * ln(1 - corr * corr) + lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0))))
+    WHEN n = 3 THEN 1 - asin(abs(corr)) * 2 / pi()
+    ELSE 1 - 2 / pi() * (asin(abs(corr)) + abs(corr) * list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp((k + 0.5) * ln(1 - corr * corr) + lgamma(k + 1.0) + lgamma(1.5) - lgamma(k + 1.5))))) END"""
 _UNIQUE = _INFLUENCE.format(which="same = 1", df="(k - 2)")
 _ALL = (
     _INFLUENCE.format(which="TRUE", df="(k - 2)")
@@ -91,10 +102,10 @@ ORACLES = {
     "item_paths": "SELECT doc_id AS feature, 'images/' || source || '_' || doc_id || '.jpg' AS path FROM documents",
     "incidence_counts": f"WITH {_INC} SELECT subject, feature, count(*) AS n_samples, CAST(sum(yhat) AS BIGINT) AS n_positive FROM inc GROUP BY subject, feature",
     "incidence_wide": f"WITH {_INC} SELECT s.subject, s.sample, "
-    + ", ".join(f"CAST(coalesce(max(CASE WHEN feature = 'Brand#{b}' THEN 1 END), 0) AS INTEGER) AS \"Brand#{b}\"" for b in (11, 12, 13, 14, 15))
+    + ", ".join(f"CAST(coalesce(max(CASE WHEN feature = 'Brand#{b}' THEN 1 END), 0) AS INTEGER) AS \"Brand#{b}\"" for b in range(1, 26))
     + ", s.yhat, s.y FROM samples s LEFT JOIN inc i ON i.subject = s.subject AND i.sample = s.sample GROUP BY s.subject, s.sample, s.yhat, s.y",
     "row_dedup": f"WITH {_INC}, sets AS (SELECT s.subject, s.sample, s.yhat, s.y, coalesce(string_agg(feature, ',' ORDER BY feature), '') AS sig FROM samples s LEFT JOIN inc i ON i.subject = s.subject AND i.sample = s.sample GROUP BY ALL) SELECT subject, min(sample) AS sample, yhat, y FROM sets GROUP BY subject, sig, yhat, y",
-    "unique_columns": f"WITH {_SAMPLES}, inc AS (SELECT DISTINCT subject, sample, l_partkey AS feature FROM lineitem JOIN samples ON l_orderkey = sample WHERE l_quantity >= 45), sets AS (SELECT subject, feature, string_agg(CAST(sample AS VARCHAR), ',' ORDER BY sample) AS sig FROM inc GROUP BY subject, feature) SELECT subject, min(feature) AS feature FROM sets GROUP BY subject, sig",
+    "unique_columns": f"WITH {_SAMPLES}, inc AS (SELECT DISTINCT subject, sample, l_partkey AS feature FROM lineitem JOIN samples ON l_orderkey = sample), sets AS (SELECT subject, feature, string_agg(CAST(sample AS VARCHAR), ',' ORDER BY sample) AS sig FROM inc GROUP BY subject, feature) SELECT subject, min(feature) AS feature FROM sets GROUP BY subject, sig",
     "single_class_skip": "SELECT o_custkey AS subject, count(DISTINCT o_orderstatus = 'F') AS n_classes FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus = 'F') >= 2",
     "few_features": "SELECT l_orderkey AS subject, count(DISTINCT p_brand) AS n_features FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING count(DISTINCT p_brand) < 4",
     "communities": "SELECT 0 AS subject, label AS cluster, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS items FROM embeddings GROUP BY label",
@@ -127,9 +138,12 @@ ORACLES = {
     "marginal_samples_dof": f"WITH {_INFLUENCE.format(which='TRUE', df='(n - 2)')} SELECT subject, feature, round(corr, 6) AS corr, round(se, 6) AS se FROM influence",
     "gram_matrix": f"WITH {_INC} SELECT a.subject, a.feature AS a, b.feature AS b, count(*) AS together FROM inc a JOIN inc b ON a.subject = b.subject AND a.sample = b.sample AND a.feature <= b.feature GROUP BY ALL",
     "feature_corr": f"""WITH {_INC}, n_ AS (SELECT subject, count(*)::DOUBLE AS n FROM samples GROUP BY subject), one AS (SELECT subject, feature, count(*)::DOUBLE AS s FROM inc GROUP BY ALL),
-        two AS (SELECT a.subject, a.feature AS a, b.feature AS b, count(*)::DOUBLE AS t FROM inc a JOIN inc b ON a.subject = b.subject AND a.sample = b.sample AND a.feature < b.feature GROUP BY ALL)
-        SELECT two.subject, a, b, round(coalesce((n * t - x.s * y.s) / nullif(sqrt((n * x.s - x.s * x.s) * (n * y.s - y.s * y.s)), 0), 0.0), 6) AS corr
-        FROM two JOIN one x ON x.subject = two.subject AND x.feature = a JOIN one y ON y.subject = two.subject AND y.feature = b JOIN n_ ON n_.subject = two.subject""",
+        two AS (SELECT a.subject, a.feature AS a, b.feature AS b, count(*)::DOUBLE AS t FROM inc a JOIN inc b ON a.subject = b.subject AND a.sample = b.sample AND a.feature < b.feature GROUP BY ALL),
+        pairs AS (SELECT x.subject, x.feature AS a, y.feature AS b, x.s AS sa, y.s AS sb, coalesce(t, 0) AS t, n FROM one x JOIN one y ON x.subject = y.subject AND x.feature < y.feature JOIN n_ ON n_.subject = x.subject LEFT JOIN two ON two.subject = x.subject AND a = x.feature AND b = y.feature)
+        SELECT subject, a, b, round(coalesce((n * t - sa * sb) / nullif(sqrt((n * sa - sa * sa) * (n * sb - sb * sb)), 0), 0.0), 6) AS corr FROM pairs""",
+    "marginal_job": f"WITH {_ONCE} SELECT subject, feature, round(corr, 6) AS corr, round(se, 6) AS se, round(lower, 6) AS lower, round(upper, 6) AS upper, round({_P}, 6) AS p, CASE WHEN {_P} >= 0.05 THEN 'INSIGNIFICANT' ELSE 'SIGNIFICANT' END AS verdict FROM influence",
+    "interval_struct": f"WITH {_UNIQUE} SELECT subject, feature, round(lower, 6) AS lo, round(upper, 6) AS hi FROM influence",
+    "spearman_influence": f"WITH {_INFLUENCE.format(which='same = 1', df='(n - 2)')} SELECT subject, feature, round(corr, 6) AS rho, round({_P}, 6) AS p FROM influence",
     "embedding_corr": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT vec_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM e), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c)
         SELECT 0 AS subject, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 5) AS corr FROM u a JOIN u b ON a.vec_id < b.vec_id""",
     "silhouette": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
@@ -142,7 +156,7 @@ ORACLES = {
     "tone_case": f"WITH {_ALL} SELECT subject, feature, {_TONE} AS tone FROM judged",
     "bar_data": f"WITH {_ALL} SELECT subject, feature, CAST(row_number() OVER (PARTITION BY subject ORDER BY corr DESC, feature) AS INTEGER) AS position, {_TONE} AS tone FROM judged",
     "path_manifest": f"WITH {_ALL} SELECT subject, feature, rank, 'images/' || subject || '_' || feature || '.jpg' AS src, 'ranked/' || subject || '/' || sign || '/' || rank || '_' || feature || '.jpg' AS dest FROM ranks",
-    "label_text": "SELECT p_partkey AS feature, p_partkey || '_' || printf('%.2f', round(p_retailprice, 0)) AS label FROM part",
+    "label_text": "SELECT p_partkey AS feature, p_partkey || '_' || printf('%.2f', round_even(p_size / 8.0::DOUBLE, 2)) AS label FROM part",
     "best_algorithm": """WITH s AS (SELECT c_nationkey AS subject, c_mktsegment AS algorithm, round(avg(c_acctbal), 2) AS score FROM customer GROUP BY ALL)
         SELECT subject, first(algorithm ORDER BY score DESC, algorithm) AS best_algorithm, first(algorithm ORDER BY score, algorithm) AS worst_algorithm FROM s GROUP BY subject""",
     "best_cluster_count": "WITH c AS (SELECT p_brand AS subject, p_size AS k, count(*)::DOUBLE AS score FROM part GROUP BY ALL) SELECT subject, k, score FROM c WHERE k BETWEEN 4 AND 30 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY score DESC, k) = 1",
@@ -169,7 +183,41 @@ ORACLES = {
         SELECT a.subject, mask, CAST(count(*) AS INTEGER) AS size, string_agg(CAST(f AS VARCHAR), ',' ORDER BY i) AS features FROM m JOIN a ON a.subject = m.subject AND (mask >> i) & 1 = 1 GROUP BY a.subject, mask""",
     "subset_combinations": """WITH a AS (SELECT n_regionkey AS subject, count(*) AS n FROM nation GROUP BY 1), m AS (SELECT subject, unnest(range(1, CAST(pow(2, n) AS BIGINT))) AS mask FROM a)
         SELECT subject, CAST(bit_count(mask) AS INTEGER) AS size, count(*) AS n, CAST(sum(mask) AS BIGINT) AS mask_sum FROM m WHERE bit_count(mask) IN (2, 3) GROUP BY ALL""",
-    "bootstrap_indices": f"SELECT replicate, CAST(draw AS INTEGER) AS draw, {_draw('7', 'replicate', 'draw')} % 100 AS row FROM range(20) AS r(replicate), range(100) AS d(draw)",
+    "top_up": f"""WITH {_POOLS}, n_ AS (SELECT subject, count(*) AS n, count(*) FILTER (pool = 'positive') AS np FROM pools GROUP BY subject),
+        needs AS (SELECT subject, count(*) % 7 AS positive, count(*) % 40 AS negative FROM strata GROUP BY subject),
+        sides AS (SELECT 'positive' AS side, 0.85::DOUBLE AS share, 1 AS seed, subject, positive AS need FROM needs UNION ALL SELECT 'negative', 1 - 0.85::DOUBLE, 2, subject, negative FROM needs),
+        grid AS (SELECT side, share, seed, subject, n, np, sample FROM sides JOIN n_ USING (subject), range(40) AS g(sample) WHERE sample < need),
+        sized AS (SELECT *, 1 + {_draw("seed", "subject", "sample")} % least(8, n) AS size FROM grid),
+        wanted AS (SELECT *, CASE WHEN np = n THEN size WHEN np = 0 THEN 0 ELSE CAST(floor(size * share) AS BIGINT) END AS w FROM sized),
+        quota AS (SELECT side, seed, subject, sample, least(w, np) AS kp, least(size - w, n - np) AS kn FROM wanted),
+        drawn AS (SELECT side, subject, sample, pool FROM pools JOIN quota USING (subject)
+            QUALIFY row_number() OVER (PARTITION BY side, subject, sample, pool ORDER BY {_hash("seed", "subject", "sample", "feature")}, feature) <= any_value(CASE WHEN pool = 'positive' THEN kp ELSE kn END) OVER (PARTITION BY side, subject, sample, pool))
+        SELECT subject, side, CAST(sample AS INTEGER) AS sample, count(*) AS n, count(*) FILTER (pool = 'positive') AS n_positive FROM drawn GROUP BY ALL""",
+    "bootstrap_indices": f"WITH n_ AS (SELECT count(*) AS n FROM customer) SELECT replicate, CAST(draw AS INTEGER) AS draw, {_draw('7', 'replicate', 'draw')} % n AS row FROM range(20) AS r(replicate), n_, LATERAL (SELECT unnest(range(0, n)) AS draw)",
+    "minority_top_up": f"""WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, toxic AS y FROM labels), n_ AS (SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM l),
+        place AS (SELECT row AS other, y AS rare, row_number() OVER (PARTITION BY y ORDER BY row) - 1 AS place, count(*) OVER (PARTITION BY y) AS of_ FROM l),
+        d AS (SELECT replicate, CAST(draw AS INTEGER) AS draw, {_draw('7', 'replicate', 'draw')} % n AS row, n, k FROM range(20) AS r(replicate), n_, LATERAL (SELECT unnest(range(0, n)) AS draw)),
+        c AS (SELECT replicate, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM d JOIN l USING (row) GROUP BY replicate),
+        m AS (SELECT d.*, CASE WHEN n0 <= n1 THEN 0 ELSE 1 END AS rare, least(n0, n1) < k AND draw > n - 1 - k AS swap FROM d JOIN c USING (replicate))
+        SELECT replicate, draw, CASE WHEN swap THEN other ELSE row END AS row FROM m JOIN (SELECT DISTINCT rare, of_ FROM place) USING (rare) LEFT JOIN place p ON p.rare = m.rare AND p.place = {_draw('7', 'replicate', 'draw', "'swap'")} % p.of_""",
+    "threshold_components": """WITH RECURSIVE e AS (SELECT CAST(vec_id // 25 AS INTEGER) AS subject, vec_id AS item, embedding::DOUBLE[] AS v FROM embeddings),
+        d AS (SELECT a.subject, a.item AS a, b.item AS b, CASE WHEN a.item = b.item THEN 0.0 ELSE list_distance(a.v, b.v) END AS d FROM e a JOIN e b USING (subject)),
+        s AS (SELECT subject, a, b, 1 - d / max(d) OVER (PARTITION BY subject) AS s FROM d),
+        l AS (SELECT DISTINCT subject, i, a, b FROM s, range(5) AS t(i) WHERE s >= 0.15 + i * 0.205),
+        r AS (SELECT * FROM l UNION SELECT r.subject, r.i, r.a, l.b FROM r JOIN l ON l.subject = r.subject AND l.i = r.i AND l.a = r.b),
+        m AS (SELECT subject, i, a, min(b) AS root FROM r GROUP BY ALL)
+        SELECT subject, round(0.15 + i * 0.205, 6)::DOUBLE AS threshold, CAST(count(DISTINCT root) AS INTEGER) AS k FROM m GROUP BY subject, i""",
+    "csv_scan": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "csv_index_scan": "SELECT n_nationkey, n_name FROM nation",
+    "csv_by_subject": f"WITH {_INFLUENCE.format(which='TRUE', df='(k - 2)')} SELECT subject, feature, n, sx, round(corr, 6) AS corr FROM influence",
+    "json_scan": "SELECT n_regionkey, n_nationkey, n_name FROM nation",
+    "versions_discovered": "SELECT '01-0' || day || '-2024-00-00-00' AS version, r_regionkey, 1::BIGINT AS files FROM region, range(1, 3) AS d(day) WHERE r_regionkey >= day",
+    "nan_to_zero": "SELECT p_partkey, CASE WHEN p_size % 7 = 0 OR p_size % 5 = 0 THEN 0.0 ELSE p_size END::DOUBLE AS v FROM part",
+    "columns_joined": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer",
+    "silhouette_curve": "SELECT p_partkey AS subject, CASE WHEN p_size % 2 = 0 THEN p_type || '-' || p_brand ELSE p_type END AS series, p_size AS cluster_n, p_retailprice AS score FROM part",
+    "flat_set": "WITH i AS (SELECT n_regionkey, n_nationkey AS i FROM nation UNION SELECT n_regionkey, n_nationkey % 3 FROM nation) SELECT n_regionkey, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS ids FROM i GROUP BY 1",
+    "subset_counts": "WITH c AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) SELECT n_regionkey, CAST(coalesce(sum(factorial(n::INTEGER) / (factorial(k::INTEGER) * factorial((n - k)::INTEGER))), 0) AS BIGINT) AS subsets FROM c LEFT JOIN range(2, 5) AS r(k) ON k <= n GROUP BY n_regionkey",
+    "constant_columns": "SELECT * FROM (VALUES ('r_regionkey', FALSE), ('r_name', FALSE), ('one', TRUE)) AS t(name, constant) UNION ALL SELECT 'r_comment', FALSE WHERE FALSE",
     "train_test_split": f"SELECT doc_id AS id, quality AS y, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {_hash('42', 'doc_id')}, doc_id) <= ceil(count(*) OVER (PARTITION BY quality) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM labels",
     "monte_carlo": f"WITH {_POOLS}, items AS (SELECT subject, feature FROM pools WHERE pool = 'positive'), {_uniform('items', 5, '1', '6')} {_SUMMED}",
     "sample_to_incidence": f"WITH {_ITEMS}, {_uniform('items', 10, '1', '9')}, scored AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY subject, sample) > 4 THEN 1 ELSE 0 END AS yhat FROM drawn) SELECT subject, feature, count(*) AS n_samples, CAST(sum(yhat) AS BIGINT) AS n_positive FROM scored GROUP BY subject, feature",

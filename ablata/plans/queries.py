@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import durable
 from ..functions import keyed
 from ..operators import clustering, cohort, correlation, incidence, linear, metrics, ranking, reshape, sampling, scoring
-from ..sources import adapters
+from ..sources import adapters, readers, sinks
 from ..streaming import incremental
 from . import oracles
 
@@ -131,9 +132,8 @@ def incidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def incidence_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 0/1 matrix of all samples over the first five brands."""
-    brands = ["Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15"]
-    return incidence.wide(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), brands)
+    """The 0/1 matrix of all samples over all brands."""
+    return incidence.wide(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), [f"Brand#{i}" for i in range(1, 26)])
 
 
 @query
@@ -143,12 +143,12 @@ def row_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unique_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of an order within a nation as features, so that equal columns occur."""
-    return incidence.unique_features(_supplier_incidence(spark, sf_dir))
+    """Parts of an order within a nation as features: few samples hold one, so that equal columns occur."""
+    return incidence.unique_features(_part_incidence(spark, sf_dir))
 
 
-def _supplier_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = adapters.read(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 45)
+def _part_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = adapters.read(spark, sf_dir, "lineitem")
     own = adapters.samples(spark, sf_dir)
     return lines.join(own, F.col("l_orderkey") == F.col("sample")).select("subject", "sample", F.col("l_partkey").alias("feature")).distinct()
 
@@ -309,7 +309,14 @@ def marginal_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marginal_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole marginal job with p and verdicts."""
     found = correlation.marginal_job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
-    return found.select("subject", "feature", "corr", "se", "lower", "upper", "p", "verdict")
+    return _rounded(found, "corr", "se", "lower", "upper", "p").select("subject", "feature", "corr", "se", "lower", "upper", "p", "verdict")
+
+
+@query
+def interval_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of the marginal job as one struct, taken apart."""
+    found = correlation.with_p(correlation.influence(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir)))
+    return _rounded(found.select("subject", "feature", F.col("corr_ci.lo").alias("lo"), F.col("corr_ci.hi").alias("hi")), "lo", "hi")
 
 
 @query
@@ -320,7 +327,7 @@ def marginal_samples_dof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def spearman_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation.spearman_influence(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
+    return _rounded(correlation.spearman_influence(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir)), "rho", "p")
 
 
 @query
@@ -395,7 +402,8 @@ def path_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = adapters.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), F.round(F.col("p_retailprice"), 0).alias("v"))
+    """Eighths, so that half of the odd ones are rounded from the middle."""
+    parts = adapters.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("feature"), (F.col("p_size") / 8).alias("v"))
     return ranking.labelled(parts, "v").select("feature", "label")
 
 
@@ -465,9 +473,10 @@ def quota_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage two for sources that need three positive and two negative subsets."""
-    needs = adapters.strata(spark, sf_dir).select("subject").distinct().withColumn("need_positive", F.lit(3)).withColumn("need_negative", F.lit(2))
-    drawn = sampling.top_up(_pools(spark, sf_dir), needs, rule=sampling.SizeRule(max_size=8), most=3)
+    """Stage two for sources whose needs follow from their number of documents."""
+    n = adapters.strata(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n"))
+    needs = n.select("subject", (F.col("n") % 7).alias("need_positive"), (F.col("n") % 40).alias("need_negative"))
+    drawn = sampling.top_up(_pools(spark, sf_dir), needs, rule=sampling.SizeRule(max_size=8))
     return drawn.groupBy("subject", "side", "sample").agg(F.count("*").alias("n"), F.count_if(F.col("pool") == "positive").alias("n_positive"))
 
 
@@ -491,15 +500,17 @@ def subset_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bootstrap_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.bootstrap_rows(100, 20, SEED, spark)
+    """Twenty replicates of as many draws as there are customers."""
+    return sampling.bootstrap_rows(adapters.read(spark, sf_dir, "customer").count(), 20, SEED, spark)
 
 
 @query
 def minority_top_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws over a hundred rows of which three are positive."""
-    labels = spark.range(100).select(F.col("id").alias("row"), (F.col("id") < 3).cast("int").alias("y"))
-    draws = sampling.bootstrap_rows(100, 20, SEED, spark)
-    return sampling.minority_top_up(draws, labels, 5, SEED).withColumn("rare", F.col("row") < 3).groupBy("replicate").agg(F.count("*").alias("n"), F.count_if("rare").alias("n_rare"))
+    """Draws over the labelled documents; as many toxic ones are asked for as there are, which about half of the replicates lack."""
+    numbered = reshape.numbered(adapters.outcomes(spark, sf_dir).withColumn("all", F.lit(0)), "all", "id")
+    labels = numbered.select(F.col("position").alias("row"), F.col("yhat").alias("y"))
+    n, rare = labels.agg(F.count("*"), F.sum("y")).first()
+    return sampling.minority_top_up(sampling.bootstrap_rows(n, 20, SEED, spark), labels, rare, SEED)
 
 
 @query
@@ -541,38 +552,144 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select("c_custkey", _r(F.col("p")[0]).alias("p0"), _r(F.col("p")[1]).alias("p1"))
 
 
+# Scans, sinks and small reshapings
+
+
+@query
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as a CSV and read with a stated schema and required columns."""
+    path = durable.new_path(spark, "csv-scan")
+    adapters.read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(path)
+    return readers.read_csv(spark, path, "n_nationkey long, n_name string, n_regionkey long", required=("n_name",))
+
+
+@query
+def csv_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a first column whose name is not the index's."""
+    path = durable.new_path(spark, "csv-index")
+    adapters.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_c0"), "n_name").write.option("header", True).csv(path)
+    return readers.read_csv(spark, path, "_c0 long, n_name string", index_name="n_nationkey")
+
+
+@query
+def csv_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginal influence written in a folder for each subject, and read again."""
+    path = durable.new_path(spark, "csv-by-subject")
+    sinks.write_by_subject(_influence(spark, sf_dir).select("subject", "feature", "n", "sx", "corr"), path, "csv")
+    return spark.read.csv(path, header=True, schema="feature string, n long, sx long, corr double, subject long")
+
+
+@query
+def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions' nations written as nested JSON documents, one to a file, and read again."""
+    path = durable.new_path(spark, "json-scan")
+    nested = adapters.read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    nested.write.partitionBy("n_regionkey").json(path)
+    read = readers.read_json(spark, path, "nations array<struct<n_nationkey: long, n_name: string>>, n_regionkey long")
+    return read.select("n_regionkey", F.explode("nations").alias("x")).select("n_regionkey", "x.*")
+
+
+@query
+def versions_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a table beside each other, and the files that a pattern finds."""
+    from datetime import datetime
+
+    path, table = durable.new_path(spark, "versions"), adapters.read(spark, sf_dir, "region").select("r_regionkey", "r_name").coalesce(1)
+    for day in (1, 2):
+        sinks.write_version(table.filter(F.col("r_regionkey") >= day), path, datetime(2024, 1, day))
+    found = readers.discover(spark, f"{path}/*/*.parquet")
+    version = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    rows = [spark.read.parquet(p).withColumn("version", F.lit(p.rstrip("/").rsplit("/", 1)[-1])) for p in (sinks.stamped(path, datetime(2024, 1, d)) for d in (1, 2))]
+    files = found.groupBy(version.alias("version")).agg(F.count("*").alias("files"))
+    return rows[0].unionByName(rows[1]).join(files, "version").select("version", "r_regionkey", "files")
+
+
+@query
+def nan_to_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("p_size") % 7 == 0, F.lit(float("nan"))).when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double"))
+    return adapters.read(spark, sf_dir, "part").select("p_partkey", metrics.nan_to_zero(value).alias("v"))
+
+
+@query
+def columns_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' balances and segments as two tables, put side by side."""
+    customers = adapters.read(spark, sf_dir, "customer")
+    return reshape.columns_joined(customers.select("c_custkey", "c_acctbal"), customers.select("c_custkey", "c_mktsegment"), ["c_custkey"])
+
+
+@query
+def silhouette_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part sizes as k and types as algorithms; containers of one letter less tell series apart."""
+    linkage = F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))
+    swept = adapters.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("subject"), F.col("p_type").alias("algorithm"), linkage.alias("linkage"), F.col("p_size").alias("k"), F.col("p_retailprice").alias("score"))
+    return reshape.silhouette_curve(swept)
+
+
+@query
+def flat_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions' nations in lists of lists, flattened to sorted sets."""
+    nations = adapters.read(spark, sf_dir, "nation")
+    nested = nations.groupBy("n_regionkey").agg(F.collect_list(F.array("n_nationkey", F.col("n_nationkey") % 3)).alias("ids"))
+    return reshape.flat_set(nested, "ids").select("n_regionkey", F.array_join("ids", ",").alias("ids"))
+
+
+@query
+def subset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many subsets of two to four nations a region has."""
+    n = adapters.read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    return n.select("n_regionkey", metrics.subset_counts(F.col("n"), 2, 4).alias("subsets"))
+
+
+@query
+def constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a joined table by name, repeats dropped, that have one value only."""
+    table = adapters.read(spark, sf_dir, "region").join(adapters.read(spark, sf_dir, "region"), "r_regionkey").withColumn("one", F.lit(1))
+    names = reshape.unique_columns(table)
+    constant = reshape.constants(table.select("r_regionkey", "one"), ["r_regionkey", "one"])
+    return spark.createDataFrame([(n, n in constant) for n in names], "name string, constant boolean")
+
+
 # Models: no SQL twins; tests hold them against closed forms and optimality conditions
 
 
 @query
 def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "ridge", {"alphas": [0.01, 0.1, 0.5, 1.0]})
+    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "ridge")
 
 
 @query
 def ridge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.conditional_job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "ridge", 250, {"alphas": [0.1, 1.0]})
+    """The job's grid and number of replicates."""
+    return linear.conditional_job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "ridge", 10_000)
 
 
 @query
 def ridge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.coefficient_path(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), [0.01, 0.1, 1.0])
+    return linear.coefficient_path(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), linear.RIDGE_GRID.tolist())
 
 
 @query
 def elastic_net_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "elastic_net", {"cs": [0.1, 1.0], "mixes": [0.0, 0.5, 1.0], "rounds": 100})
+    """Ten penalties by fifty mixes."""
+    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "elastic_net")
+
+
+@query
+def elastic_net_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's grid, with the number of replicates that the estimator has by itself."""
+    return linear.conditional_job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "elastic_net", 250, block=50)
 
 
 @query
 def path_net_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "path_net", {"mixes": [0.5, 1.0], "path": 6, "rounds": 100})
+    """A hundred mixes by a hundred penalties, then a thousand penalties at the best mix."""
+    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "path_net")
 
 
 @query
 def model_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     inc, samples = adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir)
-    fitted = linear.fit(inc, samples, "ridge", {"alphas": [1.0]}).filter("error is null")
+    fitted = linear.fit(inc, samples, "ridge").filter("error is null")
     return metrics.roc_auc(linear.margins(inc, samples, fitted).withColumn("y", F.col("yhat")), "margin", "y", ("subject",))
 
 
@@ -581,6 +698,12 @@ def regression_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.diagnostics(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
 
 
+@query
+def local_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's brands by weight in a local surrogate model."""
+    return linear.explain_each(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
+
+
 def _small_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors dealt into subjects of about 25 items."""
     vectors = adapters.embeddings(spark, sf_dir)
@@ -589,12 +712,24 @@ def _small_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.sweep(_small_subjects(spark, sf_dir), 8)
+    return clustering.sweep(_small_subjects(spark, sf_dir))
+
+
+@query
+def sweep_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which algorithms were timed; the seconds themselves differ from run to run."""
+    return clustering.runtimes(clustering.timed_sweep(_small_subjects(spark, sf_dir))).select("subject", "algorithm", (F.col("seconds") >= 0).alias("timed"))
+
+
+@query
+def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the similarity graph at five thresholds."""
+    return _rounded(clustering.components_by_threshold(_small_subjects(spark, sf_dir), n=5), "threshold").select("subject", "threshold", "k")
 
 
 @query
 def cluster_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.leaderboard(clustering.sweep(_small_subjects(spark, sf_dir), 8))
+    return clustering.leaderboard(clustering.sweep(_small_subjects(spark, sf_dir)))
 
 
 @query

@@ -15,6 +15,9 @@ def importable(spark: SparkSession) -> SparkSession:
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    # Tasks share the machine's cores; each worker's linear algebra keeps to one.
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        environment.setdefault(name, os.environ.get(name, "1"))
     return spark
 
 

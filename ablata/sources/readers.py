@@ -39,9 +39,17 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema, multiLine=True)
 
 
+#: One item of a list literal: in single or double quotes with backslash escapes, or bare up to a comma.
+_ITEM = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^\s,'"][^,]*"""
+
+
 def list_literal(cell: Column) -> Column:
-    """A cell such as ``['a', 'b']`` as an array of strings."""
-    return F.from_json(F.translate(cell, "'", '"'), "array<string>")
+    """A cell such as ``['a', "it's", 3]`` as an array of strings; null if it has no brackets around it."""
+    inner = F.regexp_extract(cell, r"(?s)^\s*\[(.*)\]\s*$", 1)
+    whole = F.regexp_extract_all(inner, F.lit(_ITEM), F.lit(0))
+    quoted = lambda x: x.startswith("'") | x.startswith('"')
+    plain = lambda x: F.regexp_replace(F.substring(x, 2, F.length(x) - 2), r"\\(.)", "$1")
+    return F.when(cell.rlike(r"(?s)^\s*\[.*\]\s*$"), F.transform(whole, lambda x: F.when(quoted(x), plain(x)).otherwise(F.rtrim(x))))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

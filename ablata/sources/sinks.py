@@ -33,6 +33,14 @@ def write_matrices(inc: DataFrame, samples: DataFrame, subject: object, features
     own.write.option("header", True).csv(f"{path}/pred_results")
 
 
+def write_archive(subject: object, path: str, inc: DataFrame, samples: DataFrame, features: list[str], correlations: DataFrame, subset_correlations: DataFrame, vector_correlations: DataFrame) -> None:
+    """One subject's five tables: design_matrix, pred_results, corr_results, sampling_corr and encoded_img_corr."""
+    write_matrices(inc, samples, subject, features, path)
+    named = {"corr_results": correlations, "sampling_corr": subset_correlations, "encoded_img_corr": vector_correlations}
+    for name, table in named.items():
+        table.filter(F.col("subject") == F.lit(subject)).write.option("header", True).csv(f"{path}/{name}")
+
+
 def stamped(path: str, at: datetime) -> str:
     """A path that says when it was made."""
     return f"{path}/{at:%m-%d-%Y-%H-%M-%S}"
