@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import cut, new_path, shared_dir  # noqa: F401
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -41,32 +40,6 @@ def runs(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str | N
         yield run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``. Where that is unset, a folder of our own in a local session; a cluster without it is refused."""
-    context = spark.sparkContext
-    set_by_cluster = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(set_by_cluster)
-        return set_by_cluster.rstrip("/")
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ablata-"))
-    return os.path.dirname(context.getCheckpointDir().rstrip("/"))
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that a lost executor costs no recomputation and the rows stay the same."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def row_hash(docs: DataFrame) -> Column:
     """A hash of all columns that can be hashed."""
     hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]

@@ -57,6 +57,17 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.rows_to_turns(rows)))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source of the mixture gets, before documents are rounded."""
+    targets = mixture.source_targets(mixture.document_sizes(table(spark, sf_dir, "documents")))
+    return targets.withColumn("target", F.round("target", 3))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface counts of the quality rules, without the method's verdict."""
+    return quality.base_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +81,8 @@ QUERIES = {
         op8_simhash,
         op9_private_data,
         op10_chat_formatting,
+        mix_targets,
+        quality_base,
     )
 }
 
@@ -88,4 +101,20 @@ ORACLES = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum({_ESCAPED_LENGTH.format("role")} + {_ESCAPED_LENGTH.format("text")} + length('<turn:></turn>') + 1) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    # The level at which limits stop, by testing each number of stopped sources in the order of limit by weight.
+    "mix_targets": r"""
+        WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size, count(*) AS n_docs FROM documents GROUP BY source),
+        w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+        l AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        v AS (SELECT max(level) AS level FROM l WHERE level * weight < most)
+        SELECT source, source_size, n_docs, round(least(coalesce(v.level, total) * weight, most), 3) AS target FROM w, v""",
+    # Each repeated window covers five words; a word is counted once.
+    "quality_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS l, row_number() OVER () AS i FROM documents),
+        g AS (SELECT i, unnest(range(0, len(w) - 4)) AS p, w FROM d WHERE len(w) > 4),
+        r AS (SELECT i, p FROM (SELECT i, p, count(*) OVER (PARTITION BY i, list_aggregate(w[p + 1:p + 5], 'string_agg', ' ')) AS n FROM g) WHERE n > 1),
+        c AS (SELECT i, count(DISTINCT p + k) AS n FROM r, range(5) AS x(k) GROUP BY i),
+        b AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+            len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c USING (i))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b""",
 }

@@ -24,7 +24,7 @@ COLUMNS = {
 
 
 def test_registered():
-    assert set(COLUMNS) == set(queries.QUERIES) and set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert set(COLUMNS) | {"mix_targets", "quality_base"} == set(queries.QUERIES) and set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
