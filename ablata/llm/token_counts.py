@@ -4,8 +4,8 @@ Before any text is read, every word-final string of the vocabulary is encoded al
 A text is split into pre-tokens; members of the set count one each, and only the rest are merged, once for each distinct pre-token
 in a worker's bounded memo. Nothing is shuffled; the proved set is bounded by the vocabulary.
 
-Null and empty texts have 0 tokens; texts outside Latin-1 or with special strings are encoded whole by the library. Repeated rows
-are counted row by row; an empty table gives no rows; other columns are left as they are, unless they have a result's name, which
+Null and empty texts have 0 tokens; runs between spaces with a character outside Latin-1 are encoded by the library and remembered, texts that
+are mostly such runs or hold special strings are encoded by it whole. Repeated rows are counted row by row; an empty table gives no rows; other columns are left as they are, unless they have a result's name, which
 the result replaces.
 """
 
@@ -30,7 +30,7 @@ def count_text(text: str | None, path: str, whole: frozenset[bytes]) -> int:
         return len(own.encode(text))
     memo = _memos.get(path)
     if memo is None:
-        memo = _memos[path] = Memo(lambda piece: len(own.encode(piece.decode("latin-1"))))
+        memo = _memos[path] = Memo(lambda piece: len(own.piece(piece)))
     rest = [piece for piece in pieces if piece not in whole]
     return len(pieces) - len(rest) + sum(map(memo.__getitem__, rest))
 

@@ -35,7 +35,7 @@ SEGMENT_IDS = 1 << 18
 _SEGMENT = "part int, seg int, part_start long, n_ids long, doc_ids array<long>, doc_lens array<long>, payload binary"
 #: A worker's memo learns so many pre-tokens, first come; the others are encoded once for each batch.
 MEMO_WORDS = 500_000
-_memos: dict[str, dict[bytes, bytes]] = {}
+_memos: dict[str, dict[bytes | str, bytes]] = {}
 
 
 def dac_encode(ids: np.ndarray) -> bytes:

@@ -1,7 +1,9 @@
 """Pre-tokens of a word-level BPE vocabulary, split as its library splits them.
 
-For texts of Latin-1 characters the split is done on bytes, with character classes asked from the library itself, one character at a
-time, when the vocabulary is loaded. Any other text, and any that may hold a special string, goes through the library whole.
+Latin-1 characters are split on bytes, with character classes asked from the library itself, one character at a time, when the
+vocabulary is loaded. White space always ends a pre-token and nothing passes over it, so a run of other characters between spaces that
+holds a character outside these is a piece of its own, which the library encodes. A text whose runs are mostly of that kind, and any
+text that may hold a special string, goes through the library whole.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Fixed value: the suffix that marks the end of a word in the vocabulary.
 WORD_END = "</w>"
+_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 class WordSplitter:
-    """Splits texts into normalised pre-tokens (bytes in Latin-1)."""
+    """Splits texts into pieces: normalised pre-tokens (bytes in Latin-1), and runs for the library (str)."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
@@ -53,21 +56,27 @@ class WordSplitter:
                 numbers.append(image)
             else:
                 others.append(image)
-        self.table, self.foreign = bytes(table), re.compile("[" + "".join(map(re.escape, foreign)) + "]") if foreign else None
+        self.table, self.foreign = bytes(table), re.compile("[" + "".join(map(re.escape, foreign)) + "\u0100-\U0010ffff]")
         group = lambda chars: "[" + "".join(sorted({f"\\x{ord(c):02x}" for c in chars})) + "]"
         return re.compile("|".join([*map(re.escape, CONTRACTIONS), group(letters) + "+", group(numbers), group(others) + "+"]).encode())
 
-    def split(self, text: str) -> list[bytes] | None:
-        """The pre-tokens, or None if only the library may split this text."""
+    def split(self, text: str) -> list[bytes | str] | None:
+        """The pieces, or None if only the library may split this text."""
         if self.pattern is None or any(s in text for s in self.specials):
             return None
-        if self.foreign and self.foreign.search(text):
+        if not self.foreign.search(text):
+            return self.pattern.findall(text.encode("latin-1").translate(self.table))
+        runs = _SPACE.split(text)
+        odd = [i for i, run in enumerate(runs) if self.foreign.search(run)]
+        if 2 * len(odd) > len(runs):
             return None
-        try:
-            raw = text.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        return self.pattern.findall(raw.translate(self.table))
+        pieces, at = [], 0
+        for i in [*odd, len(runs)]:
+            if at < i:
+                pieces += self.pattern.findall(" ".join(runs[at:i]).encode("latin-1").translate(self.table))
+            pieces += runs[i : i + 1]
+            at = i + 1
+        return pieces
 
     @cached_property
     def word_final(self) -> np.ndarray:
@@ -77,8 +86,15 @@ class WordSplitter:
         ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         return ends
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Each pre-token's ids as little-endian 32-bit bytes, many pre-tokens to a call: a word-final id ends each."""
+    def piece(self, piece: bytes | str) -> list[int]:
+        """Ids of one piece."""
+        return self.encode(piece if isinstance(piece, str) else piece.decode("latin-1"))
+
+    def encode_pieces(self, pieces: list[bytes | str]) -> list[bytes]:
+        """Each piece's ids as little-endian 32-bit bytes, many pre-tokens to a call: a word-final id ends each. Runs are encoded one by one."""
+        if any(isinstance(p, str) for p in pieces):
+            words = iter(self.encode_pieces(own) if (own := [p for p in pieces if isinstance(p, bytes)]) else [])
+            return [np.array(self.encode(p), "<u4").tobytes() if isinstance(p, str) else next(words) for p in pieces]
         ids = np.array(self.encode(b" ".join(pieces).decode("latin-1")), "<u4")
         ends = np.flatnonzero(self.word_final[ids]) + 1 if len(ids) else ids
         if len(ends) != len(pieces) or ends[-1] != len(ids):

@@ -80,3 +80,26 @@ def test_empty_store(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.read_store(spark, token_store.write_store(docs, PATH, str(tmp_path / "e"))).count() == 0
     assert token_counts.count_tokens(docs, PATH).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab cd\n\t'sX.,!?1é“”’—…œŒ™日本Ως́̈\u00a0\u2009\u3000\u200bİ🙂ffiÅ"), max_size=80), max_size=4))
+def test_texts_of_several_scripts(texts):
+    check([*texts, *(f"plain words around it {t} and behind it" for t in texts)])
+
+
+def test_one_odd_character_leaves_the_rest_to_the_shortcut():
+    text = "it’s a plain text, with one dash — and “quotes” " + "of many plain words " * 50
+    pieces = word_bpe.splitter(PATH).split(text)
+    assert sum(isinstance(p, str) for p in pieces) == 3 and sum(isinstance(p, bytes) for p in pieces) > 200
+    assert word_bpe.splitter(PATH).split("Привет мир и все") is None
+    check([text, "Привет мир и все", "漢字かな交じり文 " * 30, "😀" * 500])
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_runs_of_texts(size, monkeypatch):
+    from ablata.llm.common import runs
+
+    texts = ["a" * n for n in (0, 5, 50, 3, 500, 0)] + [None]
+    found = list(runs(texts, size))
+    assert [t for run in found for t in run] == texts and all(found)
