@@ -137,7 +137,7 @@ def _features(text: str, start: int, end: int) -> np.ndarray:
     names += [f"start={text[start - 1 : start].isalnum()}", f"end={text[end : end + 1].isalnum()}"]
     before, after = text[max(0, start - 40) : start].split(), text[end : end + 40].split()
     names += [f"before={w.lower().strip('.,:;')}" for w in before[-1:]] + [f"after={w.lower().strip('.,:;')}" for w in after[:1]]
-    return np.array([_column(x) for x in names])
+    return np.unique([_column(x) for x in names])
 
 
 def _keys(own: str) -> list[str]:
@@ -290,26 +290,28 @@ def train(fields: list[Field], epochs: int = 30, rate: float = 0.3, l2: float =
     """Pseudo-likelihood ascent from zero: each label given its features and its neighbours' labels; -1 is none."""
     n = len(KINDS) + 1
     w = Weights(np.zeros((FEATURES, n)), np.zeros((n, n)), np.zeros((n, n)))
+    # Each candidate once: its columns, its label, and views of the pair weights that its neighbours' labels select.
+    seen: list[tuple[np.ndarray, int, list[np.ndarray]]] = []
+    for f in fields:
+        labels = [k + 1 for k in f.observed]
+        near: list[list[np.ndarray]] = [[] for _ in labels]
+        for pair, edges in ((w.chain, f.chain), (w.skip, f.skip)):
+            for x, y in edges:
+                near[y].append(pair[labels[x]])
+                near[x].append(pair[:, labels[y]])
+        seen += zip(f.features, labels, near, strict=True)
     for epoch in range(epochs):
         step = rate / (1 + 0.3 * epoch)
-        for f in fields:
-            labels = [k + 1 for k in f.observed]
-            near: list[list[tuple[np.ndarray, int, bool]]] = [[] for _ in labels]
-            for pair, edges in ((w.chain, f.chain), (w.skip, f.skip)):
-                for x, y in edges:
-                    near[y].append((pair, labels[x], True))
-                    near[x].append((pair, labels[y], False))
-            for i, own in enumerate(labels):
-                scores = w.node[f.features[i]].sum(axis=0)
-                for pair, other, ahead in near[i]:
-                    scores = scores + (pair[other] if ahead else pair[:, other])
-                slope = -_normal(scores)
-                slope[own] += 1
-                np.add.at(w.node, f.features[i], step * slope)
-                w.node[f.features[i]] *= 1 - step * l2
-                for pair, other, ahead in near[i]:
-                    row = pair[other] if ahead else pair[:, other]
-                    row += step * (slope - l2 * row)
+        for columns, own, rows in seen:
+            held = w.node[columns]
+            scores = held.sum(axis=0)
+            for row in rows:
+                scores += row
+            slope = -_normal(scores)
+            slope[own] += 1
+            w.node[columns] = (held + step * slope) * (1 - step * l2)
+            for row in rows:
+                row += step * (slope - l2 * row)
     return w
 
 
