@@ -42,3 +42,56 @@ def test_edges(spark):
     nothing = spark.createDataFrame([(1, "text", None, "x")], schema)
     assert language.identify(nothing).first()["lang_pred"] == "und"
     assert language.identify(nothing.filter("doc_id > 5")).count() == 0
+
+
+def test_ftrl_by_brute_force(monkeypatch):
+    """The classifier against its update rule, written out one coordinate at a time, and the temperature against its own loss."""
+    import math
+    import random
+
+    monkeypatch.setattr(language, "DIMS", 12)
+    draw, classes = random.Random(3), 3
+    samples, labels = [], []
+    for _ in range(25):
+        at = sorted(draw.sample(range(12), 4))
+        samples.append((np.array(at), np.array([draw.random() for _ in at])))
+        labels.append(draw.randrange(classes))
+    got, bias = language.fit_ftrl(samples, labels, classes)
+    z, n = [[0.0] * classes for _ in range(13)], [[0.0] * classes for _ in range(13)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= language.L1:
+            return 0.0
+        return -(z[i][k] - math.copysign(language.L1, z[i][k])) / ((language.BETA + math.sqrt(n[i][k])) / language.ALPHA + language.L2)
+
+    for _ in range(language.EPOCHS):
+        for (at, x), label in zip(samples, labels, strict=True):
+            row = [*zip(at.tolist(), x.tolist(), strict=True), (12, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in row for k in range(classes)}
+            margins = [sum(v * w[i, k] for i, v in row) for k in range(classes)]
+            total = sum(map(math.exp, margins))
+            for k in range(classes):
+                off = math.exp(margins[k]) / total - (k == label)
+                for i, v in row:
+                    g = off * v
+                    sigma = (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / language.ALPHA
+                    z[i][k] += g - sigma * w[i, k]
+                    n[i][k] += g * g
+    want = np.array([[weight(i, k) for k in range(classes)] for i in range(13)])
+    assert np.allclose(got, want[:-1]) and np.allclose(bias, want[-1])
+
+    margins = np.array([[draw.gauss(0, 3) for _ in range(classes)] for _ in range(40)])
+    said = np.array([int(m.argmax()) if draw.random() < 0.6 else draw.randrange(classes) for m in margins])
+
+    def loss(t):
+        return -sum(math.log(math.exp(m[y] / t) / sum(math.exp(v / t) for v in m)) for m, y in zip(margins.tolist(), said.tolist(), strict=True))
+
+    t = language.fit_temperature(margins, said)
+    assert all(loss(t) <= loss(t * f) + 1e-9 for f in (2 ** (1 / 8), 2 ** (-1 / 8)))
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """One doc_id on many rows: each is a candidate for the sample, and none is multiplied."""
+    rows = [(7, f"the cat and the dog {i}", "en") for i in range(300)] + [(8, f"le chat et la souris {i}", "fr") for i in range(300)]
+    found = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(found) == 600
