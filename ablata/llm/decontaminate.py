@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW, MIN_LITERALS, MIN_COVERAGE, MIN_CONSISTENT, MIN_EXACT = 5, 2, 0.5, 0.5, 3
-BLOCK_WINDOWS, SALTS = 1 << 20, 16
+BLOCK_WINDOWS, SALTS = 1 << 18, 16
 #: Bits of the filter for each benchmark window, up to ``MOST_WORDS`` words of 64 bits.
-BITS_A_WINDOW, MOST_WORDS = 64, 1 << 20
+BITS_A_WINDOW, MOST_WORDS = 64, 1 << 19
 _NAME = "\u0001"
 #: Before a capitalised word that begins a text, sentence, line or quotation.
 _START = "\u0002"

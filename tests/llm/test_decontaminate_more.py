@@ -57,7 +57,7 @@ def planted(n, seed):
     return questions + [fill() for _ in range(n - n // 2)]
 
 
-@pytest.mark.parametrize("blocks", [1 << 20, 50])
+@pytest.mark.parametrize("blocks", [1 << 18, 50])
 def test_hot_templates_and_many_windows(spark, monkeypatch, blocks):
     """600 items, half of them of one template, the others of common windows; broadcast, and by shuffles. The same classes as by pairs."""
     monkeypatch.setattr(d, "BLOCK_WINDOWS", blocks)
