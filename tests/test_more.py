@@ -89,3 +89,22 @@ def test_empty_tables(spark):
     vectors = spark.createDataFrame([], "subject int, item int, cluster int, vector array<double>")
     assert clustering.sweep(vectors).count() == 0 and clustering.reduced(vectors).count() == 0
     assert sampling.stratified(spark.createDataFrame([], "subject int, cluster int, feature int"), 3).count() == 0
+
+
+def test_shared_folder(spark):
+    """A local session gets a folder of its own; a cluster that names none is refused, and one that names one is heard."""
+    from types import SimpleNamespace
+
+    from ablata import durable
+
+    assert durable.cut(spark.range(3)).count() == 3 and durable.new_path(spark, "x") != durable.new_path(spark, "x")
+
+    def session(master, folder):
+        held = []
+        context = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: held[-1] if held else None, setCheckpointDir=held.append)
+        return SimpleNamespace(sparkContext=context, conf={"spark.checkpoint.dir": folder} if folder else {}), held
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        durable.shared_dir(session("spark://host:7077", None)[0])
+    named, held = session("spark://host:7077", "/shared/folder/")
+    assert durable.shared_dir(named) == "/shared/folder" and held == ["/shared/folder/"]
