@@ -47,7 +47,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SIBLINGS = frozenset("p li dt dd tr option".split())
 CONTAINERS = frozenset("div section ul ol dl span article center".split())
 #: Words in class or id of what is surely no part of an article.
-SURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments commentlist disqus respond cookie cookies consent notice notices popup modal overlay nav navbar navigation breadcrumb breadcrumbs masthead newsletter subscribe subscription signup login pagination pager".split())
+SURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments commentlist disqus respond cookie cookies consent notice notices popup modal overlay nav navbar navigation breadcrumb breadcrumbs masthead newsletter subscribe subscription signup login pagination pager complementary contentinfo".split())
 #: Words in class or id that mark an element to drop.
 HINTS = SURE | frozenset("side aside reply alert menu header footer colophon copyright share sharing social related recommended widget toolbar tags".split())
 #: Words that say nothing beside these.

@@ -19,7 +19,7 @@ def test_names_alone_drop_no_paragraph_of_an_article(name):
 
 
 def test_what_goes_inside_an_article():
-    went = ["<div class='ad'>Buy</div>", f"<div class='ad-slot-3'>{LONG[::-1]}</div>", f"<section id='comments'><p>{LONG[::-1]}</p></section>", "<ul class='share-links'><li><a href='/t'>Tweet</a></li></ul>", "<form><input><p>Mail</p></form>", "<nav>Contents</nav>", "<aside>Aside</aside>", "<footer>Foot</footer>", "<header>By line</header>", "<script>x</script>", "<div class='newsletter-signup'>Join us</div>"]
+    went = ["<div class='ad'>Buy</div>", f"<div class='ad-slot-3'>{LONG[::-1]}</div>", f"<section id='comments'><p>{LONG[::-1]}</p></section>", "<ul class='share-links'><li><a href='/t'>Tweet</a></li></ul>", "<form><input><p>Mail</p></form>", "<nav>Contents</nav>", "<aside>Aside</aside>", "<footer>Foot</footer>", "<header>By line</header>", "<script>x</script>", "<div class='newsletter-signup'>Join us</div>", "<div role='complementary'>Beside</div>"]
     for part in went:
         assert main_text(f"<body><article><h1>Title</h1>{part}<p>{LONG}</p></article></body>") == f"Title\n\n{LONG}", part
     assert main_text(f"<body><article><header><h1>Title</h1></header><p>{LONG}</p></article></body>") == f"Title\n\n{LONG}"
