@@ -37,11 +37,15 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
+def _bucket(h: Column) -> Column:
+    """The hash's remainder; ``BUCKETS`` is a power of two."""
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
 def _grams(hashes: Column) -> Column:
     """Buckets from token hashes: each token's, and each pair's."""
-    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    pairs = F.zip_with(hashes, F.slice(hashes, 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), bucket(F.xxhash64(a, b))))
-    return F.concat(F.transform(hashes, bucket), pairs)
+    pairs = F.zip_with(hashes, F.slice(hashes, 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), _bucket(F.xxhash64(a, b))))
+    return F.concat(F.transform(hashes, _bucket), pairs)
 
 
 def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -110,7 +114,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def _judged(docs: DataFrame, model: Column, threshold: float) -> DataFrame:
-    ratio = lambda h: F.element_at(model, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1)
+    ratio = lambda h: F.get(model, _bucket(h))
     # One pass over the tokens: each one's unigram, and the bigram that it ends.
     both = F.transform("_t", lambda h, i: ratio(h) + F.when(i > 0, ratio(F.xxhash64(F.get("_t", i - 1), h))).otherwise(F.lit(0.0)))
     total = F.aggregate(both, F.lit(0.0), lambda acc, v: acc + v)
