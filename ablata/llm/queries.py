@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, main_text, mixture, private_data, quality, simhash, token_counts, token_store
-from .common import table
+from . import chat, decontaminate, language, main_text, mixture, periodicity, private_data, quality, simhash, token_counts, token_store
+from .common import table, words
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -57,6 +57,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.rows_to_turns(rows)))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodicity.digests(periodicity.collapse(docs.select("doc_id", periodicity.planted(docs, words(docs["text"])).alias("text"))))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each source of the mixture gets, before documents are rounded."""
     targets = mixture.source_targets(mixture.document_sizes(table(spark, sf_dir, "documents")))
@@ -81,6 +86,7 @@ QUERIES = {
         op8_simhash,
         op9_private_data,
         op10_chat_formatting,
+        op12_periodic_runs,
         mix_targets,
         quality_base,
     )
@@ -108,6 +114,32 @@ ORACLES = {
         l AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
         v AS (SELECT max(level) AS level FROM l WHERE level * weight < most)
         SELECT source, source_size, n_docs, round(least(coalesce(v.level, total) * weight, most), 3) AS target FROM w, v""",
+    # A lag that can have a run has four equal words at its multiples; stretches lie between successive places that differ.
+    "op12_periodic_runs": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(CAST(doc_id AS VARCHAR), '') AS s FROM documents),
+        h AS (SELECT *, len(w) AS n, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(s) + 1), lambda k: [ord(s[k])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) AS h FROM d),
+        g AS (SELECT *, (h // 10) % greatest(n, 1) AS a, 3 + (h // 10) % 8 AS parts FROM h),
+        o AS (SELECT i, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d),
+        t AS (SELECT i, k AS pos, CASE WHEN h % 10 = 0 AND k >= a THEN a + (k - a) % (1 + (n - a) // parts) ELSE k END AS at FROM (SELECT i, n, h, a, parts, unnest(range(n)) AS k FROM g)),
+        e AS MATERIALIZED (SELECT t.i, t.pos, o.word FROM t JOIN o ON o.i = t.i AND o.pos = t.at),
+        lags AS (SELECT i, n, unnest(range(1, n // 4 + 1)) AS q FROM g),
+        probes AS (SELECT i, n, q, unnest(range(0, (n - 1) // q - 2)) AS k FROM lags),
+        p1 AS MATERIALIZED (SELECT p.i, p.n, p.q, p.k, x.word FROM probes p JOIN e x ON x.i = p.i AND x.pos = p.k * p.q),
+        p2 AS MATERIALIZED (SELECT p.* FROM p1 p JOIN e x ON x.i = p.i AND x.pos = (p.k + 1) * p.q AND x.word = p.word),
+        p3 AS MATERIALIZED (SELECT p.* FROM p2 p JOIN e x ON x.i = p.i AND x.pos = (p.k + 2) * p.q AND x.word = p.word),
+        likely AS MATERIALIZED (SELECT DISTINCT p.i, p.n, p.q FROM p3 p JOIN e x ON x.i = p.i AND x.pos = (p.k + 3) * p.q AND x.word = p.word),
+        pairs AS MATERIALIZED (SELECT l.i, l.q, x.pos, x.pos + l.q AS next, x.word FROM likely l JOIN e x USING (i)),
+        breaks AS (SELECT p.i, p.q, p.pos FROM pairs p JOIN e y ON y.i = p.i AND y.pos = p.next WHERE y.word <> p.word
+            UNION ALL SELECT i, q, -1 FROM likely UNION ALL SELECT i, q, n - q FROM likely),
+        stretches AS (SELECT i, q, lag(pos) OVER (PARTITION BY i, q ORDER BY pos) + 1 AS start, pos FROM breaks),
+        runs AS MATERIALIZED (SELECT i, start, pos - start + q AS length, min(q) AS q FROM stretches WHERE pos - start >= 3 * q AND pos - start + q >= 6 GROUP BY ALL),
+        best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY i ORDER BY length::DOUBLE / q DESC, start, q) = 1),
+        listed AS (SELECT i, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY i),
+        gone AS (SELECT DISTINCT i, unnest(range(start + q, start + length)) AS pos FROM runs),
+        kept AS (SELECT i, string_agg(word, ' ' ORDER BY pos) AS text FROM e ANTI JOIN gone USING (i, pos) GROUP BY i)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM d LEFT JOIN listed USING (i) LEFT JOIN best USING (i) LEFT JOIN kept USING (i)""",
     # Each repeated window covers five words; a word is counted once.
     "quality_base": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS l, row_number() OVER () AS i FROM documents),
