@@ -24,10 +24,10 @@ from itertools import count, pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, guarded
+from .common import WORD, cut, guarded, words
 
 MIN_EXP, MIN_LENGTH = 4, 6
 #: Characters beyond which a text's lags are dealt out, the least number of lags in a range, and the most ranges of a text.
@@ -43,10 +43,10 @@ _RESULT = "n_words long, n_runs long, start long, length long, period long, expo
 Run = tuple[int, int, int]
 
 
-def word_ids(words: list[str]) -> np.ndarray:
+def word_ids(listed: list[str]) -> np.ndarray:
     """Numbers that are equal where the words are."""
     known: dict[str, int] = {}
-    return np.fromiter(map(known.setdefault, words, count()), np.int32, len(words))
+    return np.fromiter(map(known.setdefault, listed, count()), np.int32, len(listed))
 
 
 def _passing(ids: np.ndarray, lo: int, hi: int, min_exp: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,17 +91,17 @@ def find_runs(ids: np.ndarray, lo: int = 1, hi: int | None = None, known: list[R
     return sorted((s, length, q) for (s, length), q in found.items())
 
 
-def summary(words: list[str], runs: list[Run]) -> tuple:
+def summary(listed: list[str], runs: list[Run]) -> tuple:
     """The result columns: the run with the greatest exponent (ties: least start, then period), all runs, and the words outside repeats."""
     runs = sorted((s, q, length) for s, length, q in runs)
     flat = [v for s, q, length in runs for v in (s, length, q)]
     if not runs:
-        return len(words), 0, None, None, None, None, flat, " ".join(words)
+        return len(listed), 0, None, None, None, None, flat, " ".join(listed)
     s, q, length = min(runs, key=lambda r: (-Fraction(r[2], r[1]), r[0], r[1]))
-    kept = np.ones(len(words), bool)
+    kept = np.ones(len(listed), bool)
     for start, period, long in runs:
         kept[start + period : start + long] = False
-    return len(words), len(runs), s, length, q, 1000 * length // q, flat, " ".join(words[i] for i in np.flatnonzero(kept))
+    return len(listed), len(runs), s, length, q, 1000 * length // q, flat, " ".join(listed[i] for i in np.flatnonzero(kept))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -110,7 +110,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _whole(texts: pd.Series) -> pd.DataFrame:
-    return _frame([summary(words := _WORD.findall(text or ""), find_runs(word_ids(words))) for text in texts])
+    return _frame([summary(listed := _WORD.findall(text or ""), find_runs(word_ids(listed))) for text in texts])
 
 
 def _from_runs(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -155,8 +155,10 @@ def collapse(docs: DataFrame, text_col: str = "text", long_chars: int = LONG_CHA
 
     def work(numbered: DataFrame) -> DataFrame:
         text = F.coalesce(F.col(text_col), F.lit(""))
-        short, long = numbered.filter(F.length(text) <= long_chars), numbered.filter(F.length(text) > long_chars)
-        here = short.withColumn("_result", F.pandas_udf(_whole, _RESULT)(text))
+        # Not foldable, so that the filters stay above what makes the text: below it they would compute it again, inside its own lambdas.
+        sized = numbered.withColumn("_long", F.when(F.monotonically_increasing_id() >= 0, F.length(text) > long_chars))
+        short, long = sized.filter("not _long"), sized.filter("_long")
+        here = short.withColumn("_result", F.pandas_udf(_whole, _RESULT)(text)).drop("_long")
         keyed = long.withColumn("_key", F.sha2(F.col(text_col), 256))
         runs = _long_runs(keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("text")))
         there = keyed.join(runs, F.col("_key") == F.col("key"), "left").withColumn("_result", F.pandas_udf(_from_runs, _RESULT)(F.col(text_col), F.col("runs"))).select(*numbered.columns, "_result")
@@ -167,14 +169,15 @@ def collapse(docs: DataFrame, text_col: str = "text", long_chars: int = LONG_CHA
     return guarded(docs, work, RESULTS, (text_col,))
 
 
-def planted(docs: DataFrame, words: Column) -> Column:
-    """The contract's test input: a document whose crc32 of doc_id ends in 0 becomes periodic from some word on, the others stay as they are."""
+def planted(docs: DataFrame) -> DataFrame:
+    """The contract's test input, (doc_id, text): a document whose crc32 of doc_id ends in 0 becomes periodic from some word on, the others stay."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    n, g = F.size(words), F.floor(h / 10)
-    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
-    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
-    repeated = F.concat(F.slice(words, 1, a), F.transform(F.sequence(a, n - 1), lambda i: F.get(words, a + F.pmod(i - a, p))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(docs["text"])
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words(F.col("text"))).alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w")
+    start = F.pmod("g", F.greatest(n, F.lit(1))).cast("int")
+    placed = chosen.withColumn("a", start).withColumn("p", (1 + F.floor((n - start) / (3 + F.pmod("g", F.lit(8))))).cast("int"))
+    repeated = F.transform(F.sequence("a", n - 1), lambda i: F.get("w", F.col("a") + F.pmod(i - F.col("a"), F.col("p"))))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(F.concat(F.slice("w", 1, F.col("a")), repeated), " ")).otherwise(F.col("text")).alias("text"))
 
 
 def digests(collapsed: DataFrame) -> DataFrame:

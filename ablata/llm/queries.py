@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, language, main_text, mixture, periodicity, private_data, quality, simhash, token_counts, token_store
-from .common import table, words
+from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -58,8 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return periodicity.digests(periodicity.collapse(docs.select("doc_id", periodicity.planted(docs, words(docs["text"])).alias("text"))))
+    return periodicity.digests(periodicity.collapse(periodicity.planted(table(spark, sf_dir, "documents"))))
 
 
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
