@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, main_text, mixture, periodicity, private_data, quality, simhash, token_counts, token_store
+from . import chat, decontaminate, divergence, language, main_text, mixture, periodicity, private_data, quality, simhash, token_counts, token_store
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodicity.digests(periodicity.collapse(periodicity.planted(table(spark, sf_dir, "documents"))))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each source of the mixture gets, before documents are rounded."""
     targets = mixture.source_targets(mixture.document_sizes(table(spark, sf_dir, "documents")))
@@ -86,6 +90,7 @@ QUERIES = {
         op9_private_data,
         op10_chat_formatting,
         op12_periodic_runs,
+        op13_source_divergence,
         mix_targets,
         quality_base,
     )
@@ -139,6 +144,21 @@ ORACLES = {
         kept AS (SELECT i, string_agg(word, ' ' ORDER BY pos) AS text FROM e ANTI JOIN gone USING (i, pos) GROUP BY i)
         SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
         FROM d LEFT JOIN listed USING (i) LEFT JOIN best USING (i) LEFT JOIN kept USING (i)""",
+    # Every kept term of a language for every one of its groups, as the definition has it.
+    "op13_source_divergence": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        o AS MATERIALIZED (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS MATERIALIZED (SELECT lang, term FROM (SELECT DISTINCT i, lang, term FROM o) GROUP BY ALL HAVING count(*) >= 3),
+        g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+        c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+        f AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS MATERIALIZED (SELECT lang, source, term, n, 1 + CAST(1000000000::HUGEINT * (n + 1) // (sum(n) OVER same + count(*) OVER same) AS BIGINT) AS p FROM f WINDOW same AS (PARTITION BY lang, source)),
+        t AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM f GROUP BY ALL),
+        l AS MATERIALIZED (SELECT lang, term, 1 + CAST(1000000000::HUGEINT * (n + 1) // (sum(n) OVER same + count(*) OVER same) AS BIGINT) AS q FROM t WINDOW same AS (PARTITION BY lang)),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - l.q) * (p.p - l.q) // l.q FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE p.n > 0 AND p.p > l.q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM x QUALIFY part = 'pair' OR rank <= 200""",
     # Each repeated window covers five words; a word is counted once.
     "quality_base": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS l, row_number() OVER () AS i FROM documents),

@@ -21,6 +21,7 @@ COLUMNS = {
     "op9_private_data": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op10_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13_source_divergence": "lang source part item value rank",
 }
 
 
@@ -37,8 +38,10 @@ def test_rows(spark, sf_dir, name):
     rows = df.collect()
     key = named[0]
     source = {"page_id": "pages", "conv_id": "conversations"}.get(key, "documents")
-    ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/{source}.parquet").select(key).collect()}
-    if name == "op3_decontamination":
+    ids = set() if key == "lang" else {r[0] for r in spark.read.parquet(f"{sf_dir}/{source}.parquet").select(key).collect()}
+    if name == "op13_source_divergence":
+        assert {r["lang"] for r in rows} == {r[0] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang").collect()}
+    elif name == "op3_decontamination":
         assert {r[key] for r in rows} <= ids
     else:
         assert {r[key] for r in rows} == ids | ({-7} if key == "conv_id" else set())
