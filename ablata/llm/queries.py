@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, language, main_text, mixture, periodicity, private_data, quality, simhash, token_counts, token_store
+from . import chat, decontaminate, divergence, language, main_text, mixture, passage_quality, periodicity, private_data, quality, simhash, token_counts, token_store
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.rows_to_turns(rows)))
 
 
+def op11_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodicity.digests(periodicity.collapse(periodicity.planted(table(spark, sf_dir, "documents"))))
 
@@ -89,6 +93,7 @@ QUERIES = {
         op8_simhash,
         op9_private_data,
         op10_chat_formatting,
+        op11_passage_quality,
         op12_periodic_runs,
         op13_source_divergence,
         mix_targets,

@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_simhash": "doc_id fingerprint component_id",
     "op9_private_data": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op10_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op11_passage_quality": "doc_id held_out score predicted",
     "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     "op13_source_divergence": "lang source part item value rank",
 }
