@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one for each block element. Elements that never hold article text (menus, headers, footers, asides,
 forms, scripts, styles, and elements whose class or id names an advert, a side bar, a notice, reader comments and the like) become
-blank lines. Text lengths, without link text, are summed over windows of ``WINDOW`` lines: where the sums rise from zero is a surge
+blank lines; an advert becomes none, as the text goes on behind it. Text lengths, without link text, are summed over windows of ``WINDOW`` lines: where the sums rise from zero is a surge
 point, where they fall to zero again a dive point. The text between the two is kept if a window in between sums up to ``SURGE``
 characters, or to as much as the page's largest window if that is less.
 
@@ -12,7 +12,8 @@ kept, the text outside it goes.
 
 What names drop. A heading is never dropped for its names, nor is an element that holds content, an ``h1``, or most of the page's text
 while the rest has neither. Inside content only containers are, if one name says nothing but what is surely no article (``SURE``), or
-if a name has any of ``HINTS`` and at least half of the text is links; so a paragraph of class "alert" or "share-price" stays.
+if a name has any of ``HINTS`` and at least half of the text is links; so a paragraph of class "alert" or "share-price" stays. An id alone is
+an anchor that readers jump to: a section of content stays, whatever its id, if it has a heading and prose, and no fields or named boxes.
 Elsewhere a container is dropped for any of ``HINTS``, and other elements if a name has no other word or half of the text is links.
 A header inside content stays if it holds a heading, a form if it holds content.
 
@@ -42,12 +43,16 @@ RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr table thead tbody tfoot caption blockquote pre article section main body html figure figcaption details summary address hr center nav header footer aside form fieldset".split())
 LANDMARKS = frozenset("article main body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a form is made of.
+FIELDS = frozenset("form input textarea select button label fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Blocks that another of the same name ends.
 SIBLINGS = frozenset("p li dt dd tr option".split())
 CONTAINERS = frozenset("div section ul ol dl span article center".split())
 #: Words in class or id of what is surely no part of an article.
 SURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments commentlist disqus respond cookie cookies consent notice notices popup modal overlay nav navbar navigation breadcrumb breadcrumbs masthead newsletter subscribe subscription signup login pagination pager complementary contentinfo".split())
+#: Those of adverts, which stand in the middle of a text.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
 #: Words in class or id that mark an element to drop.
 HINTS = SURE | frozenset("side aside reply alert menu header footer colophon copyright share sharing social related recommended widget toolbar tags".split())
 #: Words that say nothing beside these.
@@ -55,6 +60,7 @@ FILLERS = frozenset("box wrapper wrap container list section area block slot uni
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_STYLED = re.compile(r"(?:^|[\s\"'/])(?:class|role)\s*=", re.I)
 _HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 
 
@@ -85,12 +91,15 @@ def parse(page: str) -> Page:
     """The page as items, each element with its end."""
     out, opened, at = Page(), [], 0
     in_link, unclosed = 0, set()  # blocks open around the link, and one
-    names: dict[str, int] = {}  # how many of a name are open
+    names: dict[str, list[int]] = {}  # where those of a name are open
+    landmarks: list[int] = []  # where landmarks are open
 
     def end(upto: int, closed: bool = False) -> None:
         while len(opened) > upto:
             x = opened.pop()
-            names[x.name] -= 1
+            names[x.name].pop()
+            if x.name in LANDMARKS:
+                landmarks.pop()
             x.end, x.closed = len(out.items), closed and len(opened) == upto
             out.add((x, False))
 
@@ -106,13 +115,9 @@ def parse(page: str) -> Page:
         if not name:
             continue
         if m[1]:
-            if names.get(name):
-                # An end tag goes no further up than a landmark, unless it is one's own.
-                k = len(opened) - 1
-                while opened[k].name != name and (opened[k].name not in LANDMARKS or name in LANDMARKS):
-                    k -= 1
-                if opened[k].name == name:
-                    end(k, True)
+            # An end tag goes no further up than a landmark, unless it is one's own.
+            if names.get(name) and (name in LANDMARKS or not landmarks or landmarks[-1] < names[name][-1]):
+                end(names[name][-1], True)
             if name == "a" or in_link > len(opened) + 1:
                 in_link = 0
             continue
@@ -134,7 +139,7 @@ def parse(page: str) -> Page:
             while opened and (opened[-1].name == "p" or (opened[-1].name == name and name in SIBLINGS)):
                 end(len(opened) - 1)
             if name in LANDMARKS and names.get("head"):
-                end(next(k for k, x in enumerate(opened) if x.name == "head"))
+                end(names["head"][0])
             if in_link > len(opened) + 1:
                 in_link = 0  # it was never closed
         if name == "a":
@@ -145,8 +150,10 @@ def parse(page: str) -> Page:
         elif name in BLOCKS or name in DROPPED or _NAMED.search(m[3]):
             # Other elements have no bearing on the lines.
             x = Element(name, m[3], len(out.items))
+            names.setdefault(name, []).append(len(opened))
+            if name in LANDMARKS:
+                landmarks.append(len(opened))
             opened.append(x)
-            names[name] = names.get(name, 0) + 1
             out.add((x, True))
         elif name in ("td", "th"):
             out.add(" ")
@@ -166,6 +173,12 @@ def _hint(attributes: str) -> int:
     return found
 
 
+def _advert(attributes: str) -> bool:
+    """Whether class, id or role name an advert."""
+    names = [next(filter(None, m.groups()), "") for m in _NAMED.finditer(attributes)]
+    return any(w.lower() in ADVERTS for name in names for w in _WORDS.findall(name))
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """The page's lines in order: text, its length without link text, and whether it is content; dropped elements are ``WINDOW`` lines without text."""
     parsed = parse(page)
@@ -173,13 +186,23 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     opens = lambda names: [0, *accumulate(not isinstance(x, str) and x[1] and x[0].name in names for x in items)]
     chars = [len("".join(x.split())) if isinstance(x, str) else 0 for x in items]
     seen, linked = [0, *accumulate(chars)], [0, *accumulate(n * k for n, k in zip(chars, parsed.links, strict=True))]
-    articles, mains, tops, headings = opens({"article"}), opens({"main"}), opens({"h1"}), opens(HEADINGS)
+    articles, mains, tops, headings, paragraphs = opens({"article"}), opens({"main"}), opens({"h1"}), opens(HEADINGS), opens({"p"})
     landmark = "article" if articles[-1] else "main"
     landmarks = articles if articles[-1] else mains
 
+    fields = opens(FIELDS)
+    hints = [0, *accumulate(not isinstance(x, str) and x[1] and bool(x[0].attributes) and x[0].name in CONTAINERS and _hint(x[0].attributes) > 0 for x in items)]
+
     def inside(sums: list[int], x: Element) -> int:
         return sums[x.end] - sums[x.start + 1]
 
+    def anchored(x: Element) -> bool:
+        """Whether the name is but an anchor of a section of the text: an id alone, over a heading and prose without links, fields or names of their own."""
+        if not x.closed or _STYLED.search(x.attributes) or not inside(headings, x) or inside(fields, x) or inside(hints, x):
+            return False
+        prose = inside(seen, x) - inside(linked, x)
+        return bool(inside(paragraphs, x)) and prose >= SURGE // 2 and 2 * inside(linked, x) < inside(seen, x)
+
     def dropped(x: Element, in_content: int) -> bool:
         if x.name in DROPPED:
             if x.name == "form":
@@ -201,7 +224,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if x.name == "article":
             return hint == 3 and landmarks[-1] > 1
         if in_content:
-            return x.name in CONTAINERS and (hint == 3 or links)
+            return x.name in CONTAINERS and (hint == 3 or links) and not anchored(x)
         return x.name in CONTAINERS or hint >= 2 or links
 
     def last(x: Element) -> int:
@@ -245,7 +268,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if opening and x.name not in VOID and dropped(x, in_content):
             if x.name in BLOCKS or x.name in CONTAINERS or x.name in DROPPED:
                 end_line()
-                blank()
+                if x.name in DROPPED or not _advert(x.attributes):
+                    blank()
             at = last(x) + 1
             continue
         if x.name in BLOCKS:

@@ -74,3 +74,39 @@ def test_large_pages_take_time_in_proportion():
         start = time.time()
         main_text(page)
         assert time.time() - start < 10, page[:30]
+
+
+ANCHORS = "navigation advertising comments banner subscription notice signup newsletter cookies nav modal promotion login overlay consent".split()
+
+
+@pytest.mark.parametrize("name", ANCHORS)
+def test_sections_named_by_their_subject(name):
+    """An id of a section with a heading and prose is an anchor; a box of that class, or with fields, links or replies in it, is none."""
+    whole = f"<body><article><h1>Title</h1><p>{LONG}</p><section id='{name}'><h2>On {name}</h2><p>{LONG[::-1]}</p></section><p>Short end.</p></article></body>"
+    assert main_text(whole) == f"Title\n\n{LONG}\n\nOn {name}\n\n{LONG[::-1]}\n\nShort end."
+
+
+@pytest.mark.parametrize("name", ["comments", "newsletter", "notice", "cookies", "nav"])
+def test_boxes_inside_an_article_still_go(name):
+    boxes = [
+        f"<section class='{name}'><h3>Box</h3><p>{LONG[::-1]}</p></section>",
+        f"<section id='{name}'><h3>Box</h3><p>{LONG[::-1]}</p><form><input name=a></form></section>",
+        f"<section id='{name}'><h3>Box</h3><p><a href='/x'>{LONG[::-1]}</a></p></section>",
+        f"<section id='{name}'><h3>Box</h3><div class='comment'><p>{LONG[::-1]}</p></div><div class='comment'><p>{LONG}</p></div></section>",
+    ]
+    if name in ("cookies", "nav", "newsletter", "notice", "comments"):
+        for box in boxes:
+            assert main_text(f"<body><article><h1>Title</h1><p>{LONG}</p>{box}</article></body>") == f"Title\n\n{LONG}", box
+
+
+def test_text_goes_on_behind_an_advert():
+    assert main_text(f"<body><div><p>{LONG}</p><div class='ad-box'>Buy now</div><p>Short end.</p></div></body>") == f"{LONG}\n\nShort end."
+
+
+@pytest.mark.parametrize("page", ["<b class=x><article>{0}{1}", "<b class=x><article>{0}{1}</article>", "<head>{0}<article>", "{2}"])
+def test_end_tags_that_find_nothing_are_linear(page):
+    """20,000 open elements and as many end tags of an element beyond a landmark, or heads among them."""
+    n = 20_000
+    began = time.time()
+    main_text(page.format("<div>" * n, "</b>" * n, "<div><head><article>" * n))
+    assert time.time() - began < 5
