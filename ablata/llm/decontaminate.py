@@ -4,8 +4,10 @@ Numbers, names and the units after numbers become typed placeholders; what stood
 ``WINDOW`` successive template tokens, of which at least ``MIN_LITERALS`` are words; a shorter item is one window. Items with the same
 template, whose slots repeat in the same way, are one class: the class stands for them with the windows of its least item.
 
-A document is reported with an item if it holds at least ``MIN_COVERAGE`` of the item's distinct windows and its slots are consistent:
-over the matched windows, an item's slot value goes with one document value and the other way round, for at least half of the pairs
+A document is reported with an item if it holds at least ``MIN_COVERAGE`` of the item's distinct windows, and its slots are consistent. A
+preamble that many items share says nothing about any of them: of the item's own windows, those that at most half as many classes have as
+its most shared one, ``MIN_COVERAGE`` must be there, too, and with windows weighed by one over the number of their classes, ``MIN_WEIGHT`` of
+the item's weight. An item whose windows are all as shared as each other is judged by all of them. For slots, over the matched windows, an item's slot value goes with one document value and the other way round, for at least half of the pairs
 seen. So a question with other numbers or names is caught, while phrases of the same shape with slots that don't go together are not.
 Consistency and coverage are taken over all matched windows, and also over each alignment (a text and a distance between item and
 document position), so that an item that repeats its own template, or a document with several variants of one, is judged occurrence by
@@ -23,9 +25,11 @@ then have windows of each such width that occurs among the items, too. An item w
 words in any five tokens ("12 + 37 = ?"), is found where it stands word for word, signs included: all its windows of up to ``WINDOW`` words,
 numbers and signs must be there; one of less than ``MIN_EXACT`` of these is found only in a text that holds no others.
 
-One scan finds the document windows that may be in an item, by a bitmap of bounded size, and only these are kept. A class with n
-windows of which m must match has a match among its n - m + 1 rarest, so only these are looked up first; what that finds is then
-compared with all windows of the class. A window that a million items share thus makes no pairs by itself. The item side is broadcast
+One scan finds the document windows that may be in an item, by a bitmap of bounded size, and only these are kept. A document with enough of
+a class's weight has one of its rarest windows, those that make up the share it may lack, so only these are looked up first; what that
+finds is then compared with all windows of the class. A window that a million items share thus makes no pairs by itself. Where an item
+repeats a window, its first place stands for all, so that repeats on both sides are not multiplied. Beyond ``MOST_WORDS`` the bitmap fills
+up and more windows pass it, which costs time and changes no result. The item side is broadcast
 up to ``BLOCK_WINDOWS`` windows, beyond that joined by shuffles with ``SALTS`` copies, so a frequent window is split.
 
 Null and empty texts hold nothing and match nothing. Rows with the same doc_id count as one document, each row with a null doc_id as one
@@ -40,6 +44,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW, MIN_LITERALS, MIN_COVERAGE, MIN_CONSISTENT, MIN_EXACT = 5, 2, 0.5, 0.5, 3
+MIN_WEIGHT = 0.15
+#: What sums of weights may be off by.
+_SLACK = 1e-9
 BLOCK_WINDOWS, SALTS = 1 << 18, 16
 #: Bits of the filter for each benchmark window, up to ``MOST_WORDS`` words of 64 bits.
 BITS_A_WINDOW, MOST_WORDS = 64, 1 << 19
@@ -192,7 +199,8 @@ def _bit_filter(side: DataFrame, n: int):
 
 
 def _class_windows(items: DataFrame) -> DataFrame:
-    """One row per window of each class: class, item_id, n_items, item_at, width, h, base, hole, item_slots, n_windows, needed, lead (is among the rarest that must be looked up)."""
+    """One row per distinct window of each class and reading of it: class, item_id, n_items, item_at (the first), width, h, base, hole, item_slots, weight,
+    own, n_windows, needed, needed_own, needed_weight, lead (is among the rarest that must be looked up)."""
     least = F.min(F.struct(F.col("item_id").isNull().alias("no_id"), F.col("item_id"), F.col("text"))).alias("rep")
     classes = items.groupBy("class", "exact").agg(least, F.count("*").alias("n_items")).select("class", "exact", "rep.item_id", "rep.text", "n_items")
     template = _listed(_hashed(classes.filter("not exact"), "class", "text", item_side=True), lambda h: F.lit(True))
@@ -201,14 +209,26 @@ def _class_windows(items: DataFrame) -> DataFrame:
     h = lambda i: F.xxhash64(F.lit("exact"), F.slice("e", i + 1, F.col("width")))
     each = F.transform(F.sequence(F.lit(0), F.size("e") - F.col("width")), lambda i: F.struct(i.alias("at"), F.col("width").alias("width"), h(i).alias("h"), h(i).alias("base"), F.lit(-1).alias("hole"), F.lit(None).cast("array<string>").alias("slots")))
     listed = template.unionByName(spelled.select("id", "row", F.explode(each).alias("w")).select("id", "row", "w.*"))
-    bases = listed.select(F.col("id").alias("class"), "base").distinct()
+    bases = listed.select(F.col("id").alias("class"), "base").distinct().join(classes.select("class", "exact"), "class")
     frequency = bases.groupBy("base").agg(F.count("*").alias("classes"))
-    ranked = bases.join(frequency, "base").withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("classes", "base")))
-    totals = ranked.groupBy("class").agg(F.count("*").alias("n_windows"))
-    named = classes.drop("text").join(totals, "class").withColumn("needed", F.when(F.col("exact"), F.col("n_windows")).otherwise(F.ceil(MIN_COVERAGE * F.col("n_windows")).cast("long")))
-    lead = ranked.select("class", "base", "rank").join(named, "class").withColumn("lead", F.col("rank") <= F.col("n_windows") - F.col("needed") + 1)
+    of_class = Window.partitionBy("class")
+    weighed = bases.join(frequency, "base").withColumn("weight", F.when(F.col("exact"), F.lit(1.0)).otherwise(1 / F.col("classes")))
+    weighed = weighed.withColumn("own", ~F.col("exact") & (2 * F.col("classes") <= F.max("classes").over(of_class)))
+    rarest = of_class.orderBy("classes", "base")
+    ranked = weighed.withColumn("rank", F.row_number().over(rarest)).withColumn("rarer", F.sum("weight").over(rarest.rowsBetween(Window.unboundedPreceding, -1)))
+    totals = weighed.groupBy("class").agg(F.count("*").alias("n_windows"), F.count_if("own").alias("n_own"), F.sum("weight").alias("total"))
+    # An exact item needs all of its windows.
+    share = lambda n, of: F.when(F.col("exact"), F.col(n)).otherwise(F.ceil(of * F.col(n)).cast("long"))
+    named = classes.drop("text").join(totals, "class").withColumn("needed", share("n_windows", MIN_COVERAGE)).withColumn("needed_own", share("n_own", MIN_COVERAGE))
+    named = named.withColumn("needed_weight", F.when(F.col("exact"), F.col("total")).otherwise(MIN_WEIGHT * F.col("total")))
+    # Each rule may lack some windows, and finds one among the rarest that are more.
+    by_number = F.col("rank") <= F.col("n_windows") - F.col("needed") + 1
+    by_own = (F.col("n_own") == 0) | (F.col("rank") <= F.col("n_own") - F.col("needed_own") + 1)
+    by_weight = F.coalesce("rarer", F.lit(0.0)) <= F.col("total") - F.col("needed_weight") + _SLACK
+    lead = ranked.select("class", "base", "weight", "own", "rank", "rarer").join(named, "class").withColumn("lead", by_number & by_own & by_weight)
     wide = listed.select(F.col("id").alias("class"), F.col("at").alias("item_at"), "width", "h", "base", "hole", F.col("slots").alias("item_slots"))
-    return wide.join(lead.drop("rank"), ["class", "base"])
+    first = wide.groupBy("class", "width", "h", "base").agg(F.min(F.struct("item_at", "hole", "item_slots")).alias("first")).select("class", "width", "h", "base", "first.*")
+    return first.join(lead.drop("rank", "rarer", "total", "n_own"), ["class", "base"])
 
 
 def _met(large: DataFrame, small: DataFrame, keys: list[str], n: int, how: str = "inner") -> DataFrame:
@@ -237,21 +257,23 @@ def found_classes(docs: DataFrame, benchmark: DataFrame, short_inside: bool = Fa
     # Where both have the same word that may be a name, it is as good as a word.
     pair = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"].isNotNull() & ~(p["item"].startswith(_START) & (p["item"] == p["doc"])))
     pair = F.transform(pair, lambda p: F.struct(F.translate(p["item"], _START, _NAME).alias("item"), F.translate(p["doc"], _START, _NAME).alias("doc")))
-    looked_up = side.select("class", "item_id", "n_items", "n_windows", "needed", "item_at", "width", "h", "base", "item_slots")
+    looked_up = side.select("class", "item_id", "n_items", "n_windows", "needed", "needed_own", "needed_weight", "weight", F.col("own").alias("own_window"), "item_at", "width", "h", "base", "item_slots")
     hits = _met(candidates, looked_up, ["class"], n).join(passed, ["doc", "width", "h"])
-    hits = hits.select("doc", "doc_id", "row", "class", "item_id", "n_items", "n_windows", "needed", (F.col("at") - F.col("item_at")).alias("shift"), "base", F.coalesce(pair, F.array()).alias("pairs"), _own_values(F.col("slots")).alias("values"))
+    hits = hits.select("doc", "doc_id", "row", "class", "item_id", "n_items", "n_windows", "needed", "needed_own", "needed_weight", (F.col("at") - F.col("item_at")).alias("shift"), "base", F.struct("base", "weight", "own_window").alias("window"), F.coalesce(pair, F.array()).alias("pairs"), _own_values(F.col("slots")).alias("values"))
     # The values that items of a class have in its windows.
     members = _listed(_hashed(items.filter("not exact"), "class", "text", item_side=True), lambda h: F.lit(True))
     values = cut(members.select(F.col("id").alias("class"), "base", _own_values(F.col("slots")).alias("values")).distinct())
     hits = _met(hits, values.withColumn("own", F.lit(True)), ["class", "base", "values"], values.count(), "left")
     ratio = lambda pairs: F.when(F.size(pairs) > 0, F.least(F.size(F.array_distinct(pairs["item"])), F.size(F.array_distinct(pairs["doc"]))) / F.size(pairs)).otherwise(F.lit(1.0))
     pooled = lambda sets: F.array_distinct(F.flatten(F.collect_set(sets)))
-    enough = lambda held: F.size(held) >= F.col("needed")
-    of_class = ["doc", "doc_id", "class", "item_id", "n_items", "n_windows", "needed"]
+    weight = lambda held: F.aggregate(held, F.lit(0.0), lambda acc, w: acc + w["weight"])
+    own = lambda held: F.size(F.filter(held, lambda w: w["own_window"]))
+    enough = lambda held: (F.size(held) >= F.col("needed")) & (own(held) >= F.col("needed_own")) & (weight(held) >= F.col("needed_weight") - _SLACK)
+    of_class = ["doc", "doc_id", "class", "item_id", "n_items", "n_windows", "needed", "needed_own", "needed_weight"]
     aligned = (
         hits.withColumn("own", F.coalesce("own", F.size("pairs") == 0))
         .groupBy(*of_class, "row", "shift")
-        .agg(F.collect_set("base").alias("held"), F.collect_set(F.when(F.col("own"), F.col("base"))).alias("own"), F.bool_and("own").alias("same_slots"), pooled("pairs").alias("pairs"))
+        .agg(F.collect_set("window").alias("held"), F.collect_set(F.when(F.col("own"), F.col("window"))).alias("own"), F.bool_and("own").alias("same_slots"), pooled("pairs").alias("pairs"))
         .withColumn("best", F.when(enough("held"), F.struct(ratio(F.col("pairs")).alias("consistency"), F.size("pairs").alias("n_slots"))))
     )
     found = aligned.groupBy(*of_class).agg(pooled("held").alias("held"), pooled("own").alias("own"), F.bool_and("same_slots").alias("same_slots"), pooled("pairs").alias("pairs"), F.max("best").alias("best"))
@@ -274,4 +296,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, short_inside: bool = Fal
 def keep_clean(docs: DataFrame, benchmark: DataFrame, short_inside: bool = False) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not reported; rows without a doc_id stay."""
     caught = found_classes(docs, benchmark, short_inside).select(F.col("doc_id").alias("_caught")).distinct()
-    return docs.join(caught, F.col("doc_id") == F.col("_caught"), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    return rows.join(caught, F.col("_doc.doc_id") == F.col("_caught"), "left_anti").select("_doc.*")
