@@ -161,6 +161,25 @@ ORACLES = {
         SELECT subject, first(algorithm ORDER BY score DESC, algorithm) AS best_algorithm, first(algorithm ORDER BY score, algorithm) AS worst_algorithm FROM s GROUP BY subject""",
     "best_cluster_count": "WITH c AS (SELECT p_brand AS subject, p_size AS k, count(*)::DOUBLE AS score FROM part GROUP BY ALL) SELECT subject, k, score FROM c WHERE k BETWEEN 4 AND 30 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY score DESC, k) = 1",
     "sample_size_draw": f"WITH {_SIZES} SELECT subject, CAST(sample AS INTEGER) AS sample, size FROM sizes",
+    "sampling_job": f"""WITH {_SIZES.replace("range(20)", "range(10000)")}, quotas AS (SELECT subject, sample, cluster, least(CAST(round_even(size * proportion, 0) AS BIGINT), n) AS k FROM shares JOIN sizes USING (subject)),
+        drawn AS (SELECT subject, sample, feature FROM strata JOIN quotas USING (subject, cluster)
+            QUALIFY row_number() OVER (PARTITION BY subject, sample, cluster ORDER BY {_hash("7", "subject", "sample", "feature")}, feature) <= any_value(k) OVER (PARTITION BY subject, sample, cluster)),
+        sets AS (SELECT subject, sample, count(*) AS n, sum(feature) AS id_sum FROM drawn GROUP BY ALL)
+        SELECT subject, count(*) AS n_samples, CAST(sum(n % 2) AS BIGINT) AS label_sum, CAST(sum(n) AS BIGINT) AS n_items, CAST(sum(id_sum) AS BIGINT) AS id_sum FROM sets GROUP BY subject""",
+    "ridge_statistics": f"""WITH {_INC}, c AS (SELECT subject, yhat, count(*) AS n FROM samples GROUP BY ALL), m AS (SELECT subject, least(coalesce(min(CASE WHEN yhat = 0 THEN n END), 0), coalesce(min(CASE WHEN yhat = 1 THEN n END), 0), 10) AS m FROM c GROUP BY subject),
+        k AS (SELECT subject, greatest(CASE WHEN m < 10 THEN m - 1 ELSE m END, 2) AS k FROM m),
+        f AS (SELECT subject, sample, 2 * yhat - 1 AS t, CAST((row_number() OVER (PARTITION BY subject, yhat ORDER BY sample) - 1) % k AS INTEGER) AS fold FROM samples JOIN k USING (subject)),
+        i AS (SELECT inc.subject, inc.sample, inc.feature, f.fold, f.t FROM inc JOIN f ON f.subject = inc.subject AND f.sample = inc.sample),
+        g AS (SELECT subject, unnest(range(k)) AS fold FROM k), d AS (SELECT DISTINCT subject, feature FROM inc),
+        one AS (SELECT subject, fold, feature, count(*) AS s, sum(t) AS st FROM i GROUP BY ALL),
+        two AS (SELECT x.subject, x.fold, x.feature AS a, y.feature AS b, count(*) AS n FROM i x JOIN i y ON x.subject = y.subject AND x.sample = y.sample AND x.feature <= y.feature GROUP BY ALL)
+        SELECT g.subject, CAST(g.fold AS INTEGER) AS fold, kind, NULL AS a, NULL AS b, coalesce(CASE WHEN kind = 'n' THEN n ELSE t END, 0)::DOUBLE AS value FROM g JOIN (VALUES ('n'), ('target')) v(kind) ON TRUE LEFT JOIN (SELECT subject, fold, count(*) AS n, sum(t) AS t FROM f GROUP BY ALL) x ON x.subject = g.subject AND x.fold = g.fold
+        UNION ALL SELECT g.subject, CAST(g.fold AS INTEGER), kind, d.feature, NULL, coalesce(CASE WHEN kind = 'count' THEN s ELSE st END, 0)::DOUBLE FROM g JOIN d USING (subject) JOIN (VALUES ('count'), ('by_target')) v(kind) ON TRUE LEFT JOIN one ON one.subject = g.subject AND one.fold = g.fold AND one.feature = d.feature
+        UNION ALL SELECT g.subject, CAST(g.fold AS INTEGER), 'together', d.feature, e.feature, coalesce(two.n, 0)::DOUBLE FROM g JOIN d USING (subject) JOIN d e ON e.subject = g.subject AND d.feature <= e.feature LEFT JOIN two ON two.subject = g.subject AND two.fold = g.fold AND two.a = d.feature AND two.b = e.feature""",
+    "matrices_written": f"""WITH {_INC}, n_ AS (SELECT subject, count(*) AS n_samples FROM samples GROUP BY subject), c AS (SELECT subject, count(DISTINCT feature) AS d, count(*) AS ones FROM inc GROUP BY subject),
+        extra AS (SELECT subject, sum(yhat + y) AS labels FROM samples GROUP BY subject)
+        SELECT "table", subject, n_samples, CAST(coalesce(d, 0) + extra_columns AS INTEGER) AS n_columns, CAST(coalesce(ones, 0) + CASE WHEN extra_columns = 2 THEN labels ELSE 0 END AS BIGINT) AS ones
+        FROM n_ LEFT JOIN c USING (subject) JOIN extra USING (subject), (VALUES ('design_matrix', 0), ('pred_results', 2)) AS t("table", extra_columns)""",
     "stratified_sample": f"""WITH {_SIZES}, quotas AS (SELECT subject, sample, cluster, least(CAST(round_even(size * proportion, 0) AS BIGINT), n) AS k FROM shares JOIN sizes USING (subject)),
         drawn AS (SELECT subject, sample, feature FROM strata JOIN quotas USING (subject, cluster)
             QUALIFY row_number() OVER (PARTITION BY subject, sample, cluster ORDER BY {_hash("7", "subject", "sample", "feature")}, feature) <= any_value(k) OVER (PARTITION BY subject, sample, cluster))

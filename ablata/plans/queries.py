@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import durable
 from ..functions import keyed
-from ..operators import clustering, cohort, correlation, incidence, linear, metrics, ranking, reshape, sampling, scoring
+from ..operators import clustering, cohort, correlation, incidence, jobs, linear, metrics, ranking, reshape, ridge, sampling, scoring
 from ..sources import adapters, readers, sinks
 from ..streaming import incremental
 from . import oracles
@@ -535,6 +535,27 @@ def sample_to_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidence.counts(inc)
 
 
+@query
+def sampling_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over all sources with its number of samples: what is committed, from the manifest, with sums over the rows read back."""
+    path = durable.new_path(spark, "sampling-job")
+    done = jobs.sampling_job(adapters.strata(spark, sf_dir), (F.size("features") % 2).cast("int"), path, seed=SEED)
+    inc, scored = jobs.sampled_tables(jobs.sampled(spark, path, "string", "bigint"))
+    sums = inc.groupBy("subject").agg(F.count("*").alias("n_items"), F.sum("feature").alias("id_sum"))
+    return done.join(sums, "subject").select("subject", "n_samples", "label_sum", "n_items", "id_sum")
+
+
+@query
+def matrices_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Design matrices and prediction tables of all subjects in one write, and their lines read again."""
+    path = durable.new_path(spark, "matrices")
+    sinks.write_all_matrices(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), path)
+    lines = spark.read.schema("value string, table string, subject int, chunk int").text(path)
+    cells, is_row = F.split("value", ","), ~F.col("value").startswith("sample")
+    ones = F.when(is_row, F.size(F.filter(F.slice(cells, 2, 1 << 20), lambda c: c == "1")))
+    return lines.groupBy("table", "subject").agg(F.count_if(is_row).alias("n_samples"), F.max(F.size(cells) - 1).alias("n_columns"), F.sum(ones).alias("ones"))
+
+
 @query
 def scored_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single items scored by a Python function."""
@@ -654,18 +675,25 @@ def constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "ridge")
+    return ridge.fit(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
+
+
+@query
+def ridge_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that ridge regression sees of a subject's samples: counts, sums and co-occurrences by fold."""
+    packed = ridge.blocks(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir))
+    return ridge.statistic_rows(ridge.fold_statistics(packed))
 
 
 @query
 def ridge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job's grid and number of replicates."""
-    return linear.conditional_job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), "ridge", 10_000)
+    return ridge.job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), 10_000)
 
 
 @query
 def ridge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linear.coefficient_path(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), linear.RIDGE_GRID.tolist())
+    return ridge.coefficient_path(ridge.blocks(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir)), linear.RIDGE_GRID.tolist())
 
 
 @query
@@ -689,7 +717,7 @@ def path_net_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     inc, samples = adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir)
-    fitted = linear.fit(inc, samples, "ridge").filter("error is null")
+    fitted = ridge.fit(inc, samples).filter("error is null")
     return metrics.roc_auc(linear.margins(inc, samples, fitted).withColumn("y", F.col("yhat")), "margin", "y", ("subject",))
 
 
