@@ -109,7 +109,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose doc_id stands for its component; rows without a doc_id stay."""
     heads = simhash_components(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, F.col(id_col) == F.col("_head"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    own = F.col("_doc").getField(id_col)
+    return rows.join(heads, own == F.col("_head"), "left_semi").unionByName(rows.filter(own.isNull())).select("_doc.*")
 
 
 def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

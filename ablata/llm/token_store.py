@@ -151,8 +151,10 @@ def _segments(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
 
 
 def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Encodes every text and writes a store to ``path``; returns ``path``. Texts are shuffled once, into ranges of doc_id."""
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    """Encodes every text and writes a store to ``path``; returns ``path``. Texts are shuffled once, into ranges of doc_id and, as many rows may share an id or
+    have none, of the text's hash; documents of one id are in the order of that hash."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_hash"))
+    ranged = keyed.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
     ranged.mapInArrow(lambda batches: _segments(batches, vocabulary, end_id), _SEGMENT).write.option("compression", "zstd").parquet(path)
     return path
 

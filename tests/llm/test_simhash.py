@@ -101,3 +101,9 @@ def test_one_row_of_each_component(spark):
     assert got == [("1", "a b c"), ("5", long), ("8", ""), ("None", "q r s")]
     assert sorted(map(str, simhash.keep_one_row(docs.repartition(7)).collect())) == sorted(map(str, kept.collect()))
     assert simhash.keep_one_row(docs.filter("doc_id > 99")).count() == 0
+
+
+def test_kept_rows_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four", "x", 1), (2, "one two three four", "y", 2), (None, "five", "z", 3)], "doc_id long, text string, _head string, `a.b` int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["_head"] for r in kept.collect()) == ["x", "z"]

@@ -103,3 +103,18 @@ def test_runs_of_texts(size, monkeypatch):
     texts = ["a" * n for n in (0, 5, 50, 3, 500, 0)] + [None]
     found = list(runs(texts, size))
     assert [t for run in found for t in run] == texts and all(found)
+
+
+def test_rows_without_an_id_are_spread(spark, tmp_path):
+    """4,000 texts without an id, and as many of one id: several parts, and every document once."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text number {i}", "x") for i in range(8000)], "doc_id long, text string, _hash string")
+    path = token_store.write_store(docs, PATH, f"{tmp_path}/store")
+    sizes = [r["count"] for r in spark.read.parquet(path).selectExpr("part", "size(doc_ids) n").groupBy("part").agg({"n": "sum"}).withColumnRenamed("sum(n)", "count").collect()]
+    assert len(sizes) >= 3 and max(sizes) < 4000 and sum(sizes) == 8000
+    rows = token_store.read_store(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] * 4000 + [7] * 4000
+    at = 0
+    for r in rows:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert sorted(r["ids_crc32"] for r in rows) == sorted(zlib.crc32(np.array([*ids_of(f"text number {i}"), 2], "<u4").tobytes()) for i in range(8000))
