@@ -33,3 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: its lineage ends there, and its rows stay the same."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again. Unlike after ``cut``, the optimiser carries nothing over from before, so many rounds stay cheap to plan."""
+    path = new_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

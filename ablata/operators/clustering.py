@@ -287,10 +287,10 @@ def timed_sweep(vectors: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def runtimes(timed: DataFrame) -> DataFrame:
-    """(subject, algorithm, seconds): what each algorithm of a ``timed_sweep`` took."""
+    """(subject, algorithm, results, seconds): how many results each algorithm of a ``timed_sweep`` has, and what they took."""
     from pyspark.sql import functions as F
 
-    return timed.groupBy("subject", "algorithm").agg(F.sum("seconds").alias("seconds"))
+    return timed.groupBy("subject", "algorithm").agg(F.count("*").alias("results"), F.sum("seconds").alias("seconds"))
 
 
 def components_by_threshold(vectors: DataFrame, metric: str = "euclidean", n: int = 1000) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import cut
 from ..functions import stats
 from . import cohort, incidence, ranking
 
@@ -109,8 +110,9 @@ def feature_correlations(inc: DataFrame, samples: DataFrame) -> DataFrame:
     """(subject, a, b, corr) for all pairs a < b of a subject's features, those that never meet too; 0 where one is constant.
 
     The result is the upper half of the subject's correlation matrix, features squared by definition."""
-    both = gram(inc).filter("a < b")
-    alone = inc.groupBy("subject", "feature").agg(F.count_distinct("sample").alias("s"))
+    # Written once: its diagonal has the samples of each feature.
+    counted = cut(gram(inc))
+    both, alone = counted.filter("a < b"), counted.filter("a = b").select("subject", F.col("a").alias("feature"), F.col("together").alias("s"))
     n = samples.groupBy("subject").agg(F.count("*").alias("n"))
     first, second = alone.toDF("subject", "a", "sa"), alone.toDF("subject", "b", "sb")
     listed = alone.groupBy("subject").agg(F.array_sort(F.collect_list("feature")).alias("all"))

@@ -40,9 +40,15 @@ def community_labels(found: DataFrame) -> DataFrame:
 
 
 def silhouette_curve(sweep: DataFrame) -> DataFrame:
-    """(subject, algorithm, linkage, k, score) to curve rows; series that share an algorithm are told apart by linkage."""
+    """(subject, algorithm, linkage, k, score) to curve rows; series that share an algorithm are told apart by linkage.
+
+    A series that has a k more than once is several lists: their names end in -0, -1, ... in the order of ``position``, or of score where there is none."""
     series = F.when(F.col("linkage").isNull(), F.col("algorithm")).otherwise(F.concat_ws("-", "algorithm", "linkage"))
-    return sweep.select("subject", series.alias("series"), F.col("k").alias("cluster_n"), "score")
+    order = "position" if "position" in sweep.columns else "score"
+    named = sweep.select("subject", series.alias("series"), F.col("k").alias("cluster_n"), "score", F.col(order).alias("_order"))
+    placed = named.withColumn("_list", F.row_number().over(Window.partitionBy("subject", "series", "cluster_n").orderBy("_order")) - 1)
+    several = F.max("_list").over(Window.partitionBy("subject", "series")) > 0
+    return placed.select("subject", F.when(several, F.concat_ws("-", "series", F.col("_list").cast("string"))).otherwise(F.col("series")).alias("series"), "cluster_n", "score")
 
 
 def chunked(subjects: DataFrame, size: int = 10, key: str = "subject") -> DataFrame:
@@ -56,10 +62,11 @@ def flat_set(df: DataFrame, nested: str) -> DataFrame:
 
 
 def columns_joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns of both for the same keys; raises if the row counts differ."""
-    if left.count() != right.count():
-        raise ValueError("the tables differ in length")
-    return left.join(right, keys)
+    """Columns of both for the same keys; a key that one of them lacks raises when the rows are made."""
+    both = left.withColumn("_left", F.lit(True)).join(right.withColumn("_right", F.lit(True)), keys, "full")
+    whole = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    checked = F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("only one table has the key "), F.to_json(F.struct(*keys)))).cast("boolean"))
+    return both.filter(checked).drop("_left", "_right")
 
 
 def indexed(items: DataFrame, by: str, within: list[str]) -> DataFrame:
@@ -84,6 +91,19 @@ def unique_columns(df: DataFrame) -> list[str]:
     return list(dict.fromkeys(df.columns))
 
 
+def first_columns(df: DataFrame) -> DataFrame:
+    """The first column of each name."""
+    placed = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    return placed.select(*(F.col(f"_{df.columns.index(name)}").alias(name) for name in unique_columns(df)))
+
+
+def constant_flags(df: DataFrame) -> DataFrame:
+    """(name, constant): a row for each of a table's different column names, and whether it has one value only."""
+    own = first_columns(df)
+    flags = F.array(*(F.struct(F.lit(c).alias("name"), (F.count_distinct(F.col(f"`{c}`")) == 1).alias("constant")) for c in own.columns))
+    return own.agg(F.explode(flags).alias("x")).select("x.*")
+
+
 def embeddings_long(df: DataFrame, key: str) -> DataFrame:
     """(key, method, x, y) from column pairs ``{METHOD}1``, ``{METHOD}2``."""
     names = [m[1] for c in df.columns if (m := re.fullmatch(r"(.+)1", c)) and f"{m[1]}2" in df.columns]

@@ -69,6 +69,15 @@ _ITEMS = _STRATA + ", items AS (SELECT subject, feature, count(*) OVER (PARTITIO
 _POOLS = _STRATA + ", pools AS (SELECT subject, feature, CASE WHEN quality = toxic THEN 'positive' ELSE 'negative' END AS pool FROM strata JOIN labels ON doc_id = feature)"
 
 
+#: ``d``: distances of a subject's items by metric, and ``m``: the least greatest step between them.
+_PATHS = """e AS MATERIALIZED (SELECT CAST(vec_id // 25 AS INTEGER) AS subject, vec_id AS item, embedding::DOUBLE[] AS v FROM embeddings),
+d AS MATERIALIZED (SELECT a.subject, metric, a.item AS a, b.item AS b, CASE WHEN a.item = b.item THEN 0.0 WHEN metric = 'euclidean' THEN list_distance(a.v, b.v) ELSE greatest(0.0, 1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) END AS d
+    FROM e a JOIN e b USING (subject), (VALUES ('euclidean'), ('cosine')) AS t(metric)),
+m0 AS (SELECT * FROM d)""" + "".join(
+    f", m{k} AS MATERIALIZED (SELECT x.subject, x.metric, x.a, y.b, min(greatest(x.d, y.d)) AS d FROM m{k - 1} x JOIN m{k - 1} y ON x.subject = y.subject AND x.metric = y.metric AND x.b = y.a GROUP BY ALL)" for k in range(1, 6)
+) + ", m AS (SELECT * FROM m5)"
+
+
 def _uniform(source: str, samples: int, least: str, most: str) -> str:
     """Common table expressions that end in ``drawn`` (subject, sample, feature)."""
     return f"""n_ AS (SELECT subject, count(*) AS n FROM {source} GROUP BY subject),
@@ -219,13 +228,18 @@ ORACLES = {
         c AS (SELECT replicate, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM d JOIN l USING (row) GROUP BY replicate),
         m AS (SELECT d.*, CASE WHEN n0 <= n1 THEN 0 ELSE 1 END AS rare, least(n0, n1) < k AND draw > n - 1 - k AS swap FROM d JOIN c USING (replicate))
         SELECT replicate, draw, CASE WHEN swap THEN other ELSE row END AS row FROM m JOIN (SELECT DISTINCT rare, of_ FROM place) USING (rare) LEFT JOIN place p ON p.rare = m.rare AND p.place = {_draw('7', 'replicate', 'draw', "'swap'")} % p.of_""",
-    "threshold_components": """WITH RECURSIVE e AS (SELECT CAST(vec_id // 25 AS INTEGER) AS subject, vec_id AS item, embedding::DOUBLE[] AS v FROM embeddings),
-        d AS (SELECT a.subject, a.item AS a, b.item AS b, CASE WHEN a.item = b.item THEN 0.0 ELSE list_distance(a.v, b.v) END AS d FROM e a JOIN e b USING (subject)),
-        s AS (SELECT subject, a, b, 1 - d / max(d) OVER (PARTITION BY subject) AS s FROM d),
-        l AS (SELECT DISTINCT subject, i, a, b FROM s, range(5) AS t(i) WHERE s >= 0.15 + i * 0.205),
-        r AS (SELECT * FROM l UNION SELECT r.subject, r.i, r.a, l.b FROM r JOIN l ON l.subject = r.subject AND l.i = r.i AND l.a = r.b),
-        m AS (SELECT subject, i, a, min(b) AS root FROM r GROUP BY ALL)
-        SELECT subject, round(0.15 + i * 0.205, 6)::DOUBLE AS threshold, CAST(count(DISTINCT root) AS INTEGER) AS k FROM m GROUP BY subject, i""",
+    # The least greatest step between two items over all paths, by five squarings: subjects have 25 items at most.
+    "threshold_components": f"""WITH {_PATHS}, far AS (SELECT subject, metric, max(d) AS far FROM d GROUP BY ALL),
+        t AS (SELECT step, 0.15::DOUBLE + step * ((0.97::DOUBLE - 0.15::DOUBLE) / 999) AS threshold FROM range(1000) AS r(step)),
+        l AS (SELECT m.subject, m.metric, t.threshold, m.a, min(m.b) AS label FROM m JOIN far USING (subject, metric), t WHERE 1 - m.d / far >= t.threshold AND m.b <= m.a GROUP BY ALL)
+        SELECT subject, metric, round(threshold, 6) AS threshold, CAST(count(DISTINCT label) AS INTEGER) AS k, CAST(sum(label) AS BIGINT) AS label_sum FROM l GROUP BY subject, metric, l.threshold""",
+    # An item that isn't the least of all stops being the least of its component at its least such step to a lesser item.
+    "spanning_trees": f"""WITH {_PATHS}, s AS (SELECT subject, a, min(d) AS d FROM m WHERE b < a AND metric = 'euclidean' GROUP BY ALL) SELECT subject, count(*) AS n, round(sum(d), 6) AS weight FROM s GROUP BY subject""",
+    "first_merges": """WITH e AS (SELECT CAST(vec_id // 25 AS INTEGER) AS subject, vec_id AS item, embedding::DOUBLE[] AS v FROM embeddings),
+        d AS (SELECT a.subject, a.item AS i, least(a.item, b.item) AS a, greatest(a.item, b.item) AS b, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.subject = b.subject AND a.item <> b.item),
+        n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY subject, i ORDER BY d, a, b) = 1),
+        p AS (SELECT subject, a, b, min(d) AS d FROM n GROUP BY ALL HAVING count(*) = 2)
+        SELECT subject, linkage, a, b, round(CASE WHEN linkage = 'ward' THEN d * d ELSE d END, 6) AS height FROM p, (VALUES ('ward'), ('complete'), ('average'), ('single')) AS t(linkage)""",
     "csv_scan": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "csv_index_scan": "SELECT n_nationkey, n_name FROM nation",
     "csv_by_subject": f"WITH {_INFLUENCE.format(which='TRUE', df='(k - 2)')} SELECT subject, feature, n, sx, round(corr, 6) AS corr FROM influence",

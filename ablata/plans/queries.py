@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import durable
 from ..functions import keyed
-from ..operators import clustering, cohort, correlation, incidence, jobs, linear, metrics, ranking, reshape, ridge, sampling, scoring
+from ..operators import clustering, cohort, correlation, hierarchy, incidence, jobs, linear, metrics, ranking, reshape, ridge, sampling, scoring
 from ..sources import adapters, readers, sinks
 from ..streaming import incremental
 from . import oracles
@@ -663,11 +663,9 @@ def subset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of a joined table by name, repeats dropped, that have one value only."""
-    table = adapters.read(spark, sf_dir, "region").join(adapters.read(spark, sf_dir, "region"), "r_regionkey").withColumn("one", F.lit(1))
-    names = reshape.unique_columns(table)
-    constant = reshape.constants(table.select("r_regionkey", "one"), ["r_regionkey", "one"])
-    return spark.createDataFrame([(n, n in constant) for n in names], "name string, constant boolean")
+    """The columns of a joined table by name, repeats dropped, and which of them have one value only."""
+    region = adapters.read(spark, sf_dir, "region")
+    return reshape.constant_flags(region.join(region.withColumnRenamed("r_regionkey", "_key"), F.col("r_regionkey") == F.col("_key")).drop("_key").withColumn("one", F.lit(1)))
 
 
 # Models: no SQL twins; tests hold them against closed forms and optimality conditions
@@ -745,14 +743,38 @@ def cluster_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sweep_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which algorithms were timed; the seconds themselves differ from run to run."""
-    return clustering.runtimes(clustering.timed_sweep(_small_subjects(spark, sf_dir))).select("subject", "algorithm", (F.col("seconds") >= 0).alias("timed"))
+    """How many results each algorithm was timed for; the seconds themselves differ from run to run."""
+    return clustering.runtimes(clustering.timed_sweep(_small_subjects(spark, sf_dir))).select("subject", "algorithm", "results")
 
 
 @query
 def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the similarity graph at five thresholds."""
-    return _rounded(clustering.components_by_threshold(_small_subjects(spark, sf_dir), n=5), "threshold").select("subject", "threshold", "k")
+    """Components of the similarity graph at a thousand thresholds of two metrics, with the sum of all labels at each."""
+    vectors = _small_subjects(spark, sf_dir)
+    found = hierarchy.threshold_components(vectors.select("subject", "item"), hierarchy.distance_edges(vectors, ("euclidean", "cosine")))
+    return _rounded(found, "threshold").drop("step")
+
+
+@query
+def spanning_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subject's least spanning tree: its edges and their weight."""
+    tree = hierarchy.spanning_tree(hierarchy.distance_edges(_small_subjects(spark, sf_dir)))
+    return _rounded(tree.groupBy("subject").agg(F.count("*").alias("n"), F.sum("d").alias("weight")), "weight")
+
+
+@query
+def first_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of items that are each other's nearest: what agglomerative clustering merges in its first round, under every linkage."""
+    merged = hierarchy.merges(hierarchy.distance_edges(_small_subjects(spark, sf_dir)), rounds=1)
+    return _rounded(merged.select("subject", "linkage", "a", "b", "height"), "height")
+
+
+@query
+def agglomerative_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's cluster for each k from four on, under Ward's linkage, which the sampler takes its strata from."""
+    vectors = _small_subjects(spark, sf_dir)
+    merged = hierarchy.merges(hierarchy.distance_edges(vectors), ("ward",))
+    return hierarchy.labels_at(vectors.select("subject", "item"), merged, clustering.MIN_CLUSTERS + 1, 22)
 
 
 @query

@@ -43,12 +43,25 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 _ITEM = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^\s,'"][^,]*"""
 
 
+#: An escape, or text without one.
+_PIECE = r"(?s)\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]+"
+#: What letters after a backslash stand for.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", "'": "'", '"': '"', "\n": ""}
+
+
+def _unescaped(piece: Column) -> Column:
+    """A piece of a string literal as it reads; an unknown escape keeps its backslash."""
+    known = F.create_map(*(F.lit(x) for pair in _ESCAPES.items() for x in pair))
+    code = F.when(piece.rlike(r"^\\[xu]..+$"), F.decode(F.unhex(F.lpad(F.substring(piece, 3, 4), 4, "0")), "UTF-16BE"))
+    return F.when(piece.startswith("\\"), F.coalesce(code, F.try_element_at(known, F.substring(piece, 2, 1)), piece)).otherwise(piece)
+
+
 def list_literal(cell: Column) -> Column:
     """A cell such as ``['a', "it's", 3]`` as an array of strings; null if it has no brackets around it."""
     inner = F.regexp_extract(cell, r"(?s)^\s*\[(.*)\]\s*$", 1)
     whole = F.regexp_extract_all(inner, F.lit(_ITEM), F.lit(0))
     quoted = lambda x: x.startswith("'") | x.startswith('"')
-    plain = lambda x: F.regexp_replace(F.substring(x, 2, F.length(x) - 2), r"\\(.)", "$1")
+    plain = lambda x: F.array_join(F.transform(F.regexp_extract_all(F.substring(x, 2, F.length(x) - 2), F.lit(_PIECE), F.lit(0)), _unescaped), "")
     return F.when(cell.rlike(r"(?s)^\s*\[.*\]\s*$"), F.transform(whole, lambda x: F.when(quoted(x), plain(x)).otherwise(F.rtrim(x))))
 
 
