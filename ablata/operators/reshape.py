@@ -62,11 +62,11 @@ def flat_set(df: DataFrame, nested: str) -> DataFrame:
 
 
 def columns_joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns of both for the same keys; a key that one of them lacks raises when the rows are made."""
-    both = left.withColumn("_left", F.lit(True)).join(right.withColumn("_right", F.lit(True)), keys, "full")
-    whole = F.col("_left").isNotNull() & F.col("_right").isNotNull()
-    checked = F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("only one table has the key "), F.to_json(F.struct(*keys)))).cast("boolean"))
-    return both.filter(checked).drop("_left", "_right")
+    """Columns of both for the same keys; a key that one of them lacks raises ValueError."""
+    both = left.select(*keys, F.lit(True).alias("_left")).join(right.select(*keys, F.lit(True).alias("_right")), keys, "full")
+    if lost := both.filter("_left is null or _right is null").select(*keys).head(1):
+        raise ValueError(f"only one table has the key {tuple(lost[0])}")
+    return left.join(right, keys)
 
 
 def indexed(items: DataFrame, by: str, within: list[str]) -> DataFrame:
