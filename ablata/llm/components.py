@@ -1,7 +1,8 @@
 """Connected components of an edge list, by alternating large-star and small-star rounds.
 
 Edges stay distributed; each round is two aggregations with map-side partial minima, and the only value the driver sees is a count.
-Each round is cut with checkpoint(), so a lost executor costs one round at most.
+Each round is written as Parquet, so a lost executor costs one round at most. A checkpoint would do for that, but it carries Spark's size
+estimates on, which joins multiply: their digits grow fourfold in a round, and the driver's memory with them.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 
 def fresh_key(key: str) -> Column:
@@ -35,10 +36,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges`` (a, b) to (node, root): root is the least node reachable. Nodes that no edge names have no row.
 
     Self-links, repeated edges and both directions are allowed; null ends are dropped; no edges give no rows."""
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now)).filter("a <> b").distinct())
+        now = stored(_small_star(_large_star(now)).filter("a <> b").distinct())
         # A set of edges that a round leaves as it is has the same count and the same sums of hashes.
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
