@@ -36,22 +36,31 @@ def wide(inc: DataFrame, samples: DataFrame, features: list[str]) -> DataFrame:
     return rows.select("subject", "sample", *(F.coalesce(F.col(f"`{f}`"), F.lit(0)).alias(str(f)) for f in names), "yhat", "y")
 
 
-def deduplicated(samples: DataFrame, inc: DataFrame) -> DataFrame:
-    """Samples without those that repeat an earlier one of their subject in features, yhat and y; the least sample id stays."""
+def deduplicated(samples: DataFrame, inc: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Samples without those that repeat an earlier one of their subject in features, yhat and y; the least sample id stays.
+
+    ``tasks`` deals the samples out by so many, where the session's number of partitions is too low for them."""
+    if tasks is not None:
+        samples = samples.repartition(tasks, "subject", "sample")
     signed = inc.groupBy("subject", "sample").agg(*set_signature("feature"))
     rows = samples.join(signed, ["subject", "sample"], "left").fillna(0, ["sig_n", "sig_xor"])
     rows = rows.withColumn("sig_sum", F.coalesce("sig_sum", F.lit(0).cast("decimal(38,0)")))
     return rows.groupBy("subject", *SIGNATURE, "yhat", "y").agg(F.min("sample").alias("sample")).select("subject", "sample", "yhat", "y")
 
 
-def unique_features(inc: DataFrame, features: DataFrame | None = None) -> DataFrame:
+def unique_features(inc: DataFrame, features: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """(subject, feature) without features in the same samples as an earlier one; the least name stays.
 
-    ``features`` (subject, feature) names features that may be in no sample; they are equal to each other."""
+    ``features`` (subject, feature) names features that may be in no sample; they are equal to each other. ``tasks`` deals rows and features
+    out by so many: right where features are nearly as many as rows, so that next to nothing combines before the shuffle."""
+    if tasks is not None:
+        inc = inc.repartition(tasks, "subject", "feature")
     signed = inc.groupBy("subject", "feature").agg(*set_signature("sample"))
     if features is not None:
         signed = features.join(signed, ["subject", "feature"], "left").fillna(0, ["sig_n", "sig_xor"])
         signed = signed.withColumn("sig_sum", F.coalesce("sig_sum", F.lit(0).cast("decimal(38,0)")))
+    if tasks is not None:
+        signed = signed.repartition(tasks, "subject", *SIGNATURE)
     return signed.groupBy("subject", *SIGNATURE).agg(F.min("feature").alias("feature")).select("subject", "feature")
 
 

@@ -138,19 +138,19 @@ def incidence_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def row_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidence.deduplicated(adapters.samples(spark, sf_dir), adapters.incidence(spark, sf_dir))
+    return incidence.deduplicated(adapters.samples(spark, sf_dir), adapters.incidence(spark, sf_dir), adapters.tasks(spark, sf_dir, "orders"))
 
 
 @query
 def unique_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of an order within a nation as features: few samples hold one, so that equal columns occur."""
-    return incidence.unique_features(_part_incidence(spark, sf_dir))
+    return incidence.unique_features(_part_incidence(spark, sf_dir), tasks=adapters.tasks(spark, sf_dir, "lineitem"))
 
 
 def _part_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = adapters.read(spark, sf_dir, "lineitem")
+    lines = adapters.spread(adapters.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), adapters.tasks(spark, sf_dir, "lineitem"), "l_orderkey")
     own = adapters.samples(spark, sf_dir)
-    return lines.join(own, F.col("l_orderkey") == F.col("sample")).select("subject", "sample", F.col("l_partkey").alias("feature")).distinct()
+    return lines.join(own, F.col("l_orderkey") == F.col("sample")).select("subject", F.col("l_orderkey").alias("sample"), F.col("l_partkey").alias("feature")).distinct()
 
 
 @query

@@ -15,9 +15,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a large table that a task joins and groups at a time, some 200 MB of sorts and hash maps.
+ROWS = 500_000
+
+
+def tasks(spark: SparkSession, sf_dir: str, name: str) -> int | None:
+    """How many tasks deal a table out by ``ROWS``; none where the session's own number of partitions is enough. The count is in the file's footer."""
+    needed = -(-read(spark, sf_dir, name).count() // ROWS)
+    return needed if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows dealt out by key into so many partitions, which joins and groups by these keys keep; as they are for none."""
+    return rows if parts is None else rows.repartition(parts, *keys)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, sample, yhat, y)."""
     orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    orders = spread(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), tasks(spark, sf_dir, "orders"), "o_custkey")
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         F.col("c_nationkey").alias("subject"),
         F.col("o_orderkey").alias("sample"),
@@ -28,10 +44,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, sample, feature, yhat, y), distinct."""
-    lines, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
-    own = samples(spark, sf_dir)
-    branded = lines.join(part, lines.l_partkey == part.p_partkey).select("l_orderkey", F.col("p_brand").alias("feature"))
-    return branded.join(own, F.col("l_orderkey") == F.col("sample")).select("subject", "sample", "feature", "yhat", "y").distinct()
+    lines, part = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), read(spark, sf_dir, "part")
+    own, parts = samples(spark, sf_dir), tasks(spark, sf_dir, "lineitem")
+    lines = spread(lines, parts, "l_partkey")
+    branded = spread(lines.join(part, lines.l_partkey == part.p_partkey).select("l_orderkey", F.col("p_brand").alias("feature")), parts, "l_orderkey")
+    return branded.join(own, F.col("l_orderkey") == F.col("sample")).select("subject", F.col("l_orderkey").alias("sample"), "feature", "yhat", "y").distinct()
 
 
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
