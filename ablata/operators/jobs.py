@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cohort, sampling, scoring
+from . import cohort, metrics, sampling, scoring
 
 COMMITS = 16
 
@@ -43,10 +43,29 @@ def sampled(spark: SparkSession, path: str, kind: str, item: str) -> DataFrame:
     return rows.join(committed(spark, path, kind).select("subject", "part"), ["subject", "part"], "left_semi").drop("part")
 
 
+#: Samples that are drawn from one copy of their subject's items.
+SAMPLES = 50
+
+
 def subsets(strata: DataFrame, n_samples: int, seed: int) -> DataFrame:
-    """(subject, sample, features): stratified draws as sorted arrays, which are at most a subject's items."""
-    drawn = sampling.stratified(strata, n_samples, seed)
-    return drawn.groupBy("subject", "sample").agg(F.array_sort(F.collect_list("feature")).alias("features"))
+    """(subject, sample, features): the draws of ``sampling.stratified`` as sorted arrays, which are at most a subject's items.
+
+    A subject's items are dealt out once for every ``SAMPLES`` samples, and a sample orders them in its own row: no row is made for an item
+    of a sample, and one subject's samples are on all tasks."""
+    spark = strata.sparkSession
+    listed = strata.groupBy("subject", "cluster").agg(F.collect_list(F.struct("feature")).alias("items"))
+    own = metrics.proportions(strata).join(listed, ["subject", "cluster"]).groupBy("subject").agg(F.collect_list(F.struct("n", "proportion", "items")).alias("strata"))
+    chunks = own.join(metrics.min_sample_size(strata), "subject").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // SAMPLES))))
+    # A stated number of partitions is not coalesced: little is shuffled and much is made of it.
+    dealt = chunks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "subject", "chunk")
+    first = F.col("chunk") * SAMPLES
+    grid = dealt.withColumn("sample", F.explode(F.sequence(first, F.least(first + SAMPLES, F.lit(n_samples)) - 1)))
+    sized = grid.withColumn("size", sampling.size_of(seed))
+    quota = lambda s: F.least(F.bround(F.col("size") * s["proportion"]).cast("long"), s["n"]).cast("int")
+    ordered = lambda s: F.sort_array(F.transform(s["items"], lambda x: F.struct(sampling.order_of(seed, x["feature"]).alias("key"), x["feature"].alias("feature"))))
+    taken = F.flatten(F.transform("strata", lambda s: F.slice(ordered(s), F.lit(1), quota(s))))
+    features = F.sort_array(F.filter(F.transform(taken, lambda x: x["feature"]), lambda f: f.isNotNull()))
+    return sized.filter(F.exists("strata", lambda s: quota(s) > 0)).select("subject", "sample", features.alias("features"))
 
 
 def sampling_job(strata: DataFrame, scorer: Column | Callable, path: str, n_samples: int = 10_000, seed: int = 0, commits: int = COMMITS, **scoring_options) -> DataFrame:

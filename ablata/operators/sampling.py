@@ -46,7 +46,17 @@ class SizeRule:
 def sample_sizes(strata: DataFrame, n_samples: int, seed: int) -> DataFrame:
     """(subject, sample, size): uniform from the least size that reaches every cluster to all items."""
     grid = metrics.min_sample_size(strata).select("subject", "n_items", "min_size", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
-    return grid.select("subject", "sample", keyed.between(F.col("min_size"), F.col("n_items"), seed, F.col("subject"), F.col("sample")).alias("size"))
+    return grid.select("subject", "sample", size_of(seed).alias("size"))
+
+
+def size_of(seed: int) -> Column:
+    """A sample's size from (subject, sample, min_size, n_items)."""
+    return keyed.between(F.col("min_size"), F.col("n_items"), seed, F.col("subject"), F.col("sample"))
+
+
+def order_of(seed: int, feature: Column) -> Column:
+    """What a sample takes its items by, from (subject, sample)."""
+    return keyed.key(seed, F.col("subject"), F.col("sample"), feature)
 
 
 def stratified(strata: DataFrame, n_samples: int, seed: int = 0) -> DataFrame:
@@ -60,7 +70,7 @@ def stratified(strata: DataFrame, n_samples: int, seed: int = 0) -> DataFrame:
 
 
 def _first_k(rows: DataFrame, groups: tuple[str, ...], seed: int) -> DataFrame:
-    order = Window.partitionBy(*groups).orderBy(keyed.key(seed, F.col("subject"), F.col("sample"), F.col("feature")), "feature")
+    order = Window.partitionBy(*groups).orderBy(order_of(seed, F.col("feature")), "feature")
     return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("k")).drop("_r", "k")
 
 

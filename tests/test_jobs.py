@@ -6,7 +6,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from ablata.operators import incidence, jobs
+from ablata.operators import incidence, jobs, sampling
 from ablata.sources import sinks
 
 
@@ -121,3 +121,13 @@ def test_archives(spark, tmp_path):
     for name in ("corr_results", "sampling_corr", "encoded_img_corr"):
         assert len(glob.glob(f"{tmp_path}/a/{name}/subject=*/*.csv")) == 2
     assert len(glob.glob(f"{tmp_path}/a/matrices/table=*/subject=*")) == 4
+
+
+def test_subsets_are_the_stratified_draws(spark):
+    """One subject's samples are on several tasks."""
+    rows = [(s, c, f) for s, n in (("a", 70), ("b", 3), (None, 4)) for f in range(n) for c in (None, "x", "y", "z")[f % 4 :][:1]]
+    strata = spark.createDataFrame(rows, "subject string, cluster string, feature bigint")
+    want = sampling.stratified(strata, 120, 5).groupBy("subject", "sample").agg(F.array_sort(F.collect_list("feature")).alias("features"))
+    assert sorted(map(tuple, jobs.subsets(strata, 120, 5).collect())) == sorted(map(tuple, want.collect()))
+    one = jobs.subsets(strata.filter("subject = 'a'"), 1000, 5).withColumn("task", F.spark_partition_id())
+    assert one.select("task").distinct().count() > 1
