@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import stored
-from .correlation import block_pairs
+from .correlation import BLOCK, SLICE, compared, slices
 
 LINKAGES = ("ward", "complete", "average", "single")
 
@@ -32,23 +32,28 @@ LINKAGES = ("ward", "complete", "average", "single")
 def distance_edges(vectors: DataFrame, metrics: tuple[str, ...] = ("euclidean",)) -> DataFrame:
     """(subject, metric, a, b, d) for all pairs a < b of a subject's (subject, item, vector): quadratic by definition, block against block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                x, y, others = np.stack(row.va), np.stack(row.vb), np.asarray(row.ib)
-                lengths = {"x": np.linalg.norm(x, axis=1), "y": np.linalg.norm(y, axis=1)}
-                for k, item in enumerate(row.ia):
-                    keep = others > item if row.i == row.j else others != item
+    def run(subject: object, left: pd.DataFrame, right: pd.DataFrame, one: bool) -> Iterator[pd.DataFrame]:
+        x, y, others = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy()), right["item"].to_numpy()
+        lengths = {"x": np.linalg.norm(x, axis=1), "y": np.linalg.norm(y, axis=1)}
+        for q in slices(len(y), SLICE):
+            for p in slices(len(x), BLOCK):
+                found = {metric: [] for metric in metrics}
+                ends = []
+                for k, item in zip(range(p.start, p.stop), left["item"].to_numpy()[p], strict=True):
+                    keep = np.flatnonzero(others[q] > item if one else others[q] != item) + q.start
+                    ends.append((np.minimum(item, others[keep]), np.maximum(item, others[keep])))
                     for metric in metrics:
                         if metric == "cosine":
                             d = np.clip(1 - y[keep] @ x[k] / np.maximum(lengths["x"][k] * lengths["y"][keep], 1e-300), 0, 2)
                         else:
                             d = np.sqrt(((y[keep] - x[k]) ** 2).sum(1))
-                        yield pd.DataFrame({"subject": row.subject, "metric": metric, "a": np.minimum(item, others[keep]), "b": np.maximum(item, others[keep]), "d": d})
+                        found[metric].append(d)
+                a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
+                for metric in metrics:
+                    yield pd.DataFrame({"subject": subject, "metric": metric, "a": a, "b": b, "d": np.concatenate(found[metric])})
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    pairs = block_pairs(vectors.withColumn("cluster", F.lit(0))).select("subject", "i", "j", "ia", "va", "ib", "vb")
-    return pairs.mapInPandas(run, f"subject {kinds['subject']}, metric string, a {kinds['item']}, b {kinds['item']}, d double")
+    return compared(vectors.withColumn("cluster", F.lit(0)), run, f"subject {kinds['subject']}, metric string, a {kinds['item']}, b {kinds['item']}, d double")
 
 
 def _both_ways(edges: DataFrame, keys: list[str], *more: str) -> DataFrame:

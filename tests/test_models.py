@@ -192,3 +192,21 @@ def test_threshold_components_and_times(spark):
     assert found[0]["k"] <= found[-1]["k"] and 2 in {r["k"] for r in found}
     times = clustering.runtimes(clustering.timed_sweep(vectors)).collect()
     assert {"kmeans", "louvain", "spectral", "agglomerative"} <= {r["algorithm"] for r in times} and all(r["seconds"] >= 0 for r in times)
+
+
+def test_vectors_are_sent_a_bounded_number_of_times(spark, monkeypatch):
+    """Ten times the blocks send a vector no more often, and the sums stay as they are, with many clusters too."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(90, 4))
+    df = spark.createDataFrame([(0, i, i % 30, v.tolist()) for i, v in enumerate(x)], "subject int, item long, cluster int, vector array<double>")
+    whole = sorted((r["item"], r["cluster"], r["own"], r["n"], round(r["total"], 9)) for r in correlation.distance_sums(df).collect())
+    silhouette = correlation.silhouette(df).first()["silhouette"]
+    assert silhouette == pytest.approx(clustering.silhouette(clustering.pairwise(x), np.arange(90) % 30), abs=1e-9)
+    monkeypatch.setattr(correlation, "BLOCK", 3)
+    monkeypatch.setattr(correlation, "SLICE", 4)
+    monkeypatch.setattr(correlation, "GRID", 5)
+    assert correlation.block_pairs(df).count() == 5 * 90
+    for kept in (1 << 22, 1):
+        monkeypatch.setattr(correlation, "KEPT", kept)
+        assert sorted((r["item"], r["cluster"], r["own"], r["n"], round(r["total"], 9)) for r in correlation.distance_sums(df).collect()) == whole
+    assert correlation.vector_correlations(df).distinct().count() == 90 * 89 // 2
