@@ -72,6 +72,28 @@ def test_choice_by_every_setting():
     assert best["mean_auc"] == pytest.approx(max(means.values()), abs=0.01)
 
 
+@pytest.mark.parametrize("name, grid", [("elastic_net", {"cs": [0.01, 1.0], "mixes": [0.0, 0.5, 1.0]}), ("path_net", {"mixes": [0.5, 1.0], "path": 10, "last_path": 20})])
+def test_repeated_rows_are_solved_once(monkeypatch, name, grid):
+    """Thirty copies of the rows are no more rows for the solver, and the choice is that of the rows one by one."""
+    x, y = data(60, 4)
+    x, y, seen = np.tile(x, (30, 1)), np.tile(y, 30), []
+    solve = linear.elastic_nets
+    monkeypatch.setattr(linear, "elastic_nets", lambda x, *more, **how: (seen.append(len(x)), solve(x, *more, **how))[1])
+    best = linear.choose(name, x, y, grid)
+    assert max(seen) <= 32
+    monkeypatch.setattr(linear, "grouped", lambda x, y, weights: (x, y, weights))
+    plain = linear.choose(name, x, y, grid)
+    assert max(seen) > 1500
+    assert {k: best[k] for k in ("alpha", "mix")} == {k: plain[k] for k in ("alpha", "mix")}
+    assert np.allclose(best["coef"], plain["coef"], atol=1e-6) and best["mean_auc"] == pytest.approx(plain["mean_auc"], abs=1e-9)
+
+
+def test_area_of_groups():
+    draw = np.random.default_rng(2)
+    y, counts, score = draw.integers(0, 2, 30), draw.integers(1, 5, 30), draw.integers(0, 9, 30) / 8
+    assert linear.auc_of_groups(y, counts, score) == pytest.approx(linear.auc(np.repeat(y, counts), np.repeat(score, counts)))
+
+
 @pytest.fixture
 def frames(spark):
     x, y = data(80, 5, 3)
