@@ -74,13 +74,17 @@ def indexed(items: DataFrame, by: str, within: list[str]) -> DataFrame:
     return items.withColumn("position", F.row_number().over(Window.partitionBy(*within).orderBy(by)) - 1)
 
 
-def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
+def numbered(df: DataFrame, group: str, order: str, ranges: int | None = None) -> DataFrame:
     """``df`` with ``position``, the 0-based place in its group by ``order``, though a group may hold nearly all rows.
 
-    Rows are dealt out by ranges of (group, order) and numbered within a range; the ranges before a group's part, few in number, are added."""
-    ranged = cut(df.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()))
+    Rows are dealt out by ranges of (group, order) and numbered within a range; the ranges before a group's part, few in number, are added.
+    ``ranges`` is their number, where the session's number of partitions is too low."""
+    by_range = df.repartitionByRange(group, order) if ranges is None else df.repartitionByRange(ranges, group, order)
+    ranged = cut(by_range.withColumn("_range", F.spark_partition_id()))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n")).select(F.col(group).alias("_group"), F.col("_range").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if ranges is not None:
+        ranged = ranged.repartition(ranges, group, "_range")
     inside = ranged.withColumn("_inside", F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) - 1)
     joined = inside.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_part")))
     return joined.withColumn("position", F.col("_before") + F.col("_inside")).select(*df.columns, "position")

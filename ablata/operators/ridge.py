@@ -2,8 +2,9 @@
 
 A subject's samples are dealt into blocks of about ``BLOCK`` rows by their place in their class, so the size of every block and class follows
 from three numbers. A block of packed bits gives, for each fold, the counts, sums and co-occurrences of its rows; blocks are added in a
-tree of groups of ``FAN``, a fold is left out by subtraction, and the only dense step is a solve of features by features. Margins of a
-held-out fold go to a rank aggregate where a subject has several blocks; a subject of one block ranks them in place.
+tree of groups of ``FAN``, a fold is left out by subtraction, and the only dense step is a solve of features by features. A held-out fold is
+ranked from its packed bits, once for each of ``PARTS`` parts of the grid, so that what is shuffled doesn't go with the number of penalties; a
+fold of more than ``FOLD_BYTES`` sends its margins to a rank aggregate instead. A subject of one block ranks them in place.
 
 The bootstrap is an exact multinomial split: a replicate's n draws are divided between the classes and then down a tree of block ranges by
 binomial draws keyed by (seed, subject, replicate, range), so that a block knows its own number without the others, draws its rows, and
@@ -28,6 +29,10 @@ from . import linear, metrics, reshape
 
 #: Rows of a block, blocks that one task adds, replicates of a chunk.
 BLOCK, FAN, CHUNK = 20_000, 32, 250
+#: Parts of a grid that a fold is sent to, and the most that a fold may take in one task: packed bits and 16 bytes a row.
+PARTS, FOLD_BYTES = 4, 32 << 20
+#: Samples that a task sorts and joins at a time, where the session's number of partitions is too low for them.
+TASK_ROWS = 250_000
 #: Draws of the rarer class below which a replicate is topped up: the estimator's default number of folds.
 TOP_UP = 10
 
@@ -41,28 +46,36 @@ def blocks(inc: DataFrame, samples: DataFrame, rows: int = BLOCK) -> DataFrame:
     classes = labelled.groupBy("subject").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
     least = F.least("n0", "n1", F.lit(10))
     classes = classes.withColumn("blocks", F.ceil((F.col("n0") + F.col("n1")) / rows)).withColumn("k", F.greatest(F.when(least >= 10, least).otherwise(least - 1), F.lit(2)).cast("int"))
-    placed = reshape.numbered(labelled.withColumn("_class", F.struct("subject", "y")), "_class", "sample").drop("_class").join(classes, "subject")
+    classes = cut(classes)  # one row for each subject
+    total = classes.agg(F.sum(F.col("n0") + F.col("n1"))).first()[0] or 0
+    parts = max(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+    placed = reshape.numbered(labelled.withColumn("_class", F.struct("subject", "y")), "_class", "sample", parts).drop("_class").join(classes, "subject")
     own = F.when(F.col("y") == 1, F.col("n1")).otherwise(F.col("n0"))
     dealt = placed.select("subject", "sample", "y", "blocks", "n0", "n1", "k", (F.col("position") % F.col("k")).cast("int").alias("fold"), F.call_function("div", F.col("position") * F.col("blocks"), own).alias("block"))
     features = inc.select("subject", "feature").distinct()
     names = features.groupBy("subject").agg(F.array_sort(F.collect_list("feature")).alias("names"))
-    held = inc.select("subject", "sample", "feature").join(names.select("subject", F.posexplode("names").alias("at", "feature")), ["subject", "feature"])
-    held = held.groupBy("subject", "sample").agg(F.collect_set("at").alias("held"))
-    joined = dealt.join(held, ["subject", "sample"], "left")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    held = inc.select("subject", "sample", "feature").repartition(parts, "subject", "sample").groupBy("subject", "sample").agg(F.collect_set("feature").alias("held"))
+    joined = dealt.repartition(parts, "subject", "sample").join(held, ["subject", "sample"], "left").repartition(parts, "subject", "block")
+    # Each block has its subject's names beside it, so that features become places without a join of the incidence.
+    beside = names.join(classes.select("subject", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")), "subject")
+
+    def run(group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame({c: [] for c in ("subject", "block", "blocks", "n0", "n1", "k", "width", "bits", "labels", "folds", "names")})
         group = group.sort_values("sample", kind="stable")
-        lists = [np.zeros(0, int) if h is None else np.asarray(h, int) for h in group["held"]]
-        width = 1 + max((int(h.max()) for h in lists if len(h)), default=-1)
+        names = list(own["names"].iloc[0]) if len(own) else None
+        lists = [() if h is None else h for h in group["held"]]
+        place = {} if names is None else {f: i for i, f in enumerate(names)}
+        at = np.fromiter((place[f] for h in lists for f in h), int)
+        width = 1 + at.max(initial=-1)
         x = np.zeros((len(lists), width), bool)
-        x[np.repeat(np.arange(len(lists)), [len(h) for h in lists]), np.concatenate(lists) if lists else []] = True
+        x[np.repeat(np.arange(len(lists)), [len(h) for h in lists]), at] = True
         first = group.iloc[0]
         return pd.DataFrame([{"subject": first["subject"], "block": first["block"], "blocks": first["blocks"], "n0": first["n0"], "n1": first["n1"], "k": first["k"], "width": width,
-                              "bits": np.packbits(x, axis=1).tobytes(), "labels": group["y"].to_numpy(np.uint8).tobytes(), "folds": group["fold"].to_numpy(np.uint8).tobytes()}])
+                              "bits": np.packbits(x, axis=1).tobytes(), "labels": group["y"].to_numpy(np.uint8).tobytes(), "folds": group["fold"].to_numpy(np.uint8).tobytes(), "names": names}])
 
-    schema = f"subject {kinds['subject']}, block long, blocks long, n0 long, n1 long, k int, width int, bits binary, labels binary, folds binary"
-    packed = joined.groupBy("subject", "block").applyInPandas(run, schema)
-    return cut(packed.join(names, "subject", "left"))
+    schema = f"subject {kinds['subject']}, block long, blocks long, n0 long, n1 long, k int, width int, bits binary, labels binary, folds binary, names array<{kinds['feature']}>"
+    return cut(joined.groupBy("subject", "block").cogroup(beside.groupBy("subject", "block")).applyInPandas(run, schema))
 
 
 def _rows(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,23 +194,29 @@ def _models(folded: DataFrame, alphas: np.ndarray) -> DataFrame:
     return cut(done)
 
 
+def _scorable(row, fold: int) -> bool:
+    """Whether a fold and the rest of its subject have both classes: the class sizes of fold f of k, of n rows dealt out in turn."""
+    sizes = [(n - fold + row.k - 1) // row.k for n in (row.n0, row.n1)]
+    return min(sizes) > 0 and row.n0 > sizes[0] and row.n1 > sizes[1]
+
+
+def _margins(x: np.ndarray, coefs: np.ndarray) -> np.ndarray:
+    """Rows by settings. Equal rows have equal margins whichever block they are in: their last digits depend on the shape of the product."""
+    return np.round(x @ coefs[:, :-1].T + coefs[:, -1], 10) + 0.0
+
+
 def _fold_aucs(packed: DataFrame, models: DataFrame, n_alphas: int) -> DataFrame:
     """(subject, fold, setting, auc) where the fold and the rest have both classes."""
     kinds = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
     joined = packed.join(models.filter("error is null").select("subject", "coefs"), "subject")
+    schema = f"subject {kinds['subject']}, fold int, setting int, auc double"
 
     def folds(row):
         """(fold, labels, margins by setting) of a block's rows in each fold that can be scored."""
         x, y, fold = _rows(row)
         coefs = np.frombuffer(row.coefs, np.float64).reshape(row.k + 1, n_alphas, -1)
-        for f in range(row.k):
-            # The class sizes of fold f of k, of n rows dealt out in turn.
-            sizes = [(n - f + row.k - 1) // row.k for n in (row.n0, row.n1)]
-            if min(sizes) < 1 or row.n0 - sizes[0] < 1 or row.n1 - sizes[1] < 1:
-                continue
-            test = fold == f
-            # Equal rows have equal margins whichever block they are in: their last digits depend on the shape of the product.
-            yield f, y[test], np.round(x[test] @ coefs[f, :, :-1].T + coefs[f, :, -1], 10) + 0.0
+        for f in filter(lambda f: _scorable(row, f), range(row.k)):
+            yield f, y[fold == f], _margins(x[fold == f], coefs[f])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -212,9 +231,59 @@ def _fold_aucs(packed: DataFrame, models: DataFrame, n_alphas: int) -> DataFrame
                     for setting, m in enumerate(margins.T):
                         yield pd.DataFrame({"subject": row.subject, "fold": f, "setting": setting, "margin": m, "y": y})
 
-    here = _dealt(joined.filter("blocks = 1")).mapInPandas(whole, f"subject {kinds['subject']}, fold int, setting int, auc double")
-    margins = joined.filter("blocks > 1").mapInPandas(ranked, f"subject {kinds['subject']}, fold int, setting int, margin double, y int")
-    return here.unionByName(metrics.roc_auc(margins, "margin", "y", ("subject", "fold", "setting")).drop("n"))
+    fold_bytes = (F.col("n0") + F.col("n1")) / F.col("k") * (16 + F.ceil(F.size("names") / 8))
+    here = _dealt(joined.filter("blocks = 1")).mapInPandas(whole, schema)
+    several = packed.filter("blocks > 1").filter(fold_bytes <= FOLD_BYTES)
+    margins = joined.filter("blocks > 1").filter(fold_bytes > FOLD_BYTES).mapInPandas(ranked, f"subject {kinds['subject']}, fold int, setting int, margin double, y int")
+    return here.unionByName(_packed_aucs(several, models, n_alphas)).unionByName(metrics.roc_auc(margins, "margin", "y", ("subject", "fold", "setting")).drop("n"))
+
+
+def _packed_aucs(packed: DataFrame, models: DataFrame, n_alphas: int) -> DataFrame:
+    """``_fold_aucs`` from each fold's packed bits, gathered for each part of the grid. Rows equal in features and label are scored as one."""
+    kind = packed.schema["subject"].dataType.simpleString()
+    grid = np.array_split(np.arange(n_alphas), min(PARTS, n_alphas))
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                y, fold = np.frombuffer(row.labels, np.uint8), np.frombuffer(row.folds, np.uint8)
+                # The last features may be in no row of a block: all blocks have the subject's width.
+                bits = np.zeros((len(y), -(-len(row.names) // 8)), np.uint8)
+                if row.width:
+                    bits[:, : -(-row.width // 8)] = np.frombuffer(row.bits, np.uint8).reshape(len(y), -1)
+                for f in filter(lambda f: _scorable(row, f), range(row.k)):
+                    own = {"subject": row.subject, "fold": f, "d": len(row.names), "cells": np.column_stack([bits, y])[fold == f].tobytes()}
+                    yield pd.DataFrame([own | {"part": part} for part in range(len(grid))])
+
+    def coefficients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                coefs = np.frombuffer(row.coefs, np.float64).reshape(row.k + 1, n_alphas, -1)
+                yield pd.DataFrame([{"subject": row.subject, "fold": f, "part": part, "coefs": coefs[f, own].tobytes()} for f in range(row.k) for part, own in enumerate(grid)])
+
+    def scored(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(model):
+            return pd.DataFrame({"subject": [], "fold": [], "setting": [], "auc": []})
+        first = rows.iloc[0]
+        d, settings = int(first["d"]), grid[int(first["part"])]
+        coefs = np.frombuffer(model["coefs"].iloc[0], np.float64).reshape(len(settings), d + 1)
+        cells = np.frombuffer(b"".join(rows["cells"]), np.uint8).reshape(-1, -(-d // 8) + 1)
+        different, counts = np.unique(cells.view(f"V{cells.shape[1]}").ravel(), return_counts=True)
+        different = different.view(np.uint8).reshape(-1, cells.shape[1])
+        x, y = different[:, :-1], different[:, -1].astype(int)
+        # In slices, so that neither the dense rows nor the margins of all settings are held at once.
+        at = range(0, len(x), BLOCK)
+        aucs = []
+        for some in np.array_split(coefs, -(-len(settings) // 5)):
+            margins = np.concatenate([_margins(np.unpackbits(x[i : i + BLOCK], axis=1)[:, :d].astype(float), some) for i in at])
+            aucs += [linear.auc_of_groups(y, counts, m) for m in margins.T]
+        return pd.DataFrame({"subject": first["subject"], "fold": first["fold"], "setting": settings, "auc": aucs})
+
+    rows = packed.filter("size(names) > 0").mapInPandas(dealt, f"subject {kind}, fold int, part int, d int, cells binary")
+    sound = models.filter("error is null").join(packed.filter("block = 0").select("subject", "k"), "subject")
+    model = sound.mapInPandas(coefficients, f"subject {kind}, fold int, part int, coefs binary")
+    keys = ("subject", "fold", "part")
+    return rows.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInPandas(scored, f"subject {kind}, fold int, setting int, auc double")
 
 
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:

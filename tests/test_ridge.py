@@ -130,3 +130,32 @@ def test_job(frames):
 def test_empty(frames):
     inc, samples = (f.limit(0) for f in frames)
     assert ridge.fit(inc, samples).count() == 0
+
+
+def test_large_folds_rank_the_same(frames, monkeypatch):
+    """Folds ranked from packed bits, and those too large for it, whose margins are ranked as rows, give the same fit."""
+    packed = ridge.blocks(*frames, rows=11)
+    models = ridge._models(ridge.fold_statistics(packed), linear.RIDGE_GRID[:7])
+    keys = ["subject", "fold", "setting"]
+    own = ridge._fold_aucs(packed, models, 7).toPandas().sort_values(keys)
+    assert set(own[keys].drop_duplicates()["subject"]) == {0, 1, 2} and (own["setting"].value_counts() == own["setting"].value_counts().iloc[0]).all()
+    monkeypatch.setattr(ridge, "FOLD_BYTES", 0)
+    rows = ridge._fold_aucs(packed, models, 7).toPandas().sort_values(keys)
+    assert own[keys].values.tolist() == rows[keys].values.tolist() and np.allclose(own["auc"], rows["auc"], atol=1e-12)
+
+
+def test_folds_shuffle_bits_not_margins(frames):
+    """No row leaves Python for a sample and a penalty: what is shuffled for a fold is its packed bits."""
+    plan = ridge.fit_blocks(ridge.blocks(*frames, rows=11))._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "cells#" in plan
+
+
+def test_tasks_go_with_rows(frames, monkeypatch):
+    """Blocks are joined in more tasks than the session has partitions where there are more samples, and stay the same."""
+    want = ridge.blocks(*frames, rows=11).orderBy("subject", "block").toPandas()
+    monkeypatch.setattr(ridge, "TASK_ROWS", 9)
+    seen, numbered = [], ridge.reshape.numbered
+    monkeypatch.setattr(ridge.reshape, "numbered", lambda *a: seen.append(a[3]) or numbered(*a))
+    got = ridge.blocks(*frames, rows=11).orderBy("subject", "block").toPandas()
+    assert seen == [16] and got.drop(columns="names").equals(want.drop(columns="names"))
+    assert [None if n is None else list(n) for n in got["names"]] == [None if n is None else list(n) for n in want["names"]]
