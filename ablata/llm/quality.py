@@ -84,10 +84,13 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def _counted(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.withColumn("_w", F.array_remove(F.split(text, WORD_GAP), ""))
-    # Windows by 64-bit hash first. Equal windows have equal hashes, so a text whose hashes are distinct has no repeat.
-    window = lambda i: F.xxhash64(*(F.get("_x", i + k) for k in range(WINDOW)))
+    # Windows by 64-bit hash first. Equal windows have equal hashes, so a text whose hashes are distinct has no repeat. A window's hash is made of
+    # its words' by pairs, which are shared by the windows that hold them; those that the text's end cuts off are left out.
+    beside = lambda a, b, apart: F.zip_with(a, F.slice(b, apart + 1, 1 << 30), lambda x, y: F.xxhash64(x, y))
     positions = F.sequence(F.lit(0), F.size("_w") - WINDOW)
-    hashed = split.withColumn("_x", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_h", F.when(F.size("_w") > WINDOW, F.transform(positions, window)).otherwise(F.array().cast("array<bigint>")))
+    words = split.withColumn("_x", F.when(F.size("_w") > WINDOW, F.transform("_w", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
+    fours = words.withColumn("_h", beside("_x", "_x", 1)).withColumn("_h", beside("_h", "_h", 2))
+    hashed = fours.withColumn("_h", F.slice(beside("_h", "_x", WINDOW - 1), 1, F.greatest(F.size("_x") - WINDOW + 1, F.lit(0))))
     # Only the others compare the windows themselves.
     spelled = F.transform(positions, lambda i: F.struct(F.array_join(F.slice("_w", i + 1, WINDOW), " ").alias("s"), i.alias("i")))
     seen = hashed.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(spelled)))

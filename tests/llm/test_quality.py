@@ -82,3 +82,12 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, DOCS[0][1], 2, 3, 4, 5)], "doc_id long, text string, _w int, _h int, _t int, n_words int")
     for row in (quality.base_counts(docs).first(), quality.judge(docs, spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")).first()):
         assert (row["_w"], row["_h"], row["_t"], row["n_words"]) == (2, 3, 4, base(DOCS[0][1])[0])
+
+
+def test_window_hashes_share_pairs(spark):
+    """Windows at the ends of short texts are counted, and no lambda reads five words by place for each window."""
+    texts = [" ".join("abcdefghi"[:n]) for n in range(10)] + ["a b c d e a b c d e", "a a a a a", "a a a a a a", "x a b c d e y a b c d e", "a b c d x a b c d"]
+    counted = quality.base_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["n_repeat_words"] for r in counted.collect()}
+    assert [got[i] for i in range(len(texts))] == [0] * 10 + [10, 0, 6, 10, 0]
+    assert "+ 4)" not in counted._jdf.queryExecution().analyzed().toString()
