@@ -24,11 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import cut
+from ..durable import cut, stored
 from . import linear, metrics, reshape
 
-#: Rows of a block, blocks that one task adds, replicates of a chunk.
-BLOCK, FAN, CHUNK = 20_000, 32, 250
+#: Rows of a block, blocks that one task adds, replicates of a chunk, blocks that a task of the bootstrap is sent.
+BLOCK, FAN, CHUNK, SENT = 20_000, 32, 500, 64
+#: Sums of whole numbers below this are exact in single precision.
+EXACT = 1 << 24
 #: Parts of a grid that a fold is sent to, and the most that a fold may take in one task: packed bits and 16 bytes a row.
 PARTS, FOLD_BYTES = 4, 32 << 20
 #: Samples that a task sorts and joins at a time, where the session's number of partitions is too low for them.
@@ -88,13 +90,17 @@ def _rows(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def statistics(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each row of ``weights``: the weighted count, sum of targets (-1 or 1), sums of the columns, of columns by target, and of column products."""
-    target, (a, b) = np.where(y > 0, 1.0, -1.0), np.triu_indices(x.shape[1])
-    wide = np.concatenate([np.ones((len(y), 1)), target[:, None], x, x * target[:, None]], axis=1)
+    """For each row of ``weights``: the weighted count, sum of targets (-1 or 1), sums of the columns, of columns by target, and of column products.
+
+    Sums are made in the precision of ``weights`` and returned in double."""
+    x, (a, b) = np.asarray(x, weights.dtype), np.triu_indices(x.shape[1])
+    target = np.where(y > 0, 1.0, -1.0).astype(weights.dtype)
+    wide = np.concatenate([np.ones((len(y), 1), weights.dtype), target[:, None], x, x * target[:, None]], axis=1)
     out = [weights @ wide]
-    # Products in slices, so that memory is bounded by rows times a slice.
-    out += [weights @ (x[:, a[at : at + 256]] * x[:, b[at : at + 256]]) for at in range(0, len(a), 256)]
-    return np.concatenate(out, axis=1)
+    # Products in slices, so that memory is bounded by rows times a slice; by columns, which are each in one piece.
+    columns = np.ascontiguousarray(x.T)
+    out += [weights @ (columns[a[at : at + 256]] * columns[b[at : at + 256]]).T for at in range(0, len(a), 256)]
+    return np.concatenate(out, axis=1).astype(float)
 
 
 def solved(stats: np.ndarray, d: int, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,13 +351,16 @@ def block_size(n: int, blocks: int, lo: int, hi: int) -> int:
     return before(hi) - before(lo)
 
 
-def block_draws(key: list[int], draws: int, n: int, blocks: int, block: int) -> int:
-    """How many of a class's draws fall into a block: binomial splits of ranges of blocks, keyed by the range."""
+def block_draws(key: list[int], draws: int, n: int, blocks: int, block: int, known: dict | None = None) -> int:
+    """How many of a class's draws fall into a block: binomial splits of ranges of blocks, keyed by the range. ``known`` keeps splits for other blocks."""
     lo, hi = 0, blocks
+    known = {} if known is None else known
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left, total = block_size(n, blocks, lo, mid), block_size(n, blocks, lo, hi)
-        taken = int(np.random.default_rng([*key, 1, lo, hi]).binomial(draws, left / total)) if total else 0
+        taken = known.get((*key, lo, hi))
+        if taken is None:
+            left, total = block_size(n, blocks, lo, mid), block_size(n, blocks, lo, hi)
+            taken = known[*key, lo, hi] = int(np.random.default_rng([*key, 1, lo, hi]).binomial(draws, left / total)) if total else 0
         lo, hi, draws = (lo, mid, taken) if block < mid else (mid, hi, draws - taken)
     return draws
 
@@ -367,17 +376,34 @@ def block_counts(key: list[int], y: np.ndarray, n0: int, n1: int, blocks: int, b
     return counts
 
 
+def chunk_statistics(key: list[int], replicates: range, x: np.ndarray, y: np.ndarray, n0: int, n1: int, blocks: int, block: int, known: dict) -> np.ndarray:
+    """``statistics`` of a block's rows, each as often as ``block_counts`` has it, for each replicate. ``known`` keeps the splits of one group of blocks."""
+    places = [np.flatnonzero(y == label) for label in (0, 1)]
+    counts, ends = np.zeros((len(replicates), len(y)), np.float32), (0, len(places[0]), len(y))
+    most = 0
+    for i, r in enumerate(replicates):
+        draws = known.get(r)
+        if draws is None:
+            draws = known[r] = class_draws([*key, r], n0, n1)
+        own = [block_draws([*key, r, 2 + label], draws[label], n, blocks, block, known) for label, n in enumerate((n0, n1))]
+        most = max(most, sum(own))
+        for label, at in enumerate(places):
+            if len(at):
+                counts[i, ends[label] : ends[label + 1]] = np.bincount(np.random.default_rng([*key, r, 4 + label, block]).integers(0, len(at), own[label]), minlength=len(at))
+    order = np.concatenate(places)
+    return statistics(x[order], y[order], counts if most < EXACT else counts.astype(float))
+
+
 def bootstrap_arrays(packed: DataFrame, settings: DataFrame, replicates: int, seed: int = 0, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(subject, first, feature, coefs): each feature's coefficients in ``chunk`` replicates from ``first`` on, at the subject's chosen alpha."""
     kinds = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
     chosen = settings.filter("error is null").groupBy("subject").agg(F.first("alpha").alias("alpha"))
     work = packed.join(chosen, "subject").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // chunk))))
 
-    def weighted(row) -> np.ndarray:
+    def weighted(row, known: dict) -> np.ndarray:
         x, y, _ = _rows(row)
-        subject, first = linear.hash_key(row.subject), int(row.chunk) * chunk
-        counts = [block_counts([seed, subject, r], y, row.n0, row.n1, row.blocks, row.block) for r in range(first, min(first + chunk, replicates))]
-        return statistics(x, y, np.array(counts))
+        first = int(row.chunk) * chunk
+        return chunk_statistics([seed, linear.hash_key(row.subject)], range(first, min(first + chunk, replicates)), x, y, row.n0, row.n1, row.blocks, row.block, known)
 
     def refitted(subject, at: int, names, alpha: float, stats: np.ndarray) -> pd.DataFrame:
         coefs = solved(stats, len(names), np.array([alpha]))[0][:, 0, :].T
@@ -386,12 +412,22 @@ def bootstrap_arrays(packed: DataFrame, settings: DataFrame, replicates: int, se
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield refitted(row.subject, int(row.chunk), row.names, row.alpha, weighted(row))
+                yield refitted(row.subject, int(row.chunk), row.names, row.alpha, weighted(row, {}))
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # One group of blocks after the other, added as they come: only their sum goes on.
+        now, total, known = None, None, {}
+        made = lambda: pd.DataFrame({"subject": [now[0]], "chunk": [now[1]], "block": [now[2]], "payload": [total.tobytes()]})
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield pd.DataFrame({"subject": [row.subject], "chunk": [row.chunk], "block": [row.block], "payload": [weighted(row).tobytes()]})
+                key = (row.subject, row.chunk, row.part)
+                if key != now:
+                    if now is not None:
+                        yield made()
+                    now, total, known = key, 0.0, {}
+                total = total + weighted(row, known)
+        if now is not None:
+            yield made()
 
     def from_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -401,8 +437,13 @@ def bootstrap_arrays(packed: DataFrame, settings: DataFrame, replicates: int, se
 
     schema = f"subject {kinds['subject']}, first int, feature {kinds['names'][6:-1]}, coefs array<double>"
     here = _dealt(work.filter("blocks = 1"), "subject", "chunk").mapInPandas(whole, schema)
-    several = _dealt(work.filter("blocks > 1"), "subject", "block", "chunk").mapInPandas(parts, f"subject {kinds['subject']}, chunk int, block long, payload binary")
-    sums = summed(several, _most(packed), ("subject", "chunk"), fan).join(chosen, "subject").join(packed.filter("block = 0").select("subject", "names"), "subject")
+    by = ("subject", "chunk", "part")
+    n_blocks, most = packed.agg(F.count("*"), F.max("blocks")).first()
+    spark = packed.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-n_blocks * (1 + (replicates - 1) // chunk) // SENT))
+    dealt = work.filter("blocks > 1").withColumn("part", F.call_function("div", "block", F.lit(fan))).repartition(tasks, *by).sortWithinPartitions(*by, "block")
+    several = dealt.mapInPandas(parts, f"subject {kinds['subject']}, chunk int, block long, payload binary")
+    sums = summed(several, -(-(most or 0) // fan), ("subject", "chunk"), fan).join(chosen, "subject").join(packed.filter("block = 0").select("subject", "names"), "subject")
     return here.unionByName(sums.select("subject", "chunk", "names", "alpha", "payload").mapInPandas(from_sums, schema))
 
 
@@ -421,12 +462,16 @@ def coefficient_path(packed: DataFrame, alphas: list[float]) -> DataFrame:
     return fold_statistics(packed).mapInPandas(run, f"subject {kinds['subject']}, alpha double, feature {kinds['names'][6:-1]}, coef double")
 
 
-def job(inc: DataFrame, samples: DataFrame, replicates: int = 250, alphas: np.ndarray = linear.RIDGE_GRID, seed: int = 0) -> DataFrame:
-    """The whole conditional job: repeated rows dropped, unique features, fit, bootstrap and summary. Subjects that fail have no row; ``fit`` says why."""
+def job(inc: DataFrame, samples: DataFrame, replicates: int = 250, alphas: np.ndarray = linear.RIDGE_GRID, seed: int = 0, tasks: int | None = None) -> DataFrame:
+    """The whole conditional job: repeated rows dropped, unique features, fit, bootstrap and summary. Subjects that fail have no row; ``fit`` says why.
+
+    ``tasks`` deals the samples out by so many, where the session's number of partitions is too low for them."""
     from . import incidence
 
-    rows = incidence.deduplicated(samples, inc.select("subject", "sample", "feature"))
-    held = inc.join(rows.select("subject", "sample"), ["subject", "sample"], "left_semi")
+    # Both are used several times: written, so that the incidence isn't joined again for each use.
+    rows = stored(incidence.deduplicated(samples, inc.select("subject", "sample", "feature"), tasks))
+    held = inc.select("subject", "sample", "feature").join(rows.select("subject", "sample"), ["subject", "sample"], "left_semi")
+    held = stored(held)
     kept = held.join(incidence.unique_features(held), ["subject", "feature"], "left_semi")
     packed = blocks(kept, rows)
     fitted = cut(fit_blocks(packed, alphas))

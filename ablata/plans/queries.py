@@ -686,7 +686,7 @@ def ridge_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ridge_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job's grid and number of replicates."""
-    return ridge.job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), 10_000)
+    return ridge.job(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), 10_000, tasks=adapters.tasks(spark, sf_dir, "orders"))
 
 
 @query

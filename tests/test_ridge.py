@@ -159,3 +159,25 @@ def test_tasks_go_with_rows(frames, monkeypatch):
     got = ridge.blocks(*frames, rows=11).orderBy("subject", "block").toPandas()
     assert seen == [16] and got.drop(columns="names").equals(want.drop(columns="names"))
     assert [None if n is None else list(n) for n in got["names"]] == [None if n is None else list(n) for n in want["names"]]
+
+
+def test_chunks_draw_as_single_replicates_do():
+    """A chunk's statistics are those of its replicates' counts one by one, to the last digit, and a split is drawn once for all blocks of a group."""
+    draw, known = np.random.default_rng(4), {}
+    for block in range(4):
+        x, y = (draw.random((50, 6)) < 0.4).astype(float), draw.integers(0, 2, 50)
+        counts = np.array([ridge.block_counts([3, 8, r], y, 101, 99, 4, block) for r in range(5, 12)])
+        got = ridge.chunk_statistics([3, 8], range(5, 12), x, y, 101, 99, 4, block, known)
+        assert got.dtype == float and np.array_equal(got, ridge.statistics(x, y, counts))
+    # Seven replicates: the class draws, and two classes by the three ranges of four blocks.
+    assert len(known) == 7 * (1 + 2 * 3)
+
+
+def test_blocks_of_a_replicate_are_added_before_the_shuffle(frames):
+    """What is shuffled for a chunk is one sum for each ``fan`` blocks, not one for each block."""
+    packed = ridge.blocks(*frames, rows=11)
+    settings = ridge.fit_blocks(packed)
+    plan = ridge.bootstrap_arrays(packed, settings, 7, chunk=3, fan=32)._jdf.queryExecution().toString()
+    assert "part" in plan and "FlatMapGroupsInPandas" not in plan
+    one, other = (ridge.bootstrap_arrays(packed, settings, 7, chunk=3, fan=fan).orderBy("subject", "first", "feature").collect() for fan in (2, 32))
+    assert one == other
