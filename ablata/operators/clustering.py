@@ -117,25 +117,54 @@ def agglomerative(x: np.ndarray, linkage: str, d: np.ndarray | None = None) -> l
     return [relabel(v) for v in reversed(out)]
 
 
+def _first_centres(x: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
+    """k-means++: each centre drawn by its squared distance from those before."""
+    places, near = [int(draw.integers(len(x)))], None
+    while len(places) < k:
+        apart = ((x - x[places[-1]]) ** 2).sum(1)
+        near = apart if near is None else np.minimum(near, apart)
+        if near.sum() > 0:
+            shares = (near / near.sum()).cumsum()
+            places.append(int((shares / shares[-1]).searchsorted(draw.random(), side="right")))
+        else:
+            places.append(int(draw.integers(len(x))))
+    return x[places]
+
+
+def _settled(x: np.ndarray, centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centres of several runs of k-means at once, one for each element of ``centres``; a run that has settled is left alone."""
+    n, (runs, k, _) = len(x), centres.shape
+    labels, moving = np.zeros((runs, n), int), np.arange(runs)
+    for _ in range(rounds):
+        now = centres[moving]
+        labels[moving] = own = ((x[None, :, None, :] - now[:, None]) ** 2).sum(3).argmin(2)
+        cell = (own + k * np.arange(len(moving))[:, None]).ravel()
+        order = np.argsort(cell, kind="stable")
+        starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        new, counts = now.copy(), np.diff(starts, append=len(order))
+        new.reshape(len(moving) * k, -1)[cell[order[starts]]] = np.add.reduceat(x[order % n], starts, axis=0) / counts[:, None]
+        far = (np.abs(new - now) > 1e-8 + 1e-5 * np.abs(now)).any((1, 2))
+        moving = moving[far]
+        if not len(moving):
+            break
+        centres[moving] = new[far]
+    return labels, centres
+
+
+#: Cells of the differences between rows and centres that runs of k-means are made together for.
+TOGETHER = 1 << 19
+
+
 def kmeans(x: np.ndarray, k: int, seed: int, tries: int = 4, rounds: int = 100) -> np.ndarray:
     """Labels of the best of several k-means++ runs."""
     best, least = np.zeros(len(x), int), np.inf
-    for attempt in range(tries):
-        draw = np.random.default_rng([seed, k, attempt])
-        centres = [x[draw.integers(len(x))]]
-        while len(centres) < k:
-            near = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
-            centres.append(x[draw.choice(len(x), p=near / near.sum()) if near.sum() > 0 else draw.integers(len(x))])
-        c = np.array(centres)
-        for _ in range(rounds):
-            labels = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-            new = np.array([x[labels == i].mean(0) if (labels == i).any() else c[i] for i in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        cost = ((x - c[labels]) ** 2).sum()
-        if cost < least:
-            best, least = labels, cost
+    starts = np.stack([_first_centres(x, k, np.random.default_rng([seed, k, attempt])) for attempt in range(tries)])
+    step = max(TOGETHER // max(x.size * k, 1), 1)
+    for at in range(0, tries, step):
+        for labels, c in zip(*_settled(x, starts[at : at + step], rounds), strict=True):
+            cost = ((x - c[labels]) ** 2).sum()
+            if cost < least:
+                best, least = labels, cost
     return best
 
 
@@ -169,8 +198,8 @@ def affinity(s: np.ndarray, damping: float = 0.9, rounds: int = 400) -> np.ndarr
     return labels
 
 
-def spectral(x: np.ndarray, k: int, kind: str, seed: int = 0) -> np.ndarray:
-    """Spectral clustering on a nearest-neighbour (5) or rbf graph."""
+def spectral_vectors(x: np.ndarray, kind: str) -> np.ndarray:
+    """Eigenvectors of the normalised Laplacian of a nearest-neighbour (5) or rbf graph, from the smoothest."""
     d = pairwise(x)
     if kind == "rbf":
         w = np.exp(-(d**2) / x.shape[1])
@@ -180,8 +209,12 @@ def spectral(x: np.ndarray, k: int, kind: str, seed: int = 0) -> np.ndarray:
         w[np.arange(len(x))[:, None], near] = 1
         w = (w + w.T) / 2
     root = 1 / np.sqrt(np.maximum(w.sum(1), 1e-12))
-    _, vectors = np.linalg.eigh(np.eye(len(x)) - root[:, None] * w * root[None, :])
-    low = vectors[:, :k]
+    return np.linalg.eigh(np.eye(len(x)) - root[:, None] * w * root[None, :])[1]
+
+
+def spectral(x: np.ndarray, k: int, kind: str, seed: int = 0, vectors: np.ndarray | None = None) -> np.ndarray:
+    """Spectral clustering on the graph's ``spectral_vectors``, which all k share."""
+    low = (spectral_vectors(x, kind) if vectors is None else vectors)[:, :k]
     return kmeans(low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-12), k, seed)
 
 
@@ -242,12 +275,19 @@ def candidates(x: np.ndarray, seed: int, adjacency: np.ndarray | None = None, mo
         far = pairwise(w, metric)
         for linkage in ("single", "average", "complete"):
             yield from hierarchy("hierarchical", f"{linkage}-{metric}", w, far)
+    shared: dict[str, np.ndarray] = {}
+
+    def by_graph(kind: str, k: int) -> np.ndarray:
+        if kind not in shared:
+            shared[kind] = spectral_vectors(x, kind)
+        return spectral(x, k, kind, vectors=shared[kind])
+
     for k in ks:
         yield timed("kmeans", None, k, lambda: kmeans(x, k, seed))  # noqa: B023
         yield timed("tree-embedding", None, k, lambda: tree_clusters(d, k))  # noqa: B023
         yield timed("tree-adjacency", None, k, lambda: tree_clusters(1 - w, k))  # noqa: B023
         for kind in ("nearest_neighbors", "rbf"):
-            yield timed("spectral", kind, k, lambda: spectral(x, k, kind))  # noqa: B023
+            yield timed("spectral", kind, k, lambda: by_graph(kind, k))  # noqa: B023
     yield timed("affinity", None, None, lambda: affinity(-(d**2)))
     yield timed("louvain", None, None, lambda: louvain(w))
 
@@ -282,7 +322,7 @@ def timed_sweep(vectors: DataFrame, most: int | None = None) -> DataFrame:
     schema = f"subject {kinds['subject']}, algorithm string, linkage string, k int, score double, position int, labels array<int>, seconds double"
     # A sweep is long and its input small: a stated number of partitions is not coalesced.
     spark = vectors.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return vectors.select("subject", "item", "vector").repartition(n, "subject").groupBy("subject").applyInPandas(run, schema)
 
 
@@ -555,5 +595,5 @@ def reduced(vectors: DataFrame, methods: tuple[str, ...] = tuple(METHODS)) -> Da
         return pd.concat(out)
 
     spark = vectors.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return vectors.select("subject", "item", "vector").repartition(n, "subject").groupBy("subject").applyInPandas(run, f"subject {kinds['subject']}, item {kinds['item']}, method string, x double, y double")
