@@ -368,21 +368,34 @@ def classical_mds(d: np.ndarray, dims: int = 2) -> np.ndarray:
     return _from_kernel(-0.5 * d**2, dims)
 
 
+def _apart(y: np.ndarray) -> np.ndarray:
+    """``pairwise`` of each element of a stack."""
+    squares = (y**2).sum(2)
+    d = np.sqrt(np.maximum(squares[:, :, None] + squares[:, None, :] - 2 * y @ y.transpose(0, 2, 1), 0))
+    d[:, np.arange(y.shape[1]), np.arange(y.shape[1])] = 0
+    return d
+
+
 def iterative_mds(d: np.ndarray, dims: int = 2, starts: int = 4, rounds: int = 300, tol: float = 1e-6, seed: int = 0) -> np.ndarray:
-    """Scaling by majorising the raw stress (SMACOF); the best of several random starts."""
-    best, least, n = np.zeros((len(d), dims)), np.inf, len(d)
-    for start in range(starts):
-        y, before = np.random.default_rng([seed, start]).random((n, dims)), np.inf
-        for _ in range(rounds):
-            now = np.maximum(pairwise(y), 1e-12)
-            ratio = np.where(np.eye(n, dtype=bool), 0.0, d / now)
-            y = (np.diag(ratio.sum(1)) - ratio) @ y / n
-            stress = float(((pairwise(y) - d) ** 2).sum() / 2)
-            if before - stress < tol * max(stress, 1e-300):
-                break
-            before = stress
-        if stress < least:
-            best, least = y, stress
+    """Scaling by majorising the raw stress (SMACOF); the best of several random starts, which go together until each has settled."""
+    n = len(d)
+    y = np.stack([np.random.default_rng([seed, start]).random((n, dims)) for start in range(starts)])
+    stress, moving, same = np.full(starts, np.inf), np.arange(starts), np.arange(n)
+    now = _apart(y)
+    for _ in range(rounds):
+        ratio = d / np.maximum(now, 1e-12)
+        ratio[:, same, same] = 0.0
+        step = -ratio
+        step[:, same, same] = ratio.sum(2)
+        y[moving] = made = step @ y[moving] / n
+        now = _apart(made)
+        after = ((now - d) ** 2).reshape(len(moving), -1).sum(1) / 2
+        falling = ~(stress[moving] - after < tol * np.maximum(after, 1e-300))
+        stress[moving] = after
+        moving, now = moving[falling], now[falling]
+        if not len(moving):
+            break
+    best = y[int(stress.argmin())]
     return _signed(best - best.mean(0))
 
 
@@ -482,10 +495,14 @@ def tsne(x: np.ndarray, dims: int = 2, perplexity: float = 30.0, rounds: int = 5
 def _codes(x: np.ndarray, atoms: np.ndarray, penalty: float, start: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Sparse codes: min |x - codes atoms|^2 / 2 + penalty |codes|_1, by proximal steps."""
     gram, step = atoms @ atoms.T, 1 / max(np.linalg.norm(atoms, 2) ** 2, 1e-12)
-    codes = start
+    codes, fixed, most = start, x @ atoms.T, step * penalty
     for _ in range(rounds):
-        raw = codes - step * (codes @ gram - x @ atoms.T)
-        codes = np.sign(raw) * np.maximum(np.abs(raw) - step * penalty, 0)
+        raw = codes - step * (codes @ gram - fixed)
+        # What is left beyond the penalty, with its sign.
+        new = raw - np.minimum(np.maximum(raw, -most), most)
+        if (new == codes).all():
+            break  # the other rounds would leave it so
+        codes = new
     return codes
 
 
@@ -516,19 +533,29 @@ def sparse_pca(x: np.ndarray, dims: int = 2, penalty: float = 1.0, ridge: float
     return _signed(np.linalg.solve(components @ components.T + ridge * np.eye(dims), components @ centred.T).T)
 
 
+def _strongest(x: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """All squared singular values, from the largest, and the first ``dims`` right singular vectors, from the smaller of the two products of x with itself."""
+    if len(x) >= x.shape[1]:
+        squares, vectors = np.linalg.eigh(x.T @ x)
+        return squares[::-1], vectors[:, ::-1][:, :dims].T
+    squares, vectors = np.linalg.eigh(x @ x.T)
+    right = vectors[:, ::-1][:, :dims].T @ x
+    return squares[::-1], right / np.maximum(np.linalg.norm(right, axis=1, keepdims=True), 1e-300)
+
+
 def factor_analysis(x: np.ndarray, dims: int = 2, rounds: int = 500, tol: float = 1e-6) -> np.ndarray:
     """Factor scores of the maximum-likelihood factor model with one noise variance a column (expectation maximisation)."""
     centred, n = x - x.mean(0), len(x)
-    noise, before = np.maximum(centred.var(0), 1e-12), -np.inf
+    variances = centred.var(0)
+    noise, before = np.maximum(variances, 1e-12), -np.inf
     for _ in range(rounds):
-        scaled = centred / np.sqrt(noise)
-        _, s, v = np.linalg.svd(scaled / np.sqrt(n), full_matrices=False)
-        kept = np.maximum(s[:dims] ** 2 - 1, 0)
-        loadings = np.sqrt(kept)[:, None] * v[:dims] * np.sqrt(noise)
-        fit = -(np.log(np.maximum(s[:dims] ** 2, 1e-12)).sum() + (s[dims:] ** 2).sum() + np.log(noise).sum())
+        squares, v = _strongest(centred / np.sqrt(noise * n), dims)
+        kept = np.maximum(squares[:dims] - 1, 0)
+        loadings = np.sqrt(kept)[:, None] * v * np.sqrt(noise)
+        fit = -(np.log(np.maximum(squares[:dims], 1e-12)).sum() + squares[dims:].sum() + np.log(noise).sum())
         if fit - before < tol:
             break
-        before, noise = fit, np.maximum(centred.var(0) - (loadings**2).sum(0), 1e-12)
+        before, noise = fit, np.maximum(variances - (loadings**2).sum(0), 1e-12)
     weighted = loadings / noise
     return _signed(np.linalg.solve(np.eye(len(loadings)) + weighted @ loadings.T, weighted @ centred.T).T)
 

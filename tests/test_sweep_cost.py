@@ -50,3 +50,51 @@ def test_a_graph_is_solved_once(monkeypatch):
     monkeypatch.undo()
     for _, kind, k, labels, _ in found[:6]:
         assert np.array_equal(labels, clustering.spectral(items()["apart"], k, kind))
+
+
+def plain_mds(d, dims=2, starts=4, rounds=300, tol=1e-6):
+    best, least, n = np.zeros((len(d), dims)), np.inf, len(d)
+    for start in range(starts):
+        y, before = np.random.default_rng([0, start]).random((n, dims)), np.inf
+        for _ in range(rounds):
+            ratio = np.where(np.eye(n, dtype=bool), 0.0, d / np.maximum(clustering.pairwise(y), 1e-12))
+            y = (np.diag(ratio.sum(1)) - ratio) @ y / n
+            stress = float(((clustering.pairwise(y) - d) ** 2).sum() / 2)
+            if before - stress < tol * max(stress, 1e-300):
+                break
+            before = stress
+        if stress < least:
+            best, least = y, stress
+    return clustering._signed(best - best.mean(0))
+
+
+@pytest.mark.parametrize("kind", ["apart", "ties", "copies"])
+def test_scaling_starts_together(monkeypatch, kind):
+    d = clustering.pairwise(items()[kind])
+    want, seen, pairwise = plain_mds(d), [], clustering.pairwise
+    monkeypatch.setattr(clustering, "pairwise", lambda *a: (seen.append(1), pairwise(*a))[1])
+    assert np.allclose(clustering.iterative_mds(d), want, atol=1e-9) and not seen
+
+
+@pytest.mark.parametrize("kind", ["apart", "ties", "copies"])
+def test_codes_of_settled_rounds(kind):
+    x = items()[kind]
+    x = x - x.mean(0)
+    atoms = np.linalg.svd(x, full_matrices=False)[2][:2]
+    codes = plain = np.ones((len(x), 2))
+    step = 1 / np.linalg.norm(atoms, 2) ** 2
+    for _ in range(400):
+        raw = plain - step * (plain @ (atoms @ atoms.T) - x @ atoms.T)
+        plain = np.sign(raw) * np.maximum(np.abs(raw) - step * 0.5, 0)
+    assert np.array_equal(clustering._codes(x, atoms, 0.5, codes, 400), plain)
+
+
+@pytest.mark.parametrize("shape", [(25, 64), (64, 25), (5, 5)])
+def test_factors_from_the_smaller_product(monkeypatch, shape):
+    """No decomposition of the rows themselves; squares and directions are those of one."""
+    x = np.random.default_rng(1).normal(size=shape)
+    squares, right = clustering._strongest(x, 2)
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(squares, s**2) and np.allclose(np.abs((right * v[:2]).sum(1)), 1)
+    monkeypatch.setattr(np.linalg, "svd", None)
+    assert clustering.factor_analysis(x).shape == (shape[0], 2)
