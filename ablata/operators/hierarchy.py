@@ -29,31 +29,86 @@ from .correlation import BLOCK, SLICE, compared, slices
 LINKAGES = ("ward", "complete", "average", "single")
 
 
-def distance_edges(vectors: DataFrame, metrics: tuple[str, ...] = ("euclidean",)) -> DataFrame:
-    """(subject, metric, a, b, d) for all pairs a < b of a subject's (subject, item, vector): quadratic by definition, block against block."""
+def _compared_edges(vectors: DataFrame, metrics: tuple[str, ...], tree: bool) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    far = ", far double" if tree else ""
+    schema = f"subject {kinds['subject']}, metric string, a {kinds['item']}, b {kinds['item']}, d double{far}"
 
     def run(subject: object, left: pd.DataFrame, right: pd.DataFrame, one: bool) -> Iterator[pd.DataFrame]:
-        x, y, others = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy()), right["item"].to_numpy()
-        lengths = {"x": np.linalg.norm(x, axis=1), "y": np.linalg.norm(y, axis=1)}
-        for q in slices(len(y), SLICE):
-            for p in slices(len(x), BLOCK):
-                found = {metric: [] for metric in metrics}
-                ends = []
-                for k, item in zip(range(p.start, p.stop), left["item"].to_numpy()[p], strict=True):
-                    keep = np.flatnonzero(others[q] > item if one else others[q] != item) + q.start
-                    ends.append((np.minimum(item, others[keep]), np.maximum(item, others[keep])))
-                    for metric in metrics:
-                        if metric == "cosine":
-                            d = np.clip(1 - y[keep] @ x[k] / np.maximum(lengths["x"][k] * lengths["y"][keep], 1e-300), 0, 2)
-                        else:
-                            d = np.sqrt(((y[keep] - x[k]) ** 2).sum(1))
-                        found[metric].append(d)
-                a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
-                for metric in metrics:
-                    yield pd.DataFrame({"subject": subject, "metric": metric, "a": a, "b": b, "d": np.concatenate(found[metric])})
+        rows = _edges(subject, left, right, one, metrics)
+        yield from _forests(rows) if tree else rows
+
+    return compared(vectors.withColumn("cluster", F.lit(0)), run, schema)
+
+
+def _forests(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a pair of blocks' edges those of its least spanning forest by metric, in the order of (d, a, b), with its greatest distance on each."""
+    kept: dict[str, pd.DataFrame] = {}
+    far: dict[str, float] = {}
+    for part in rows:
+        if not len(part):
+            continue
+        # Slice by slice: an edge that isn't in the forest of some of the edges isn't in that of all.
+        metric = part["metric"].iloc[0]
+        far[metric] = max(far.get(metric, -math.inf), float(part["d"].max()))
+        kept[metric] = _forest(part if metric not in kept else pd.concat([kept[metric], part]))
+    for metric, part in kept.items():
+        yield part.assign(far=far[metric])
+
+
+def _forest(edges: pd.DataFrame) -> pd.DataFrame:
+    a, b, d = (edges[c].to_numpy() for c in ("a", "b", "d"))
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.lexsort((b, a, d))
+    i, j = ends[: len(a)], ends[len(a) :]
+    root, left, taken = list(range(len(names))), len(names) - 1, []
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for at, p, q in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = top(p), top(q)
+        if p != q:
+            root[q] = p
+            taken.append(at)
+            if len(taken) == left:
+                break
+    return edges.iloc[taken]
+
+
+def forest_edges(vectors: DataFrame, metrics: tuple[str, ...] = ("euclidean",)) -> DataFrame:
+    """(subject, metric, a, b, d, far): edges among which each subject's least spanning tree is: those of the forest of each pair of blocks, with the pair's greatest
+    distance. A subject of one block has its tree's edges only, where ``distance_edges`` has all pairs."""
+    return _compared_edges(vectors, metrics, True)
 
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    return compared(vectors.withColumn("cluster", F.lit(0)), run, f"subject {kinds['subject']}, metric string, a {kinds['item']}, b {kinds['item']}, d double")
+
+def distance_edges(vectors: DataFrame, metrics: tuple[str, ...] = ("euclidean",)) -> DataFrame:
+    """(subject, metric, a, b, d) for all pairs a < b of a subject's (subject, item, vector): quadratic by definition, block against block."""
+    return _compared_edges(vectors, metrics, False)
+
+
+def _edges(subject: object, left: pd.DataFrame, right: pd.DataFrame, one: bool, metrics: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    """All edges between two blocks, or within one, in frames of one metric."""
+    x, y, others = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy()), right["item"].to_numpy()
+    lengths = {"x": np.linalg.norm(x, axis=1), "y": np.linalg.norm(y, axis=1)}
+    for q in slices(len(y), SLICE):
+        for p in slices(len(x), BLOCK):
+            found = {metric: [] for metric in metrics}
+            ends = []
+            for k, item in zip(range(p.start, p.stop), left["item"].to_numpy()[p], strict=True):
+                keep = np.flatnonzero(others[q] > item if one else others[q] != item) + q.start
+                ends.append((np.minimum(item, others[keep]), np.maximum(item, others[keep])))
+                for metric in metrics:
+                    if metric == "cosine":
+                        d = np.clip(1 - y[keep] @ x[k] / np.maximum(lengths["x"][k] * lengths["y"][keep], 1e-300), 0, 2)
+                    else:
+                        d = np.sqrt(((y[keep] - x[k]) ** 2).sum(1))
+                    found[metric].append(d)
+            a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
+            for metric in metrics:
+                yield pd.DataFrame({"subject": subject, "metric": metric, "a": a, "b": b, "d": np.concatenate(found[metric])})
 
 
 def _both_ways(edges: DataFrame, keys: list[str], *more: str) -> DataFrame:
@@ -175,9 +230,11 @@ def threshold_components(items: DataFrame, edges: DataFrame, least: float = 0.15
     is one less their distance by the subject's greatest; label_sum adds up every item's label, its component's least item.
 
     The merges of the spanning tree, in order, say all of it: a threshold's components are the items less the merges so far, and a merge of a
-    and b takes (b - a) off the labels of b's items."""
+    and b takes (b - a) off the labels of b's items. ``edges`` are all ``distance_edges``, or the ``forest_edges``, which say the greatest distance themselves."""
     keys = ("subject", "metric")
-    far = edges.groupBy(*keys).agg(F.max("d").alias("far"))
+    # Written once: distances aren't made again for each use.
+    edges = stored(edges)
+    far = edges.groupBy(*keys).agg(F.max("far" if "far" in edges.columns else "d").alias("far"))
     done = merges(spanning_tree(edges, keys), ("single",), keys).join(far, list(keys))
     steps = done.select(*keys, (1 - F.col("height") / F.greatest("far", F.lit(1e-300))).alias("at"), F.lit(0).alias("last"), F.lit(None).cast("int").alias("step"), F.lit(1).alias("merge"), (F.col("size_b") * (F.col("b") - F.col("a"))).cast("long").alias("off"))
     totals = items.groupBy("subject").agg(F.count("*").alias("n"), F.sum("item").cast("long").alias("labels")).join(far.select(*keys), "subject")

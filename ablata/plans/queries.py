@@ -751,14 +751,14 @@ def sweep_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the similarity graph at a thousand thresholds of two metrics, with the sum of all labels at each."""
     vectors = _small_subjects(spark, sf_dir)
-    found = hierarchy.threshold_components(vectors.select("subject", "item"), hierarchy.distance_edges(vectors, ("euclidean", "cosine")))
+    found = hierarchy.threshold_components(vectors.select("subject", "item"), hierarchy.forest_edges(vectors, ("euclidean", "cosine")))
     return _rounded(found, "threshold").drop("step")
 
 
 @query
 def spanning_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each subject's least spanning tree: its edges and their weight."""
-    tree = hierarchy.spanning_tree(hierarchy.distance_edges(_small_subjects(spark, sf_dir)))
+    tree = hierarchy.spanning_tree(hierarchy.forest_edges(_small_subjects(spark, sf_dir)))
     return _rounded(tree.groupBy("subject").agg(F.count("*").alias("n"), F.sum("d").alias("weight")), "weight")
 
 

@@ -96,3 +96,18 @@ def test_empty(spark):
     df = frame(spark, {3: np.zeros((1, 2))})
     edges = hierarchy.distance_edges(df)
     assert hierarchy.spanning_tree(edges).count() == 0 and hierarchy.merges(edges).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_forest_edges_say_the_thresholds(spark, monkeypatch, block):
+    """A subject of one block sends its tree's edges and its greatest distance instead of all pairs; one of several blocks, each pair's forest. The tree and the greatest distance are the same."""
+    from ablata.operators import correlation
+
+    df, both = frame(spark, vectors_of()), ("euclidean", "cosine")
+    whole = hierarchy.distance_edges(df, both).toPandas()
+    monkeypatch.setattr(correlation, "BLOCK", block)
+    rows = hierarchy.forest_edges(df, both).toPandas()
+    assert len(rows) == 2 * (13 + 8 + 1) if block == 256 else len(rows) < len(whole)
+    for (_, own), (_, all_pairs) in zip(rows.groupby(["subject", "metric"]), whole.groupby(["subject", "metric"]), strict=True):
+        tree, want = (sorted(map(tuple, hierarchy._forest(e)[["a", "b"]].to_numpy().tolist())) for e in (own, all_pairs))
+        assert tree == want and own["far"].max() == pytest.approx(all_pairs["d"].max())
