@@ -69,13 +69,16 @@ def spearman_influence(inc: DataFrame, samples: DataFrame) -> DataFrame:
 PARTS = 16
 
 
-def gram(inc: DataFrame, value: str | None = None) -> DataFrame:
+def gram(inc: DataFrame, value: str | None = None, tasks: int | None = None) -> DataFrame:
     """(subject, a, b, together) for a <= b: samples that hold both features.
 
     A subject's samples are dealt out in ``PARTS`` parts by hash. A task goes through its parts one after the other, adds each up in one
     matrix and emits it, so it holds one matrix at a time, and at most ``PARTS`` times features squared are shuffled for a subject, not
-    the pairs of each sample. A sample's features number at most its subject's features."""
-    dealt = inc.select("subject", "sample", "feature", F.pmod(F.xxhash64("sample"), F.lit(PARTS)).alias("part")).repartition("subject", "part")
+    the pairs of each sample. A sample's features number at most its subject's features. ``tasks`` deals rows out by so many, where the
+    session's number of partitions is too low for them; a subject has as many parts, so that tasks can be as many."""
+    parts = PARTS if tasks is None else max(PARTS, tasks)
+    dealt = inc.select("subject", "sample", "feature", F.pmod(F.xxhash64("sample"), F.lit(parts)).alias("part"))
+    dealt = dealt.repartition("subject", "part") if tasks is None else dealt.repartition(tasks, "subject", "part")
     rows = dealt.groupBy("subject", "part", "sample").agg(F.array_sort(F.collect_set("feature")).alias("held")).sortWithinPartitions("subject", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,12 +109,12 @@ def gram(inc: DataFrame, value: str | None = None) -> DataFrame:
     return partial.groupBy("subject", "a", "b").agg(F.sum("n").alias("together"))
 
 
-def feature_correlations(inc: DataFrame, samples: DataFrame) -> DataFrame:
+def feature_correlations(inc: DataFrame, samples: DataFrame, tasks: int | None = None) -> DataFrame:
     """(subject, a, b, corr) for all pairs a < b of a subject's features, those that never meet too; 0 where one is constant.
 
     The result is the upper half of the subject's correlation matrix, features squared by definition."""
     # Written once: its diagonal has the samples of each feature.
-    counted = cut(gram(inc))
+    counted = cut(gram(inc, tasks=tasks))
     both, alone = counted.filter("a < b"), counted.filter("a = b").select("subject", F.col("a").alias("feature"), F.col("together").alias("s"))
     n = samples.groupBy("subject").agg(F.count("*").alias("n"))
     first, second = alone.toDF("subject", "a", "sa"), alone.toDF("subject", "b", "sb")

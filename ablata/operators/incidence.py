@@ -45,6 +45,8 @@ def deduplicated(samples: DataFrame, inc: DataFrame, tasks: int | None = None) -
     signed = inc.groupBy("subject", "sample").agg(*set_signature("feature"))
     rows = samples.join(signed, ["subject", "sample"], "left").fillna(0, ["sig_n", "sig_xor"])
     rows = rows.withColumn("sig_sum", F.coalesce("sig_sum", F.lit(0).cast("decimal(38,0)")))
+    if tasks is not None:
+        rows = rows.repartition(tasks, "subject", *SIGNATURE, "yhat", "y")
     return rows.groupBy("subject", *SIGNATURE, "yhat", "y").agg(F.min("sample").alias("sample")).select("subject", "sample", "yhat", "y")
 
 

@@ -332,12 +332,12 @@ def spearman_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation.gram(adapters.incidence(spark, sf_dir))
+    return correlation.gram(adapters.incidence(spark, sf_dir), tasks=adapters.tasks(spark, sf_dir, "lineitem"))
 
 
 @query
 def feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(correlation.feature_correlations(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir)), "corr")
+    return _rounded(correlation.feature_correlations(adapters.incidence(spark, sf_dir), adapters.samples(spark, sf_dir), adapters.tasks(spark, sf_dir, "lineitem")), "corr")
 
 
 @query

@@ -15,8 +15,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a large table that a task joins and groups at a time, some 200 MB of sorts and hash maps.
-ROWS = 500_000
+#: Rows of a large table that a task joins and groups at a time, some 100 MB of sorts and hash maps.
+ROWS = 200_000
 
 
 def tasks(spark: SparkSession, sf_dir: str, name: str) -> int | None:

@@ -43,3 +43,15 @@ def test_operators_by_tasks(spark):
     samples = spark.createDataFrame([(s, i, 1, 0) for s in "ab" for i in range(7)], "subject string, sample int, yhat int, y int")
     assert plain(incidence.deduplicated(samples, inc, tasks=9)) == plain(incidence.deduplicated(samples, inc)) == [(s, i, 1, 0) for s in "ab" for i in (0, 1, 2, 6)]
     assert plain(incidence.unique_features(inc, tasks=9)) == plain(incidence.unique_features(inc))
+
+
+def test_last_steps_by_tasks(spark, nothing_broadcast):
+    """The last group of ``deduplicated`` and the sort of ``gram`` are dealt out by tasks too."""
+    from ablata.operators import correlation
+
+    inc = spark.createDataFrame([("a", i, f) for i in range(40) for f in ("x", "y", "z")[: 1 + i % 3]], "subject string, sample int, feature string")
+    samples = spark.createDataFrame([("a", i, 1, 0) for i in range(40)], "subject string, sample int, yhat int, y int")
+    assert incidence.deduplicated(samples, inc, tasks=37).rdd.getNumPartitions() == 37
+    dealt = correlation.gram(inc, tasks=37)
+    assert "RepartitionByExpression [subject#" in (logical := dealt._jdf.queryExecution().optimizedPlan().toString()) and "], 37" in logical
+    assert plain(dealt) == plain(correlation.gram(inc)) == [("a", "x", "x", 40), ("a", "x", "y", 26), ("a", "x", "z", 13), ("a", "y", "y", 26), ("a", "y", "z", 13), ("a", "z", "z", 13)]
