@@ -40,6 +40,11 @@ def runs(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str | N
         yield run
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts and merges, for joins with exploded rows: Spark sizes these as if each stood for one, and would send them through the driver."""
+    return df.hint("merge")
+
+
 def row_hash(docs: DataFrame) -> Column:
     """A hash of all columns that can be hashed."""
     hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]

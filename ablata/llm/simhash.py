@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_hash
+from .common import cut, row_hash, unbroadcast
 from .components import components, fresh_key
 
 SHINGLE, SEED = 3, 42
@@ -75,7 +75,7 @@ def links(fps: DataFrame) -> DataFrame:
     tables = _entries(fps).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= BUCKET + 1).groupBy("seg", "key").agg(F.collect_list("fp").alias("found"))
     met = cut(
         _lookups(fps)
-        .join(tables.select("seg", fresh_key("key"), "found"), ["seg", "key"])
+        .join(unbroadcast(tables.select("seg", fresh_key("key"), "found")), ["seg", "key"])
         .select("seg", "key", "fp", F.size("found") > BUCKET, F.filter("found", lambda o: (o != F.col("fp")) & (F.bit_count(o.bitwiseXOR(F.col("fp"))) <= MAX_BITS)))
         .toDF("seg", "key", "fp", "large", "near")
         .filter("large or size(near) > 0")
@@ -87,7 +87,7 @@ def links(fps: DataFrame) -> DataFrame:
     points = crowd.select("fp", F.explode(F.transform(flips, lambda bit: F.col("fp").bitwiseXOR(bit))).alias("point"))
     # Ball points of one fingerprint only join nothing; the others are linked to the least fingerprint that reaches them.
     shared = points.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b <> most").select("point", "b")
-    meeting = points.join(shared.select(fresh_key("point"), "b"), "point").filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    meeting = points.join(unbroadcast(shared.select(fresh_key("point"), "b")), "point").filter("fp <> b").select(F.col("fp").alias("a"), "b")
     return paired.union(meeting)
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ablata.llm import components, simhash
 
@@ -107,3 +108,14 @@ def test_kept_rows_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "one two three four", "x", 1), (2, "one two three four", "y", 2), (None, "five", "z", 3)], "doc_id long, text string, _head string, `a.b` int")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["_head"] for r in kept.collect()) == ["x", "z"]
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    planned = []
+    monkeypatch.setattr(simhash, "cut", lambda df: planned.append(df) or df)
+    planned.append(simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fp"))))
+    # Spark takes the 33 or 65 rows of a fingerprint for one, so these joins look small whatever they hold.
+    assert len(planned) == 2
+    for df in planned:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
