@@ -1,5 +1,7 @@
 """Solvers for many settings against the plain ones, the conditional job, low dimensions, and sampling without caps."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +234,35 @@ def test_vectors_are_sent_a_bounded_number_of_times(spark, monkeypatch):
         monkeypatch.setattr(correlation, "KEPT", kept)
         assert sorted((r["item"], r["cluster"], r["own"], r["n"], round(r["total"], 9)) for r in correlation.distance_sums(df).collect()) == whole
     assert correlation.vector_correlations(df).distinct().count() == 90 * 89 // 2
+
+
+def weak(n: int, d: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(3)
+    return (draw.random((n, d)) < 0.15).astype(float), (draw.random(n) < 0.35).astype(int)
+
+
+def test_elastic_nets_are_near_the_optimum_at_their_own_tolerance():
+    x, y = weak(700)
+    penalties = np.geomspace(0.3, 1e-4, 20)
+    w = None
+    for penalty in penalties:
+        w = linear.elastic_nets(x, y, np.full(3, penalty), np.array([0.01, 0.5, 1.0]), w)
+        exact = [linear.solve_elastic_net(x, y, penalty, m, rounds=20_000, tol=1e-12) for m in (0.01, 0.5, 1.0)]
+        assert np.abs(w - np.array([[*c, b] for c, b in exact]).T).max() < 2e-4 * max(1e-2, np.abs(w).max())
+
+
+def test_elastic_nets_take_memory_by_rows_not_by_rows_and_settings():
+    x, y = weak(60_000, 10)
+    tracemalloc.start()
+    linear.elastic_nets(x, y, np.full(50, 0.01), np.linspace(0, 1, 50), rounds=5, weights=np.ones((len(y), 1)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60_000 * 50 * 8  # one matrix of rows by settings
+
+
+def test_scores_of_many_settings_are_the_plain_ones():
+    draw = np.random.default_rng(4)
+    scores, y = draw.integers(0, 9, (200, 7)).astype(float), draw.integers(0, 2, 200)
+    counts = draw.integers(1, 5, 200).astype(float)
+    at = np.repeat(np.arange(200), counts.astype(int))
+    assert linear.aucs_of_groups(y, counts, scores).tolist() == [linear.auc(y[at], s) for s in scores[at].T]
