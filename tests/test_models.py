@@ -266,3 +266,25 @@ def test_scores_of_many_settings_are_the_plain_ones():
     counts = draw.integers(1, 5, 200).astype(float)
     at = np.repeat(np.arange(200), counts.astype(int))
     assert linear.aucs_of_groups(y, counts, scores).tolist() == [linear.auc(y[at], s) for s in scores[at].T]
+
+
+def test_surrogates_ridge_takes_little_more_than_its_rows():
+    x, y = weak(200_000, 20)
+    own = np.random.default_rng(5).random(len(y))
+    tracemalloc.start()
+    got = linear.solve_ridge(x.astype(np.uint8), y, 1.0, own)[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes / 2
+    ones = np.column_stack([x, np.ones(len(y))]) * np.sqrt(own)[:, None]
+    want = np.linalg.solve(ones.T @ ones + np.diag([1.0] * 20 + [0.0]), ones.T @ (np.sqrt(own) * np.where(y > 0, 1.0, -1.0)))
+    assert np.allclose(got, want[:20])
+
+
+def test_packed_matrices(spark):
+    inc = spark.createDataFrame([(1, s, f) for s, f in ((30, "b"), (30, "a"), (10, "c"), (20, "b"))], "subject int, sample long, feature string")
+    samples = spark.createDataFrame([(1, 10, 1), (1, 20, 0), (1, 30, 1), (1, 40, 1), (2, 5, 0)], "subject int, sample long, yhat int")
+    one, none = linear.packed(inc, samples).orderBy("subject").collect()
+    x, y, names = linear._unpacked(one)
+    assert names == ["a", "b", "c"] and y.tolist() == [1, 0, 1, 1] and x.tolist() == [[0, 0, 1], [0, 1, 0], [1, 1, 0], [0, 0, 0]]
+    assert linear._unpacked(none)[0].shape == (1, 0) and list(none.names) == [] and x.dtype == np.uint8
