@@ -12,8 +12,11 @@ A subject without items has no row and is never committed. Nothing depends on th
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +53,8 @@ SAMPLES = 50
 def subsets(strata: DataFrame, n_samples: int, seed: int) -> DataFrame:
     """(subject, sample, features): the draws of ``sampling.stratified`` as sorted arrays, which are at most a subject's items.
 
-    A subject's items are dealt out once for every ``SAMPLES`` samples, and a sample orders them in its own row: no row is made for an item
-    of a sample, and one subject's samples are on all tasks."""
+    A subject's items are dealt out once for every ``SAMPLES`` samples, whose digests share what comes before the item and are parted, not
+    sorted: no row is made for an item of a sample, and one subject's samples are on all tasks."""
     spark = strata.sparkSession
     listed = strata.groupBy("subject", "cluster").agg(F.collect_list(F.struct("feature")).alias("items"))
     own = metrics.proportions(strata).join(listed, ["subject", "cluster"]).groupBy("subject").agg(F.collect_list(F.struct("n", "proportion", "items")).alias("strata"))
@@ -59,13 +62,55 @@ def subsets(strata: DataFrame, n_samples: int, seed: int) -> DataFrame:
     # A stated number of partitions is not coalesced: little is shuffled and much is made of it.
     dealt = chunks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "subject", "chunk")
     first = F.col("chunk") * SAMPLES
-    grid = dealt.withColumn("sample", F.explode(F.sequence(first, F.least(first + SAMPLES, F.lit(n_samples)) - 1)))
-    sized = grid.withColumn("size", sampling.size_of(seed))
-    quota = lambda s: F.least(F.bround(F.col("size") * s["proportion"]).cast("long"), s["n"]).cast("int")
-    ordered = lambda s: F.sort_array(F.transform(s["items"], lambda x: F.struct(sampling.order_of(seed, x["feature"]).alias("key"), x["feature"].alias("feature"))))
-    taken = F.flatten(F.transform("strata", lambda s: F.slice(ordered(s), F.lit(1), quota(s))))
-    features = F.sort_array(F.filter(F.transform(taken, lambda x: x["feature"]), lambda f: f.isNotNull()))
-    return sized.filter(F.exists("strata", lambda s: quota(s) > 0)).select("subject", "sample", features.alias("features"))
+    numbers = F.sequence(first, F.least(first + SAMPLES, F.lit(n_samples)) - 1)
+    quotas = lambda i: F.transform("strata", lambda s: F.least(F.bround(sampling.size_of(seed, i) * s["proportion"]).cast("long"), s["n"]).cast("int"))
+    # What ``sampling.order_of`` hashes: this, and then the item.
+    prefix = lambda i: F.concat_ws("|", F.lit(str(seed)), F.col("subject").cast("string"), i.cast("string"))
+    samples = F.transform(numbers, lambda i: F.struct(i.alias("sample"), prefix(i).alias("prefix"), quotas(i).alias("quotas")))
+    items = F.transform("strata", lambda s: F.transform(s["items"], lambda x: x["feature"]))
+    rows = dealt.select("subject", samples.alias("samples"), items.alias("items"), F.transform(items, lambda s: F.transform(s, lambda x: x.cast("string"))).alias("names"))
+    kinds = {f.name: f.dataType.simpleString() for f in strata.schema.fields}
+    taken = rows.mapInArrow(_taken, f"subject {kinds['subject']}, sample int, features array<{kinds['feature']}>")
+    return taken.select("subject", "sample", F.sort_array("features").alias("features"))
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each sample's first items of each stratum in the order of their digests; none for a sample without items."""
+    for batch in batches:
+        for at in range(len(batch)):
+            samples, strata = batch["samples"][at].as_py(), batch["items"][at].values
+            items, ends = strata.flatten(), np.cumsum(strata.value_lengths().to_numpy())
+            names = [None if n is None else b"|" + n.encode() for n in batch["names"][at].values.flatten().to_pylist()]
+            kept, found = [], []
+            for sample in samples:
+                if not any(q > 0 for q in sample["quotas"]):
+                    continue
+                base = md5(sample["prefix"].encode())
+                places = [begin + _first(base, names[begin:end], q) for begin, end, q in zip([0, *ends[:-1].tolist()], ends.tolist(), sample["quotas"], strict=True) if q > 0]
+                kept.append(sample["sample"])
+                found.append(items.take(pa.array(np.concatenate(places))).drop_null())
+            if kept:
+                offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.concat_arrays(found))
+                yield pa.RecordBatch.from_arrays([batch["subject"].take(pa.array([at] * len(kept))), pa.array(kept, pa.int32()), lists], ["subject", "sample", "features"])
+
+
+def _first(base, names: list[bytes | None], k: int) -> np.ndarray:
+    """Places of the k names whose digests after ``base`` are least. Equal digests are equal names."""
+    if k >= len(names):
+        return np.arange(len(names))
+    digests = []
+    for name in names:
+        own = base.copy()
+        if name is not None:
+            own.update(name)
+        digests.append(own.digest())
+    halves = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+    high = halves[:, 0]
+    found = np.argpartition(high, k - 1)[:k]
+    if (high <= high[found].max()).sum() > k:  # the first half doesn't tell the last one from the next
+        found = np.lexsort((halves[:, 1], high))[:k]
+    return found
 
 
 def sampling_job(strata: DataFrame, scorer: Column | Callable, path: str, n_samples: int = 10_000, seed: int = 0, commits: int = COMMITS, **scoring_options) -> DataFrame:

@@ -49,9 +49,9 @@ def sample_sizes(strata: DataFrame, n_samples: int, seed: int) -> DataFrame:
     return grid.select("subject", "sample", size_of(seed).alias("size"))
 
 
-def size_of(seed: int) -> Column:
+def size_of(seed: int, sample: Column | None = None) -> Column:
     """A sample's size from (subject, sample, min_size, n_items)."""
-    return keyed.between(F.col("min_size"), F.col("n_items"), seed, F.col("subject"), F.col("sample"))
+    return keyed.between(F.col("min_size"), F.col("n_items"), seed, F.col("subject"), F.col("sample") if sample is None else sample)
 
 
 def order_of(seed: int, feature: Column) -> Column:

@@ -131,3 +131,17 @@ def test_subsets_are_the_stratified_draws(spark):
     assert sorted(map(tuple, jobs.subsets(strata, 120, 5).collect())) == sorted(map(tuple, want.collect()))
     one = jobs.subsets(strata.filter("subject = 'a'"), 1000, 5).withColumn("task", F.spark_partition_id())
     assert one.select("task").distinct().count() > 1
+
+
+def test_first_items_are_parted_by_their_whole_digests():
+    class Known:
+        """A digest that is the name itself."""
+
+        def __init__(self, name=b""):
+            self.name = name
+
+        copy, update, digest = lambda s: Known(), lambda s, n: setattr(s, "name", n), lambda s: s.name
+
+    names = [i.to_bytes(8, "big") + j.to_bytes(8, "big") for i in (9, 1, 5) for j in (7, 3, 2**63, 8)]
+    for k in range(1, 13):
+        assert sorted(jobs._first(Known(), names, k).tolist()) == sorted(sorted(range(12), key=names.__getitem__)[:k])
